@@ -20,69 +20,89 @@ from pyspark.sql import types as T
 
 from foliant.llm.common import cut, small_batches, strings, table
 
-#: Fixed patterns of the base kinds.
+#: Fixed patterns of the base kinds. All patterns are ASCII, so texts are searched as Latin-1 bytes, one a code point.
 ASSIGN = re.compile(
-    r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
-    r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    rb"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    rb"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{32,}")
-#: Parts of credentials that count only beside a complementary part, by kind.
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]{32,}")
+#: Parts of credentials that count only beside a complementary part: kind, role, lower-case strings of which a text with
+#: such a part holds one, pattern.
 WEAK = (
     (
         "part_id",
         "id",
+        (b"client", b"access", b"account", b"user", b"login"),
         re.compile(
-            r"(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|account|user(?:name)?|login)"
-            r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{4,})",
-            re.IGNORECASE | re.ASCII,
+            rb"(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|account|user(?:name)?|login)"
+            rb"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{4,})",
+            re.IGNORECASE,
         ),
     ),
-    (
-        "part_secret",
-        "secret",
-        re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])([A-Za-z0-9+/_-]{20,})={0,2}"),
-    ),
+    ("part_secret", "secret", (), re.compile(rb"[A-Za-z0-9+/_-]{20,}={0,2}")),
     (
         "part_endpoint",
         "endpoint",
+        (b"://", b"endpoint", b"host", b"server", b"region", b"url"),
         re.compile(
-            r"(?:endpoint|host|server|region|url)[\"']?\x20*[:=]\x20*[\"']?((?:[a-z]+://)?[A-Za-z0-9.-]{4,}(?::\d+)?)"
-            r"|((?:jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?)[a-z+:]*://[^\s\"'<>]{4,})",
-            re.IGNORECASE | re.ASCII,
+            rb"(?:endpoint|host|server|region|url)[\"']?\x20*[:=]\x20*[\"']?((?:[a-z]+://)?[A-Za-z0-9.-]{4,}(?::\d+)?)"
+            rb"|((?:jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?)[a-z+:]*://[^\s\"'<>]{4,})",
+            re.IGNORECASE,
         ),
     ),
-)
+)
+MIXED = (re.compile(rb"[0-9]"), re.compile(rb"[a-z]"), re.compile(rb"[A-Z]"))
+#: Lower-case strings of which a text with an assignment holds one.
+ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+HEX_RUN = bytes(49 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+TOKEN_RUN = bytes(49 if i < 128 and (chr(i).isalnum() or chr(i) in "+/_-") else 32 for i in range(256))
 #: What a base span is a part of.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"}
 KINDS = ("assign", "access", "hex", "part_id", "part_secret", "part_endpoint")
 BASE_KINDS = KINDS[:3]
 #: Code points between two parts that belong together; also the length of the buckets they are joined by.
 REACH = 200
-SCOPE = re.compile(r"\n[ \t\r]*\n")
+SCOPE = re.compile(rb"\n[ \t\r]*\n")
 PART = "array<struct<kind:int,role:string,start:int,end:int,scope:int>>"
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
+def base_spans(text: bytes, lower: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns: leftmost, not overlapping by kind, short ones dropped."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    found = []
+    if any(w in lower for w in ASSIGN_WORDS):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    if b"AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    if b"1" * 32 in text.translate(HEX_RUN):
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
+def weak_spans(text: bytes, lower: bytes, at: int) -> list[tuple[int, int]]:
+    kind, _, words, pattern = WEAK[at]
+    if kind == "part_secret":
+        if b"1" * 20 not in text.translate(TOKEN_RUN):
+            return []
+        return [m.span() for m in pattern.finditer(text) if all(x.search(m[0]) for x in MIXED)]
+    return [m.span() for m in pattern.finditer(text)] if any(w in lower for w in words) else []
+
+
 def parts_of(text: str) -> list[tuple]:
-    """(kind, role, start, end, scope) of all strong and weak parts; a weak one inside a strong one is left out."""
-    strong = base_spans(text)
+    """(kind, role, start, end, scope) of all strong and weak parts; a weak one inside a strong one is left out, and so
+    are all weak ones of a text that has no complementary parts at all."""
+    data = text.encode("latin-1", "replace")
+    lower = data.lower()
+    strong = base_spans(data, lower)
     found = [(k, ROLE[KINDS[k]], a, b) for a, k, b in strong]
-    covered = sorted((a, b) for a, _, b in strong)
-    for kind, role, pattern in WEAK:
-        for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in covered):
-                found.append((KINDS.index(kind), role, m.start(), m.end()))
-    if not any(k > 2 for k, *_ in found):
-        return [(*x, 0) for x in found]
-    breaks = [m.start() for m in SCOPE.finditer(text)]
+    for at, (kind, role, _, _) in enumerate(WEAK):
+        for a, b in weak_spans(data, lower, at):
+            if not any(x < b and a < y for x, _, y in strong):
+                found.append((KINDS.index(kind), role, a, b))
+    roles = {x[1] for x in found}
+    if "secret" not in roles or len(roles) < 2 or not any(x[0] > 2 for x in found):
+        return [(*x, 0) for x in found if x[0] <= 2]
+    breaks = [m.start() for m in SCOPE.finditer(data)]
     out, scope = [], 0
     for x in sorted(found, key=lambda x: (x[2], x[0])):
         while scope < len(breaks) and breaks[scope] < x[2]:
