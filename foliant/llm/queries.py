@@ -6,6 +6,7 @@ from foliant.llm import (
     chat,
     decontamination,
     exact_topk,
+    html_extraction,
     language,
     near_duplicates,
     packing,
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": near_duplicates.query,
         "op2_secret_scan": secrets.query,
         "op3_exact_topk": exact_topk.query,
+        "op4_html_extraction": html_extraction.query,
         "op5_packing": packing.query,
         "op6_decontamination": decontamination.query,
         "op7_language_id": language.query,
