@@ -42,8 +42,8 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(deck & (k == 7), ".pdf").when(deck, ".pptx").when(meeting, ".txt").otherwise(pick(EXTENSIONS, (d * 7) % 10))
     )
     prefix = F.when(d % 53 == 0, ".").when(d % 59 == 0, "~$").otherwise("")
-    folder = F.when(((k % 5 == 4) & ~deck) | (meeting & (k == 4)), "Appendix/").otherwise("")
     stray = d % 97 == 0
+    folder = F.when((((k % 5 == 4) & ~deck) | (meeting & (k == 4))) & ~stray, "Appendix/").otherwise("")
     return (
         table(spark, sf_dir, "documents")
         .withColumn("s", d % 20)
@@ -85,7 +85,7 @@ inv2 AS (SELECT *, CASE WHEN doc_id % 97 = 0 THEN NULL WHEN g % 11 = 3 THEN 'Sol
     CASE WHEN doc_id % 53 = 0 THEN '.' WHEN doc_id % 59 = 0 THEN '~$' ELSE '' END ||
     CASE WHEN deck THEN 'Briefing Deck' WHEN meeting AND k = 3 THEN 'Meeting Notes' WHEN meeting THEN 'Meeting_Notes'
         ELSE {_list(PHRASES)}[(k // 2 + s) % 12 + 1] || {_list(VERSIONS)}[(k + s) % 5 + 1] END AS stem,
-    CASE WHEN (k % 5 = 4 AND NOT deck) OR (meeting AND k = 4) THEN 'Appendix/' ELSE '' END AS folder FROM inv1),
+    CASE WHEN doc_id % 97 <> 0 AND ((k % 5 = 4 AND NOT deck) OR (meeting AND k = 4)) THEN 'Appendix/' ELSE '' END AS folder FROM inv1),
 inv3 AS (SELECT *, stem || ext AS file_name_original, sha256(coalesce(text, '')) AS sha256,
     concat_ws('/', year_folder, proposal_branch, folder || stem || ext) AS relative_path FROM inv2),
 inventory AS (SELECT doc_id, 'doc_' || left(sha256, 16) AS document_id, sha256,
