@@ -87,7 +87,7 @@ def packed(marks: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """Key of the n-gram that ends at each byte: its order, then its bytes; shorter where the word begins."""
     key = np.zeros(len(marks), np.int64)
     n = np.minimum(place + 1, order)
-    for i in range(order):
+    for i in range(min(order, len(marks))):
         use = slice(i, None)
         back = marks[: len(marks) - i].astype(np.int64) << (8 * i)
         key[use] |= np.where(n[use] > i, back, 0)
