@@ -84,3 +84,32 @@ def any_word(text: Column, words) -> Column:
     for word in words:
         hit = hit | F.lower(text).contains(word)
     return hit
+
+
+def quota_error(message: Column) -> Column:
+    """Whether an error says that the day's tokens are spent."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return low.contains("throttlingexception") & (low.contains("tokens per day") | low.contains("daily token"))
+
+
+def safe_doc_title(file_name: Column) -> Column:
+    """A file's stem with letters, digits, hyphens, brackets and single spaces; `document` if nothing is left."""
+    stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")
+    body = F.trim(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9\-()\[\] ]+", " "), r"\s+", " "))
+    return F.coalesce(F.nullif(body, F.lit("")), F.lit("document"))
+
+
+def request_text(c: Column, limit: int) -> Column:
+    """Text for a request: at most `limit` characters under a line that says so; a line of its own for no text."""
+    body = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    note = F.concat(F.lit("[Cut from "), F.length(body), F.lit(f" to {limit} characters]\n\n"))
+    cut = F.concat(note, F.regexp_replace(F.left(body, F.lit(limit)), r"\s+$", ""))
+    return F.when(body == "", "(no text)").when(F.length(body) > limit, cut).otherwise(body)
+
+
+def page_text(html: Column) -> Column:
+    """Text of a page without scripts, styles and tags, white space as single spaces. Null gives an empty text."""
+    body = F.coalesce(html, F.lit(""))
+    for tag in ("script", "style"):
+        body = F.regexp_replace(body, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"[ \t\r\n\f]+", " "))

@@ -559,8 +559,11 @@ def usage_per_day(spark, sf):
 
 
 def queries() -> dict:
+    import foliant.plans.review  # noqa: F401  (adds its queries)
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLES

@@ -84,10 +84,32 @@ ZIP_EXTENSIONS = (".zip",)
 DECK_EXTENSIONS = (".ppt", ".pptx")
 # Treatment by retrieval priority.
 TREATMENT_BY_PRIORITY = {"high": "full_document", "medium": "summary_only", "low": "metadata_only", "exclude": "exclude"}
-# Other names of enum values, by field.
-ROLE_ALIASES = {
-    "budget_spreadsheet": "budget", "partner_support_letter": "letter_of_support",
-    "support_letter": "letter_of_support", "foa_instructions": "submission_instructions",
-}
 # Least similarity of a tracker match, and how near another row makes it ambiguous.
 MATCH_LEAST, MATCH_DELTA = 0.35, 0.05
+
+# Document categories.
+CATEGORIES = (
+    "opportunity_document", "proposal_response", "supporting_document", "budget_financial", "administrative_compliance",
+    "partner_document", "technical_data", "report_or_deliverable", "presentation", "internal_planning", "correspondence",
+    "unknown",
+)
+# Other spellings of values in model responses, by path.
+RESPONSE_ALIASES = {
+    "document_identity.document_category": {
+        "budget": "budget_financial", "budget_spreadsheet": "budget_financial", "opportunity_source": "opportunity_document",
+    },
+    "document_identity.document_role": {
+        "budget_spreadsheet": "budget", "partner_support_letter": "letter_of_support", "support_letter": "letter_of_support",
+        "foa_instructions": "submission_instructions",
+    },
+    "document_identity.origin_type": {
+        "generated": "generated_response", "generated_by_team": "generated_response", "generated_internal": "generated_response",
+        "partner_generated": "generated_response", "federal_agency": "source_opportunity",
+        "opportunity_source": "source_opportunity",
+    },
+    "opportunity_treatment.recommended_rag_treatment": {
+        "full_ingest": "full_document", "full_text": "full_document", "metadata": "metadata_only", "summary": "summary_only",
+    },
+    "proposal_context.status": {"pre_submission": "drafted", "in_progress": "active", "under_review": "pending"},
+}
+PROGRAM_PREFIXES = ("SBIR", "STTR", "FOA", "BAA")
