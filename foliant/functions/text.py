@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,25 +69,20 @@ def parse_list(c: Column) -> Column:
     return F.filter(given, lambda x: x != "")
 
 
+def any_word(text: Column, words) -> Column:
+    """Whether the lower-case text holds one of the words. One pattern, as a chain of searches grows the generated code of
+    each filter that repeats it beyond what Spark compiles."""
+    return F.lower(text).rlike("|".join(re.escape(word) for word in words))
+
+
 def first_rule(text: Column, rules, default: str | None) -> Column:
     """Value of the first rule of which the lower-case text holds a keyword."""
-    lower = F.lower(text)
     out = F.lit(default).cast("string")
     for words, value in reversed(rules):
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | lower.contains(word)
-        out = F.when(hit, value).otherwise(out)
+        out = F.when(any_word(text, words), value).otherwise(out)
     return out
 
 
-def any_word(text: Column, words) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.lower(text).contains(word)
-    return hit
-
-
 def quota_error(message: Column) -> Column:
     """Whether an error says that the day's tokens are spent."""
     low = F.lower(F.coalesce(message, F.lit("")))
