@@ -3,8 +3,8 @@
 Parts of credentials are found in each whole text. Strong ones (the base patterns) are reported as they are. Weak ones,
 such as a bare random token, a client name or an endpoint, say little alone: they are reported only when a complementary
 part lies near, in the same scope (the stretch between blank lines). Nearness is an interval join of the parts of a
-scope: each part's reach falls into buckets of that length, parts join by text, scope and bucket, and what is left is
-compared exactly. A bucket holds few parts, because parts have a least length.
+scope: a secret's reach and all of an id or endpoint fall into buckets of that length, parts join by text, scope and
+bucket, and what is left is compared exactly. A bucket holds few parts, because parts have a least length.
 """
 
 from __future__ import annotations
@@ -150,8 +150,9 @@ def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
         F.explode(F.sequence(bucket(F.col("start") - reach), bucket(F.col("end") + reach))).alias("bucket"),
     )
     others = part.where("role <> 'secret'").select(
-        "_text_key", "scope", F.struct("kind", "start", "end").alias("o"), bucket(F.col("start")).alias("bucket")
-    )
+        "_text_key", "scope", F.struct("kind", "start", "end").alias("o"),
+        F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("bucket"),
+    )
     near = secrets.join(others.hint("merge"), ["_text_key", "scope", "bucket"]).where(
         (F.col("s.start") <= F.col("o.end") + reach) & (F.col("o.start") <= F.col("s.end") + reach)
     )

@@ -104,6 +104,23 @@ def test_secrets_equal_brute_force_and_link_parts(spark, odd):
     assert secrets.find_secrets(odd).count() == len(ODD) and secrets.mask(odd.limit(0)).count() == 0
 
 
+def test_long_parts_link_at_any_position(spark):
+    token, texts = "aB3dEfGhIjKlMnOpQrStUv9", []
+    for length in (5, 300, 900):
+        for at in range(0, 420, 30):
+            for gap in (10, 199, 200, 201):
+                far = "https://" + "a." * (length // 2)
+                texts += [" " * at + far + " " * gap + token, " " * at + token + " " * gap + far]
+    want = []
+    for text in texts:
+        parts = secrets.parts_of(text)
+        near = lambda a, b: a[2] <= b[3] + secrets.REACH and b[2] <= a[3] + secrets.REACH
+        pairs = [(a, b) for a in parts for b in parts if a[1] == "secret" != b[1] and a[4] == b[4] and near(a, b)]
+        want.append(",".join(f"{secrets.KINDS[x[0]]}:{x[2]}:{x[3]}" for x in sorted({x for p in pairs for x in p}, key=lambda x: (x[2], x[0]))))
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == dict(enumerate(want)) and any(want) and not all(want)
+
+
 def test_top_k_is_exact_with_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     base = [rng.normal(size=6).tolist() for _ in range(40)]
