@@ -6,12 +6,14 @@ that is rare in both counts alike for both, and a rare word is judged by its ste
 model and under a toxic one that draws a few words in a thousand from toxic counts; the log-likelihood difference over
 the text's length, calibrated on training rows that the counts don't use, is its score.
 
-Counts cover every labelled training row and grow with them. N-grams of a share below LEAST_SHARE of all tokens stay in
-the back-off mass, which bounds the model by the inverse of that share, whatever the size of the corpus.
+Counts cover every labelled training row and grow with them; no n-gram is dropped, however rare. The model is a pair of
+written tables. If they are counted small they are sent to all tasks; else the distinct n-grams of the distinct words of
+the texts are joined to them, and the words of each distinct text to the words' ratios.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +39,9 @@ from foliant.llm.common import (
 )
 
 ORDER = 6
-#: An n-gram is in the model if its share of the n-gram tokens of its order is this large: at most 2e6 of an order.
-LEAST_SHARE = 5e-7
+#: A model of up to this number of n-grams and contexts is sent to all tasks (12 bytes each); a larger one is joined to
+#: the texts' n-grams by a shuffle.
+MODEL_BOUND = 8_000_000
 #: Discounts of a class's counts and of shared counts; pseudo-count of the shared estimate.
 CLASS_DISCOUNT, SHARED_DISCOUNT, SHARED_WEIGHT = 3.0, 0.75, 3.0
 #: Share of a toxic text's words that the toxic counts are asked for; largest log ratio of one word.
@@ -137,6 +140,16 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.slope * (self.cut - self.raw(texts)), -60, 60)))
 
 
+@dataclass
+class ToxicityTables:
+    """The same model as tables: ratios (g, ratio) and contexts (c, lam)."""
+
+    ratios: DataFrame
+    contexts: DataFrame
+    cut: float = MOST
+    slope: float = 1.0
+
+
 def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Value of each key, not a number where it isn't known."""
     if not len(known):
@@ -188,63 +201,73 @@ def shorter(gram: Column, prefix: bool) -> Column:
     return rest + (order - 1) * F.lit(1 << 48)
 
 
-def fit(training: DataFrame) -> ToxicityModel:
+def fit(training: DataFrame, bound: int = MODEL_BOUND) -> ToxicityModel | ToxicityTables:
     """Counts a model over (text, _toxic) rows. Without rows of both classes it knows no difference."""
     small_batches(training.sparkSession)
     words = sums(training.select("text", "_toxic").mapInArrow(_count_words, "w binary, n0 long, n1 long"), "w")
     grams = cut(sums(words.mapInArrow(_count_grams, "g long, n0 long, n1 long"), "g"))
-    order = F.shiftright("g", 48)
-    totals = {r[0]: r[1] for r in grams.groupBy(order).agg(F.sum(F.col("n0") + F.col("n1"))).collect()}
-    least = F.coalesce(*(F.when(order == k, F.lit(max(1.0, LEAST_SHARE * n))) for k, n in totals.items()), F.lit(1.0))
-    context = Window.partitionBy("h")
-    longer = grams.groupBy(shorter(F.col("g"), prefix=False).alias("g")).agg(F.count("*").alias("left"))
-    kept = (
-        grams.withColumn("h", shorter(F.col("g"), prefix=True))
-        .withColumn("t0", F.sum("n0").over(context))
-        .withColumn("t1", F.sum("n1").over(context))
-        .where(F.col("n0") + F.col("n1") >= least)
-        .join(longer.hint("shuffle_hash"), "g", "left")
-        .toPandas()  # bounded by LEAST_SHARE
-    )
-    return estimate(kept.sort_values("g", ignore_index=True))
+    tables = estimate(grams)
+    if tables.ratios.count() + tables.contexts.count() > bound:
+        return tables
+    ratios, contexts = (x.toPandas().sort_values(x.columns[0]) for x in (tables.ratios, tables.contexts))
+    return ToxicityModel(
+        ratios["g"].to_numpy(np.int64), ratios["ratio"].to_numpy(np.float32),
+        contexts["c"].to_numpy(np.int64), contexts["lam"].to_numpy(np.float32),
+    )
 
 
-def estimate(kept: pd.DataFrame) -> ToxicityModel:
-    """Class estimates over shared interpolated Kneser-Ney estimates, as log ratios."""
-    g, h = kept["g"].to_numpy(np.int64), kept["h"].to_numpy(np.int64)
-    n0, n1, t0, t1 = (kept[c].to_numpy(float) for c in ("n0", "n1", "t0", "t1"))
-    order = g >> 48
-    first = (g >> np.maximum(8 * (order - 1), 0)) & 0xFF
-    top = (order == ORDER) | (first == BEGIN)
+def estimate(grams: DataFrame) -> ToxicityTables:
+    """Class estimates over shared interpolated Kneser-Ney estimates, as log ratios. Windows are by context, so of at most
+    256 rows; shared estimates of an order are joined to those of the order below."""
+    order = F.shiftright("g", 48)
+    first = F.expr("shiftright(g, cast(greatest(8 * (shiftright(g, 48) - 1), 0) as int))").bitwiseAND(F.lit(0xFF))
+    longer = grams.groupBy(shorter(F.col("g"), prefix=False).alias("g")).agg(F.count("*").alias("left"))
+    context = Window.partitionBy("h")
     # Shared counts: tokens at the highest order and where words begin, else the number of different letters before.
-    count = np.where(top, n0 + n1, kept["left"].fillna(0).to_numpy(float))
-    _, of = np.unique(h, return_inverse=True)
-    total = np.maximum(np.bincount(of, count), 1.0)[of]
-    discounted = np.maximum(count - SHARED_DISCOUNT, 0)
-    back = 1 - np.bincount(of, discounted)[of] / total
-    shared = np.full(len(g), 1 / 256)
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero(order == k)
-        low = np.full(len(at), 1 / 256)
-        if k > 1:
-            suffix = (g[at] & ((1 << (8 * (k - 1))) - 1)) | ((k - 1) << 48)
-            low = np.nan_to_num(look_up(suffix, g, shared), nan=1 / 256)
-        shared[at] = discounted[at] / total[at] + back[at] * low
-    p, lam = [], []
-    for n, t in ((n0, t0), (n1, t1)):
-        n = np.maximum(n - CLASS_DISCOUNT, 0)
-        rest = t - np.bincount(of, n)[of] + SHARED_WEIGHT
-        p.append((n + rest * shared) / (t + SHARED_WEIGHT))
-        lam.append(np.log(rest / (t + SHARED_WEIGHT)))
-    contexts, at = np.unique(h[top], return_index=True)
-    return ToxicityModel(
-        g[top], np.log(p[1] / p[0])[top].astype(np.float32), contexts, (lam[1] - lam[0])[top][at].astype(np.float32)
+    counted = (
+        grams.join(longer.hint("shuffle_hash"), "g", "left")
+        .withColumn("h", shorter(F.col("g"), prefix=True))
+        .withColumn("top", (order == ORDER) | (first == BEGIN))
+        .withColumn("n", F.when(F.col("top"), F.col("n0") + F.col("n1")).otherwise(F.coalesce("left", F.lit(0))).cast("double"))
+        .withColumn("total", F.greatest(F.sum("n").over(context), F.lit(1.0)))
+        .withColumn("kept", F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) / F.col("total"))
+        .withColumn("back", 1 - F.sum("kept").over(context))
     )
-
-
-def scored(documents: DataFrame, model: ToxicityModel, raw: bool = False) -> DataFrame:
+    for k in (0, 1):
+        less = F.greatest(F.col(f"n{k}") - CLASS_DISCOUNT, F.lit(0.0))
+        counted = (
+            counted.withColumn(f"t{k}", F.sum(f"n{k}").over(context) + SHARED_WEIGHT)
+            .withColumn(f"n{k}", less)
+            .withColumn(f"rest{k}", F.col(f"t{k}") - F.sum(f"n{k}").over(context))
+        )
+    counted = cut(counted.select("g", "h", "top", "kept", "back", "n0", "n1", "t0", "t1", "rest0", "rest1"))
+    p = [(F.col(f"n{k}") + F.col(f"rest{k}") * F.col("shared")) / F.col(f"t{k}") for k in (0, 1)]
+    below, found = None, []
+    for k in range(1, ORDER + 1):
+        rows = counted.where(order == k)
+        if below is None:
+            rows = rows.withColumn("low", F.lit(None).cast("double"))
+        else:
+            rows = rows.withColumn("suffix", shorter(F.col("g"), prefix=False)).join(
+                below.select(F.col("g").alias("suffix"), F.col("shared").alias("low")).hint("shuffle_hash"), "suffix", "left"
+            )
+        shared = F.col("kept") + F.col("back") * F.coalesce("low", F.lit(1 / 256))
+        below = rows.withColumn("shared", shared).select("g", "top", "shared", F.log(p[1] / p[0]).cast("float").alias("ratio"))
+        below = cut(below)
+        found.append(below.where("top").select("g", "ratio"))
+    ratios = found[0]
+    for x in found[1:]:
+        ratios = ratios.union(x)
+    lam = F.log(F.col("rest1") / F.col("t1")) - F.log(F.col("rest0") / F.col("t0"))
+    contexts = counted.where("top").groupBy(F.col("h").alias("c")).agg(F.first(lam).cast("float").alias("lam"))
+    return ToxicityTables(ratios, cut(contexts))
+
+
+def scored(documents: DataFrame, model: ToxicityModel | ToxicityTables, raw: bool = False) -> DataFrame:
     """All columns of documents and _score; `raw`: before calibration."""
     small_batches(documents.sparkSession)
+    if isinstance(model, ToxicityTables):
+        return scored_by_join(documents, model, raw)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
@@ -256,7 +279,72 @@ def scored(documents: DataFrame, model: ToxicityModel, raw: bool = False) -> Dat
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
-def calibrate(model: ToxicityModel, rows: DataFrame) -> ToxicityModel:
+def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, w, n): how often each distinct text has each of its words."""
+    for batch in batches:
+        for text in set(strings(batch.column(0))):
+            words = Counter(words_of(text).split())
+            if words:
+                columns = [pa.array([text_key(text)] * len(words)), pa.array(list(words), pa.binary()), pa.array(words.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "w", "n"])
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, g, c): each word with the n-gram that ends at each of its letters, and the context before it."""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        if not words:
+            continue
+        codes, starts, ends = word_spans(b" ".join(words) + b" ")
+        marks, place, _ = marked(codes, starts, ends)
+        at = np.flatnonzero(place > 0)
+        which = np.repeat(np.arange(len(words)), ends - starts + 2)[at]
+        columns = [pa.array(words, pa.binary()).take(pa.array(which)), *(pa.array(x) for x in (packed(marks, place, ORDER)[at], packed(marks, place, ORDER - 1)[at - 1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["w", "g", "c"])
+
+
+def text_key(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def scored_by_join(documents: DataFrame, model: ToxicityTables, raw: bool) -> DataFrame:
+    """The same with a model of any size. A word comes once for each distinct text, so the commonest has a share of the
+    rows that falls with the texts' lengths."""
+    at = documents.columns.index("text")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(at))
+            n = [len(words_of(x).split()) for x in texts]
+            found = pa.array([text_key(x) if k else None for x, k in zip(texts, n, strict=True)], pa.string())
+            yield batch.append_column("_k", found).append_column("_n", pa.array(n, pa.int64()))
+
+    rows = documents.mapInArrow(
+        keys, T.StructType([*documents.schema.fields, T.StructField("_k", T.StringType()), T.StructField("_n", T.LongType())])
+    )
+    of_text = (
+        documents.select("text").mapInArrow(_text_words, "k string, w binary, n long").groupBy("k", "w").agg(F.first("n").alias("n"))
+    )
+    ratio = F.least(F.sum(F.coalesce("ratio", "lam", F.lit(0.0))), F.lit(MOST_OF_A_WORD))
+    of_word = (
+        of_text.select("w").distinct().mapInArrow(_word_grams, "w binary, g long, c long")
+        .join(model.ratios.hint("merge"), "g", "left").join(model.contexts.hint("merge"), "c", "left")
+        .groupBy("w").agg(F.log1p(TOXIC_SHARE * F.expm1(ratio)).alias("value"))
+    )
+    totals = (
+        of_text.join(of_word.hint("merge"), "w").groupBy(F.col("k").alias("_k")).agg(F.sum(F.col("n") * F.col("value")).alias("_total"))
+    )
+    # Rows without words need no join.
+    alone = rows.where("_k is null").withColumn("_total", F.lit(0.0))
+    beside = rows.where("_k is not null").join(totals.hint("merge"), "_k", "left").select(*rows.columns, "_total")
+    score = F.col("_total") / (F.col("_n") + PRIOR_LENGTH)
+    if not raw:
+        far = F.least(F.greatest(model.slope * (model.cut - score), F.lit(-60.0)), F.lit(60.0))
+        score = 1.0 / (1.0 + F.exp(far))
+    return alone.union(beside).select(*documents.columns, score.alias("_score"))
+
+
+def calibrate(model: ToxicityModel | ToxicityTables, rows: DataFrame) -> ToxicityModel | ToxicityTables:
     """Sets the cut where F1 of the toxic class is best over labelled rows; only counts of score bins are gathered.
     Without rows of both classes nothing is toxic."""
     bins = (
@@ -279,13 +367,13 @@ def calibrate(model: ToxicityModel, rows: DataFrame) -> ToxicityModel:
     return model
 
 
-def learn(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
+def learn(documents: DataFrame, labels: DataFrame, bound: int = MODEL_BOUND) -> ToxicityModel | ToxicityTables:
     """Model of all labelled rows whose fold of 5 isn't 0: fold 1 calibrates, the others are counted."""
     labelled = with_labels(documents, labels)
-    return calibrate(fit(labelled.where(fold(5) > 1)), labelled.where(fold(5) == 1))
+    return calibrate(fit(labelled.where(fold(5) > 1), bound), labelled.where(fold(5) == 1))
 
 
-def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+def toxicity(documents: DataFrame, model: ToxicityModel | ToxicityTables) -> DataFrame:
     """doc_id, held_out, score (0..1), predicted of every document; a null text scores as an empty one, which has no
     evidence. Repeated rows are scored once each."""
     return scored(documents.select("doc_id", "text"), model).select(

@@ -235,6 +235,28 @@ def test_toxicity_of_held_out_documents(spark, odd):
     assert nothing.raw(["a b"]).tolist() == [0.0] and nothing.score(["a"])[0] < 0.5
 
 
+def test_toxicity_keeps_rare_ngrams_of_a_large_corpus(spark):
+    from pyspark.sql import functions as F
+
+    ordinary = " ".join(f"ordinary{a}words{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    rows = spark.range(0, 30_000, 1, 4).select(F.when(F.col("id") % 3000 == 0, ordinary + " zqxj").otherwise(ordinary).alias("text"), (F.col("id") % 3000 == 0).cast("int").alias("_toxic"))
+    model = toxicity.fit(rows)
+    # ten toxic uses tell the word from one that nobody has used
+    assert model.raw(["zqxj zqxj"])[0] > model.raw(["vbnm vbnm"])[0] + 0.1
+
+
+def test_toxicity_by_join_equals_toxicity_by_broadcast(spark, odd):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    small, large = toxicity.learn(docs, labels), toxicity.learn(docs, labels, bound=0)
+    assert isinstance(small, toxicity.ToxicityModel) and isinstance(large, toxicity.ToxicityTables)
+    assert large.cut == pytest.approx(small.cut) and large.slope == pytest.approx(small.slope)
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        a, b = (sorted(tuple(r) for r in toxicity.scored(df, m, raw=True).selectExpr("coalesce(doc_id, 0) as doc_id", "_score").collect()) for m in (small, large))
+        assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], abs=1e-6)
+        a, b = (sorted((r.doc_id or 0, r.predicted) for r in toxicity.toxicity(df, m).collect()) for m in (small, large))
+        assert a == b
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "assistant", r"\b <turn x> </turn> \\l"), (1, 0, "user", None), (1, 2, "user", "bye"), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "assistant", "")]
     formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
