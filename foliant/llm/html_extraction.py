@@ -5,7 +5,7 @@ For each node the host's pages give the entropy of its contents: navigation, not
 on page after page, articles don't. Importance weighs this with the presentation of the branch (what its elements are
 for, and how much of it is links). Branches of low importance are removed from every page; what is left is its text.
 
-The tree is counted in Spark: pages give (host, node, content) counts, summed by partial aggregates, so a host with a
+The tree is counted in Spark: distinct pages give (node, content) counts, summed by partial aggregates, so a host with a
 third of all pages is no hot group. Nodes to remove are few, since pages of a host share them; they are sent to all tasks
 if their number is within a bound, else joined to the pages' blocks.
 """
@@ -83,29 +83,33 @@ def plain_nodes(html: str) -> dict[tuple[str, ...], tuple[str, int, int]]:
     return {path: ("\n".join(t), n, k) for path, (t, n, k) in out.items()}
 
 
+def page_key(nodes: dict[tuple[str, ...], tuple[str, int, int]]) -> int:
+    """What makes a page distinct on its host: its branches and their contents, not its address or frame."""
+    return content_key("\x00".join(x for path, (text, _, _) in nodes.items() for x in (*path, text)))
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[int, int], list[int]] = {}
+        found: dict[tuple[int, int, int], tuple[int, int]] = {}
         for url, html in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-            host = host_of(url)
-            for path, (text, n, linked) in plain_nodes(html).items():
-                c = counts.setdefault((node_key(host, path), content_key(text)), [0, 0, 0])
-                c[0] += 1
-                c[1] += n
-                c[2] += linked
+            host, nodes = host_of(url), plain_nodes(html)
+            page = page_key(nodes)
+            for path, (text, n, linked) in nodes.items():
+                found[node_key(host, path), content_key(text), page] = n, linked
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in counts], pa.int64()) for i in (0, 1)]
-            + [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3)],
-            names=["node", "content", "n", "chars", "linked"],
+            [pa.array([k[i] for k in found], pa.int64()) for i in range(3)]
+            + [pa.array([c[i] for c in found.values()], pa.int64()) for i in range(2)],
+            names=["node", "content", "page", "chars", "linked"],
         )
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(node, importance) of all branches that presentation alone does not decide."""
+    """(node, importance) of all branches that presentation alone does not decide. Copies of a page count once."""
     small_batches(pages.sparkSession, 200)
     counted = (
-        pages.select("url", "html").mapInArrow(_tree, "node long, content long, n long, chars long, linked long")
-        .groupBy("node", "content").agg(*(F.sum(c).alias(c) for c in ("n", "chars", "linked")))
+        pages.select("url", "html").mapInArrow(_tree, "node long, content long, page long, chars long, linked long")
+        .groupBy("node", "content", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+        .groupBy("node", "content").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked")))
     )
     by_node = counted.groupBy("node").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("chars").alias("chars"),

@@ -121,6 +121,13 @@ def test_long_parts_link_at_any_position(spark):
     assert {r.doc_id: r.spans for r in got} == dict(enumerate(want)) and any(want) and not all(want)
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<div class='x'><p>Only text of this host</p></div><footer>{}</footer>"
+    rows = [(i, f"http://h/{i}", page.format(i % 3)) for i in range(40)] + [(i, f"http://k/{i}", page.format(0) if i < 90 else f"<div class='x'><p>Text {i}</p></div>") for i in range(50, 92)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in [*range(40), *range(50, 90)]} == {"Only text of this host"} and got[91] == "Text 91"
+
+
 def test_top_k_is_exact_with_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     base = [rng.normal(size=6).tolist() for _ in range(40)]
