@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from foliant.llm.common import small_batches, strings, table
 from foliant.llm.html_dom import blocks
 
-#: Branches of less importance go. Weights of the presentation's own worth and of the contents' entropy.
-LEAST_IMPORTANCE, BASE_WEIGHT, ENTROPY_WEIGHT = 0.3, 0.4, 0.6
+#: Branches of less importance go. Weight of the contents' entropy, beside that of the presentation.
+LEAST_IMPORTANCE, ENTROPY_WEIGHT = 0.3, 0.6
 #: Entropy of a node needs so many distinct pages of the host.
 LEAST_PAGES = 5
 #: Worth of a branch by its presentation.
 ARTICLE, PLAIN, LINKS, CHROME = 1.0, 0.6, 0.2, 0.0
+#: What presentation adds to importance: an article's branch goes if its entropy is below 1/12, a plain one below 1/6, one
+#: of links always.
+PRESENTATION = {ARTICLE: 0.25, PLAIN: 0.2, LINKS: -0.4}
 #: Nodes to remove up to this number are sent to all tasks (8 bytes each).
 NODES_BOUND = 2_000_000
 #: Elements, and words in class, id or role, of what is no main text.
@@ -71,11 +74,11 @@ def host_of(url: str) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[-1], maxsplit=1)[0].lower()
 
 
-def plain_nodes(html: str) -> dict[tuple[str, ...], tuple[str, int, int]]:
-    """Content, characters and linked characters of each branch of a page that presentation alone does not decide."""
+def open_nodes(html: str) -> dict[tuple[str, ...], tuple[str, int, int]]:
+    """Content, characters and linked characters of each branch of a page that is no chrome."""
     out: dict[tuple[str, ...], list] = {}
     for path, text, linked in blocks(html):
-        if worth(path) == PLAIN:
+        if worth(path) > CHROME:
             node = out.setdefault(path, [[], 0, 0])
             node[0].append(text)
             node[1] += len(text)
@@ -90,53 +93,54 @@ def page_key(nodes: dict[tuple[str, ...], tuple[str, int, int]]) -> int:
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[tuple[int, int, int], tuple[int, int]] = {}
+        found: dict[tuple[int, int, int], tuple[int, int, bool]] = {}
         for url, html in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-            host, nodes = host_of(url), plain_nodes(html)
+            host, nodes = host_of(url), open_nodes(html)
             page = page_key(nodes)
             for path, (text, n, linked) in nodes.items():
-                found[node_key(host, path), content_key(text), page] = n, linked
+                found[node_key(host, path), content_key(text), page] = n, linked, worth(path) == ARTICLE
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[i] for k in found], pa.int64()) for i in range(3)]
-            + [pa.array([c[i] for c in found.values()], pa.int64()) for i in range(2)],
-            names=["node", "content", "page", "chars", "linked"],
+            + [pa.array([int(c[i]) for c in found.values()], pa.int64()) for i in range(3)],
+            names=["node", "content", "page", "chars", "linked", "article"],
         )
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(node, importance) of all branches that presentation alone does not decide. Copies of a page count once."""
+    """(node, importance) of all branches but chrome. Copies of a page count once."""
     small_batches(pages.sparkSession, 200)
     counted = (
-        pages.select("url", "html").mapInArrow(_tree, "node long, content long, page long, chars long, linked long")
-        .groupBy("node", "content", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
-        .groupBy("node", "content").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked")))
+        pages.select("url", "html").mapInArrow(_tree, "node long, content long, page long, chars long, linked long, article long")
+        .groupBy("node", "content", "page").agg(*(F.max(c).alias(c) for c in ("chars", "linked", "article")))
+        .groupBy("node", "content").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked")), F.max("article").alias("article"))
     )
     by_node = counted.groupBy("node").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("chars").alias("chars"),
-        F.sum("linked").alias("linked"),
+        F.sum("linked").alias("linked"), F.max("article").alias("article"),
     )
     # Entropy to the base of the number of pages: 1 if all contents differ, 0 if all are the same.
     entropy = F.when(F.col("m") < LEAST_PAGES, F.lit(1.0)).otherwise(1 - F.col("s") / (F.col("m") * F.log("m")))
-    presentation = F.when(F.col("linked") > 0.6 * F.col("chars"), LINKS).otherwise(PLAIN)
-    return by_node.select("node", (presentation * (BASE_WEIGHT + ENTROPY_WEIGHT * entropy)).alias("importance"))
+    presentation = (
+        F.when(F.col("article") > 0, PRESENTATION[ARTICLE])
+        .when(F.col("linked") > 0.6 * F.col("chars"), PRESENTATION[LINKS])
+        .otherwise(PRESENTATION[PLAIN])
+    )
+    return by_node.select("node", (presentation + ENTROPY_WEIGHT * entropy).alias("importance"))
 
 
 def main_text(url: str, html: str, removed) -> str:
-    found = [(path, text, worth(path)) for path, text, _ in blocks(html)]
-    if any(w == ARTICLE for _, _, w in found):
-        kept = [text for _, text, w in found if w == ARTICLE]
-    else:
-        host = host_of(url)
-        kept = [text for path, text, w in found if w > CHROME and node_key(host, path) not in removed]
-    return "\n".join(kept)
+    host = host_of(url)
+    return "\n".join(
+        text for path, text, _ in blocks(html) if worth(path) > CHROME and node_key(host, path) not in removed
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A page with a branch that presents itself as the article (article, main, or a class that says so) gives that
-    branch's blocks, without the menus, forms, notices and comments inside it. Other pages give the branches that the
-    style tree of their host does not find unimportant. Null html is empty; repeated rows are read once each; a null url
+    A page gives the branches that the style tree of its host does not find unimportant, those inside an article (article,
+    main, or a class that says so) too; they only weigh more. Menus, forms, notices and comments that say so are left
+    out whatever their contents, as those differ by page (footers, comments) like main text does. Null html is empty; repeated rows are read once each; a null url
     is a host of its own.
     """
     low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE).select("node")
@@ -165,7 +169,7 @@ def _extract_by_join(pages: DataFrame, low: DataFrame) -> DataFrame:
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [
-                [node_key(host_of(u), p) for p in plain_nodes(h)]
+                [node_key(host_of(u), p) for p in open_nodes(h)]
                 for u, h in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True)
             ]
             yield batch.append_column("nodes", pa.array(keys, pa.list_(pa.int64())))

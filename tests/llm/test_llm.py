@@ -128,6 +128,15 @@ def test_copies_of_a_page_count_once(spark):
     assert {got[i] for i in [*range(40), *range(50, 90)]} == {"Only text of this host"} and got[91] == "Text 91"
 
 
+def test_entropy_decides_beside_presentation(spark):
+    # a notice without telltale class in the article goes; main text beside an element of class "text" stays
+    inside = "<article><div class='x'><p>Read our terms</p></div><p>Story {0}</p></article>"
+    beside = "<div class='text'><p>Tag {0}</p></div><div class='y'><p>Long story {0}</p></div><div class='z'><p>Same line</p></div>"
+    rows = [(i, f"http://h{i % 2}/{i}", (inside, beside)[i % 2].format(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Tag {i}\nLong story {i}" if i % 2 else f"Story {i}" for i in range(40)}
+
+
 def test_top_k_is_exact_with_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     base = [rng.normal(size=6).tolist() for _ in range(40)]
