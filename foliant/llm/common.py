@@ -1,9 +1,9 @@
-"""Shared helpers: table reads, checkpointing, Arrow batches, vectorised word hashing."""
+"""Shared helpers: table reads, written tables that cut lineage, Arrow batches, vectorised word hashing."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +27,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "foliant-checkpoint"))
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where none is set a local session, as in tests, gets a folder of its own; on a
+    cluster that is an error, since executors don't share the driver's folders."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", "") or _own_folder
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+        named = _own_folder = tempfile.mkdtemp(prefix="foliant-")
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path. Lost executors cost no recomputation of what lies
+    before it."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so lost executors cost no recomputation."""
-    set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage: the rows, written out and read back."""
+    return stored(df)[0]
+
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a table of `stored` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds Arrow batches, because one text may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until the rows have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` and of about `size` bytes, because one text may be megabytes long.
+    Spark bounds the bytes of the batches it sends by itself."""
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -161,7 +196,3 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
             h = (h * BASE + x) & MASK
         out[offsets[i]] = h
     return mix(out), n
-
-
-def text_of(df: DataFrame, name: str = "text") -> DataFrame:
-    return df.select("doc_id", F.coalesce(F.col(name), F.lit("")).alias(name))

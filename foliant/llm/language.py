@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, mix, segments, small_batches, strings, table
+from foliant.llm.common import cut, mix, segments, sliced, strings, table
 
 N = 3
 SLOTS, HASHES = 1 << 20, 2
@@ -88,7 +88,7 @@ def slots_of(keys: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts, langs = strings(batch.column(0)), batch.column(1).to_pylist()
         out: list[tuple] = []
         for lang in sorted(set(langs)):
@@ -143,7 +143,6 @@ class LanguageFilter:
 
 def learn(training: DataFrame) -> LanguageFilter:
     """Filters of all languages of (text, lang) rows; null langs take no part. No rows give no languages."""
-    small_batches(training.sparkSession)
     counted = (
         training.where("lang is not null").select("text", "lang")
         .mapInArrow(_count, "g long, lang string, n long")
@@ -180,14 +179,13 @@ def identify(documents: DataFrame, model: LanguageFilter) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, score = shared.value.predict(strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    small_batches(documents.sparkSession)
     found = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 

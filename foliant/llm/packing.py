@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut, small_batches, strings, table
+from foliant.llm.common import cut, sliced, strings, table
 
 WINDOW = 1024
 #: Pieces of one length are ranked in so many buckets side by side.
@@ -96,7 +96,7 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW,
 
         bpe = ByteBpe(tokenizer_path)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             texts, ids = strings(batch.column(1)), batch.column(0).to_pylist()
             for doc_id, got in zip(ids, bpe.ids(texts), strict=True):
@@ -110,7 +110,6 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW,
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    small_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
