@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut, small_batches, table
+from foliant.llm.common import cut, sliced, table
 
 SCALE, MODULUS, K = 256, 50, 5
 BLOCK, QUERY_BLOCK = 4096, 128
 #: High bits of a component that have slices; the others are left to the boundary.
 SLICED_BITS = 7
-#: Quantised components are clamped to this, so that scores fit 64 bits.
-CLAMP = 1 << 26
+#: A double below this is an exact integer after rounding down; a larger one is an integer as it is.
+EXACT = float(1 << 53)
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+LARGEST = (1 << 63) - 1
 
 
 def bitmaps(bits: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ def slice_block(vectors: np.ndarray) -> tuple[np.ndarray, int, int]:
     shift = max(0, bits - SLICED_BITS)
     offset = 1 << (bits - shift - 1)
     high = np.zeros((dims, -(-n // 64) * 64), np.int64)
-    high[:, :n] = (vectors >> shift).T + offset
+    high[:, :n] = ((vectors >> shift).T + offset).astype(np.int64)
     return np.stack([bitmaps((high >> b) & 1 == 1) for b in range(bits - shift)], axis=1), shift, offset
 
 
@@ -113,36 +114,52 @@ def search_block(
     """For each query its number, the entries that can be among the k best (the exact ones and their ties), and their
     scores."""
     n = len(vectors)
+    if len(queries) and n and float(abs(vectors).max()) * float(abs(queries).max()) * vectors.shape[1] >= 2.0**62:
+        vectors, queries = vectors.astype(object), queries.astype(object)  # integers of any size
     valid = bitmaps(np.arange(slices.shape[2] * 64) < n)
     planes = add_slices(slices, queries)
     bits = kth_best(planes, valid, k)
     # The dropped low bits and the offset of absent dimensions shift sums by less than this.
-    reach = -(-(((1 << shift) - 1) * np.abs(queries).sum(axis=1)) // (1 << shift))
-    least = [
-        max(0, sum(1 << i for i, b in enumerate(bits) if b[q]) - int(reach[q])) for q in range(len(queries))
-    ]
+    sums = [sum(map(abs, q)) for q in queries.tolist()]
+    reach = [-(-(((1 << shift) - 1) * x) // (1 << shift)) for x in sums]
+    least = [max(0, sum(1 << i for i, b in enumerate(bits) if b[q]) - reach[q]) for q in range(len(queries))]
     boundary = np.unpackbits(at_least(planes, least, valid).view(np.uint8), axis=1, bitorder="little")[:, :n]
     for q in range(len(queries)):
         entries = np.flatnonzero(boundary[q])
         score = vectors[entries] @ queries[q]
         if len(entries) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            keep = score >= np.sort(score)[len(score) - k]
             entries, score = entries[keep], score[keep]
         yield q, entries, score
 
 
+def ordered(score: int) -> bytes:
+    """Bytes that sort like the integers they stand for, of any size."""
+    size = abs(score)
+    data = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    data = len(data).to_bytes(4, "big") + data
+    return b"\x01" + data if score >= 0 else b"\x00" + bytes(255 - b for b in data)
+
+
 def quantised(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id and q (array of long) of the vectors that take part."""
-    x = F.col("embedding").cast("array<double>")
+    """vec_id and q (integers, as an array of double) of the vectors that take part."""
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * scale)
     whole = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    bounded = lambda v: F.greatest(F.least(F.floor(F.least(F.greatest(v * scale, F.lit(-1e15)), F.lit(1e15))), F.lit(CLAMP)), F.lit(-CLAMP))
+    down = lambda v: F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v)
     return embeddings.where("vec_id is not null and embedding is not null").where(whole).select(
-        "vec_id", F.transform(x, bounded).alias("q")
+        "vec_id", F.transform(x, down).alias("q")
     )
 
 
+def integers(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers as 64-bit integers, or as Python's if any is too large for a double's exact range."""
+    if not a.size or np.abs(a).max() < EXACT:
+        return a.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in a.tolist()], object)
+
+
 def matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
+    out = np.zeros((len(rows), dims))
     for i, x in enumerate(rows):
         out[i, : len(x)] = x
     return out
@@ -158,7 +175,7 @@ def build_index(entries: DataFrame, blocks: int) -> DataFrame:
         pdf = pdf.sort_values("first", kind="stable")
         dims = max(1, int(pdf["q"].map(len).max()))
         vectors = matrix(pdf["q"], dims)
-        slices, shift, _ = slice_block(vectors)
+        slices, shift, _ = slice_block(integers(vectors))
         return pd.DataFrame(
             {
                 "block": [int(pdf["block"].iloc[0])], "dims": [dims], "shift": [shift], "n": [len(vectors)],
@@ -176,11 +193,11 @@ def top_k(embeddings: DataFrame, modulus: int = MODULUS, k: int = K, scale: int
     """query_id, rank, vec_id, score: the k highest inner products of each row whose vec_id is divisible by `modulus`
     with all rows but its own; ties to smaller vec_id.
 
-    Vectors that are null, or hold null or non-finite components, take no part, nor do rows without id. Rows that repeat
-    a vec_id are candidates each; as a query an id counts once for each of its vectors. Components beyond CLAMP after
-    scaling are clamped; shorter vectors are padded with zeros. An empty table gives no rows.
+    Vectors that are null, or hold null or non-finite components (also after scaling), take no part, nor do rows without
+    id. Rows that repeat a vec_id are candidates each; as a query an id counts once for each of its vectors. Products are
+    exact whatever their size, and so are ranks; a score that doesn't fit a long is given as the nearest one. Shorter
+    vectors are padded with zeros. An empty table gives no rows.
     """
-    small_batches(embeddings.sparkSession, 64)
     rows = quantised(embeddings, scale)
     nth = Window.partitionBy("q").orderBy("vec_id")
     entries = cut(
@@ -198,31 +215,34 @@ def top_k(embeddings: DataFrame, modulus: int = MODULUS, k: int = K, scale: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 64):
             out: list[tuple] = []
             for row in batch.to_pylist():
                 dims = max(row["dims"], *(len(x) for x in row["qs"]))
-                data = np.zeros((row["n"], dims), np.int64)
-                data[:, : row["dims"]] = np.frombuffer(row["vectors"], np.int64).reshape(row["n"], row["dims"])
+                data = np.zeros((row["n"], dims))
+                data[:, : row["dims"]] = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
                 words = -(-row["n"] // 64)
                 slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], -1, words)
                 # Dimensions that no entry of the block has add nothing to a score.
                 more = np.zeros((dims - row["dims"], *slices.shape[1:]), np.uint64)
-                asking = matrix(pd.Series(row["qs"]), dims)
-                for q, found, score in search_block(data, np.concatenate([slices, more]), row["shift"], asking, k + 1):
+                asking = integers(matrix(pd.Series(row["qs"]), dims))
+                for q, found, score in search_block(integers(data), np.concatenate([slices, more]), row["shift"], asking, k + 1):
                     best = sorted(
                         (-s, i) for e, s in zip(found.tolist(), score.tolist(), strict=True) for i in row["ids"][e]
                     )[: k + 1]
-                    out += [(row["vks"][q], -s, i) for s, i in best]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vk", "score", "vec_id"])
+                    out += [(row["vks"][q], ordered(-s), max(min(-s, LARGEST), ~LARGEST), i) for s, i in best]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["vk", "exact", "score", "vec_id"]
+            )
 
     found = (
         queries.join(index.hint("shuffle_hash"), "block")
         .select("vks", "qs", "dims", "shift", "n", "slices", "vectors", "ids")
-        .mapInArrow(run, "vk long, score long, vec_id long")
+        .mapInArrow(run, "vk long, exact binary, score long, vec_id long")
     )
-    order = (F.col("score").desc(), F.col("vec_id"))
+    order = (F.col("exact").desc(), F.col("vec_id"))
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("vk").orderBy(*order))).where(F.col("_n") <= k + 1)
     return (
         asked.select(F.col("vec_id").alias("query_id"), "vk").distinct()
