@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 
@@ -67,16 +68,19 @@ def pretoken_starts(codes: np.ndarray, classes: np.ndarray, text_starts: np.ndar
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary file; special tokens in a text count as ordinary text."""
+    """Ids of a byte-level BPE vocabulary file; its special tokens in a text have their own ids, as in `tokenizers`."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
         letters = byte_alphabet()
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if all(c in letters for c in k)}
-        ranks = {k: v for k, v in ranks.items() if k != b"<|endoftext|>"}
+        tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        # The longest of several that begin at one place.
+        self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if all(c in letters for c in k) and k not in self.special}
         self.encode_piece = tiktoken.Encoding(
             "byte_bpe", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={}
         )._core_bpe.encode_single_piece
@@ -89,6 +93,25 @@ class ByteBpe:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """One little-endian uint32 array of ids for each text."""
+        pieces: list[str] = []
+        parts: list[tuple[int, list[int]]] = []  # of each text its first piece, and the special ids between its pieces
+        for text in texts:
+            marks = [(m.span(), self.special[m[0]]) for m in self.split.finditer(text)] if any(t in text for t in self.special) else []
+            parts.append((len(pieces), [i for _, i in marks]))
+            at = 0
+            for (a, b), _ in marks:
+                pieces.append(text[at:a])
+                at = b
+            pieces.append(text[at:])
+        found, out = self._pieces(pieces), []
+        for first, special in parts:
+            one = [found[first]]
+            for k, i in enumerate(special):
+                one += [np.array([i], "<u4"), found[first + k + 1]]
+            out.append(np.concatenate(one) if special else one[0])
+        return out
+
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
