@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import WORD_BYTES, small_batches, table
+from foliant.llm.common import WORD_BYTES, fresh, sliced, table
 
 WINDOW = 10
 #: Item words in one block of the index; a larger benchmark makes more passes over the documents.
@@ -77,7 +77,7 @@ def word_counts(documents: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         known = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts.update([w for w in words_of(text) if w in known])
         yield pa.RecordBatch.from_arrays(
@@ -88,23 +88,23 @@ def word_counts(documents: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
     return {bytes(r["w"]): r["n"] for r in got}
 
 
-HITS = T.StructType(
-    [
-        T.StructField("_n_words", T.LongType()),
-        T.StructField("_spans", T.ArrayType(T.LongType())),
-        T.StructField("_items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def with_hits(documents: DataFrame, items: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of documents, the number of words, hit spans (starts and ends in turn) and ids of occurring items.
-    Items without an id, or without words, take no part; a null text has no words."""
-    small_batches(documents.sparkSession)
-    items = items.where("item_id is not null")
-    names, at = documents.columns, documents.columns.index("text")
-    out = documents.withColumns({"_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    schema = T.StructType([*documents.schema.fields, *HITS.fields])
+def with_hits(
+    documents: DataFrame, items: DataFrame, names: list[str], width: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """All columns of documents, and under the three names the number of words, hit spans (starts and ends in turn) and ids
+    of occurring items. Items without words take no part; those without an id count as one item of no name. A null text
+    has no words."""
+    n_words, spans_of, items_of = names
+    columns, at = documents.columns, documents.columns.index("text")
+    out = documents.withColumns({spans_of: F.array().cast("array<long>"), items_of: F.array().cast("array<string>")})
+    schema = T.StructType(
+        [
+            *documents.schema.fields,
+            T.StructField(n_words, T.LongType()),
+            T.StructField(spans_of, T.ArrayType(T.LongType())),
+            T.StructField(items_of, T.ArrayType(T.StringType())),
+        ]
+    )
     for block in item_blocks(items, block_words):
         vocabulary = {w for _, words in block for w in words}
         index = documents.sparkSession.sparkContext.broadcast(
@@ -112,33 +112,23 @@ def with_hits(documents: DataFrame, items: DataFrame, width: int = WINDOW, block
         )
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, spans, ids = [], batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+            for batch in sliced(batches):
+                n, spans, ids = [], batch.column(spans_of).to_pylist(), batch.column(items_of).to_pylist()
                 for i, text in enumerate(batch.column(at).to_pylist()):
                     words = words_of(text)
                     found, hit = index.value.find(words)
                     n.append(len(words))
                     if hit:
                         spans[i] = [*spans[i], *(x for span in merged(found) for x in span)]
-                        ids[i] = [*ids[i], *map(str, hit)]
+                        ids[i] = [*ids[i], *(None if x is None else str(x) for x in hit)]
+                added = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+                kinds = [pa.field(c, x.type) for c, x in zip(names, added, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c) for c in names),
-                        pa.array(n, pa.int64()),
-                        pa.array(spans, pa.list_(pa.int64())),
-                        pa.array(ids, pa.list_(pa.string())),
-                    ],
-                    schema=pa.schema(
-                        [
-                            *(batch.schema.field(c) for c in names),
-                            pa.field("_n_words", pa.int64()),
-                            pa.field("_spans", pa.list_(pa.int64())),
-                            pa.field("_items", pa.list_(pa.string())),
-                        ]
-                    ),
+                    [*(batch.column(i) for i in range(len(columns))), *added],
+                    schema=pa.schema([*(batch.schema.field(i) for i in range(len(columns))), *kinds]),
                 )
 
-        out = out.select(*names, "_spans", "_items").mapInArrow(run, schema)
+        out = out.select(*columns, spans_of, items_of).mapInArrow(run, schema)
     return out
 
 
@@ -152,16 +142,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+NAMES = ["_n_words", "_spans", "_items"]
+
+
 def digest_hits(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hit, n, sha = [], [], []
             for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 hit.append(sum(b - a for a, b in merged(list(zip(spans[::2], spans[1::2], strict=True)))))
-                ids = sorted(set(items))
-                n.append(len(ids))
+                n.append(len(set(items)))
+                ids = sorted(x for x in set(items) if x is not None)
                 sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,7 +168,7 @@ def digest_hits(found: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.select("doc_id", "_n_words", "_spans", "_items").mapInArrow(
+    return found.select("doc_id", *NAMES).mapInArrow(
         run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     )
 
@@ -183,7 +176,7 @@ def digest_hits(found: DataFrame) -> DataFrame:
 def decontaminate(documents: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per row of documents: how many words lie in occurrences of item windows, and of which items. Repeated
     rows are judged once each; without items nothing is hit."""
-    return digest_hits(with_hits(documents.select("doc_id", "text"), items, width))
+    return digest_hits(with_hits(documents.select("doc_id", "text"), items, NAMES, width))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +194,7 @@ items AS (
     SELECT item_id, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-    FROM benchmark WHERE item_id IS NOT NULL),
+    FROM benchmark),
 windows AS (
     SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS t
     FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
@@ -224,5 +217,6 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window, with their own columns."""
-    found = with_hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_items") == 0).select(*docs.columns)
+    names = fresh(docs, *NAMES)
+    found = with_hits(docs, table(spark, sf_dir, "benchmark"), names)
+    return found.where(F.size(names[2]) == 0).select(*docs.columns)
