@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,9 @@ from foliant.llm.common import (
     WORD_BYTES,
     chunks,
     cut,
+    fresh,
     segments,
-    small_batches,
+    sliced,
     span_hashes,
     strings,
     table,
@@ -50,6 +51,8 @@ TOXIC_SHARE, MOST_OF_A_WORD = 0.005, 12.0
 PRIOR_LENGTH = 30.0
 #: Labelled rows up to this number are sent to all tasks (12 bytes each); more are joined by a shuffle.
 LABELS_BOUND = 2_000_000
+#: Distinct words counted, or remembered with their ratios, by a task at once.
+WORDS_AT_ONCE = 400_000
 #: Width of the bins in which calibration counts scores, and the largest score that has its own bin.
 BIN, MOST = 0.0005, 2.0
 BEGIN, END = 94, 36  # ^ and $, which no word holds
@@ -108,6 +111,7 @@ class ToxicityModel:
     lam: np.ndarray
     cut: float = MOST
     slope: float = 1.0
+    known: dict[int, float] = field(default_factory=dict)
 
     def word_ratios(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         marks, place, begin = marked(codes, starts, ends)
@@ -118,6 +122,18 @@ class ToxicityModel:
         value[begin] = 0.0
         return np.add.reduceat(np.nan_to_num(value, nan=0.0), begin) if len(begin) else np.zeros(0)
 
+    def word_values(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What each word (of this hash) adds to a text's log-likelihood difference; words seen before are remembered."""
+        if len(self.known) > WORDS_AT_ONCE:
+            self.known.clear()
+        hashes = keys.tolist()
+        new = np.array([i for i, h in enumerate(hashes) if h not in self.known], np.int64)
+        if len(new):
+            ratio = np.minimum(self.word_ratios(codes, starts[new], ends[new]), MOST_OF_A_WORD)
+            values = np.log1p(TOXIC_SHARE * np.expm1(ratio)).tolist()
+            self.known.update(zip([hashes[i] for i in new.tolist()], values, strict=True))
+        return np.array([self.known[h] for h in hashes])
+
     def raw(self, texts: list[str]) -> np.ndarray:
         """Length-normalised log-likelihood difference of each text; 0 for a text without words."""
         total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -128,8 +144,7 @@ class ToxicityModel:
             which, unique = pd.factorize(span_hashes(codes, starts, ends))
             first = np.empty(len(unique), np.int64)
             first[which[::-1]] = np.arange(len(which))[::-1]
-            ratio = np.minimum(self.word_ratios(codes, starts[first], ends[first]), MOST_OF_A_WORD)
-            value = np.log1p(TOXIC_SHARE * np.expm1(ratio))[which]
+            value = self.word_values(unique, codes, starts[first], ends[first])[which]
             found = np.diff(np.searchsorted(starts, text_starts), append=len(starts))
             some = np.flatnonzero(found)
             total[at + some] += np.add.reduceat(value, segments(found)[some])
@@ -159,19 +174,26 @@ def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarr
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """(w, n0, n1), with one counter of bounded size for all batches of a task."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        words = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["w", "n0", "n1"])
+
+    for batch in sliced(batches):
         for text, toxic in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             counts[toxic > 0].update(words_of(text).split())
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)],
-            names=["w", "n0", "n1"],
-        )
+        if len(counts[0]) + len(counts[1]) > WORDS_AT_ONCE:
+            yield flush()
+    yield flush()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         words = batch.column(0).to_pylist()
         if not words:
             continue
@@ -203,7 +225,6 @@ def shorter(gram: Column, prefix: bool) -> Column:
 
 def fit(training: DataFrame, bound: int = MODEL_BOUND) -> ToxicityModel | ToxicityTables:
     """Counts a model over (text, _toxic) rows. Without rows of both classes it knows no difference."""
-    small_batches(training.sparkSession)
     words = sums(training.select("text", "_toxic").mapInArrow(_count_words, "w binary, n0 long, n1 long"), "w")
     grams = cut(sums(words.mapInArrow(_count_grams, "g long, n0 long, n1 long"), "g"))
     tables = estimate(grams)
@@ -263,25 +284,24 @@ def estimate(grams: DataFrame) -> ToxicityTables:
     return ToxicityTables(ratios, cut(contexts))
 
 
-def scored(documents: DataFrame, model: ToxicityModel | ToxicityTables, raw: bool = False) -> DataFrame:
-    """All columns of documents and _score; `raw`: before calibration."""
-    small_batches(documents.sparkSession)
+def scored(documents: DataFrame, model: ToxicityModel | ToxicityTables, raw: bool = False, name: str = "_score") -> DataFrame:
+    """All columns of documents and the score under a name that they don't have; `raw`: before calibration."""
     if isinstance(model, ToxicityTables):
-        return scored_by_join(documents, model, raw)
+        return scored_by_join(documents, model, raw, name)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.raw if raw else shared.value.score
-        for batch in batches:
-            yield batch.append_column("_score", pa.array(score(strings(batch.column(at))), pa.float64()))
+        for batch in sliced(batches):
+            yield batch.append_column(name, pa.array(score(strings(batch.column(at))), pa.float64()))
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, w, n): how often each distinct text has each of its words."""
-    for batch in batches:
+    for batch in sliced(batches):
         for text in set(strings(batch.column(0))):
             words = Counter(words_of(text).split())
             if words:
@@ -291,7 +311,7 @@ def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, g, c): each word with the n-gram that ends at each of its letters, and the context before it."""
-    for batch in batches:
+    for batch in sliced(batches):
         words = batch.column(0).to_pylist()
         if not words:
             continue
@@ -307,20 +327,21 @@ def text_key(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
-def scored_by_join(documents: DataFrame, model: ToxicityTables, raw: bool) -> DataFrame:
+def scored_by_join(documents: DataFrame, model: ToxicityTables, raw: bool, name: str) -> DataFrame:
     """The same with a model of any size. A word comes once for each distinct text, so the commonest has a share of the
     rows that falls with the texts' lengths."""
     at = documents.columns.index("text")
+    key, size, total = fresh(documents, "_k", "_n", "_total")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = strings(batch.column(at))
             n = [len(words_of(x).split()) for x in texts]
             found = pa.array([text_key(x) if k else None for x, k in zip(texts, n, strict=True)], pa.string())
-            yield batch.append_column("_k", found).append_column("_n", pa.array(n, pa.int64()))
+            yield batch.append_column(key, found).append_column(size, pa.array(n, pa.int64()))
 
     rows = documents.mapInArrow(
-        keys, T.StructType([*documents.schema.fields, T.StructField("_k", T.StringType()), T.StructField("_n", T.LongType())])
+        keys, T.StructType([*documents.schema.fields, T.StructField(key, T.StringType()), T.StructField(size, T.LongType())])
     )
     of_text = (
         documents.select("text").mapInArrow(_text_words, "k string, w binary, n long").groupBy("k", "w").agg(F.first("n").alias("n"))
@@ -332,16 +353,16 @@ def scored_by_join(documents: DataFrame, model: ToxicityTables, raw: bool) -> Da
         .groupBy("w").agg(F.log1p(TOXIC_SHARE * F.expm1(ratio)).alias("value"))
     )
     totals = (
-        of_text.join(of_word.hint("merge"), "w").groupBy(F.col("k").alias("_k")).agg(F.sum(F.col("n") * F.col("value")).alias("_total"))
+        of_text.join(of_word.hint("merge"), "w").groupBy(F.col("k").alias(key)).agg(F.sum(F.col("n") * F.col("value")).alias(total))
     )
     # Rows without words need no join.
-    alone = rows.where("_k is null").withColumn("_total", F.lit(0.0))
-    beside = rows.where("_k is not null").join(totals.hint("merge"), "_k", "left").select(*rows.columns, "_total")
-    score = F.col("_total") / (F.col("_n") + PRIOR_LENGTH)
+    alone = rows.where(F.col(key).isNull()).withColumn(total, F.lit(0.0))
+    beside = rows.where(F.col(key).isNotNull()).join(totals.hint("merge"), key, "left").select(*rows.columns, total)
+    score = F.col(total) / (F.col(size) + PRIOR_LENGTH)
     if not raw:
         far = F.least(F.greatest(model.slope * (model.cut - score), F.lit(-60.0)), F.lit(60.0))
         score = 1.0 / (1.0 + F.exp(far))
-    return alone.union(beside).select(*documents.columns, score.alias("_score"))
+    return alone.union(beside).select(*documents.columns, score.alias(name))
 
 
 def calibrate(model: ToxicityModel | ToxicityTables, rows: DataFrame) -> ToxicityModel | ToxicityTables:
@@ -391,5 +412,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't rejected as toxic, with their own columns."""
-    model = learn(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where("_score < 0.5").select(*docs.columns)
+    model, name = learn(docs, table(spark, sf_dir, "labels")), fresh(docs, "_score")[0]
+    return scored(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
