@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut, small_batches, strings, table
+from foliant.llm.common import cut, fresh, sliced, strings, table
 
 #: Fixed patterns of the base kinds. All patterns are ASCII, so texts are searched as Latin-1 bytes, one a code point.
 ASSIGN = re.compile(
@@ -64,6 +64,8 @@ BASE_KINDS = KINDS[:3]
 #: Code points between two parts that belong together; also the length of the buckets they are joined by.
 REACH = 200
 SCOPE = re.compile(rb"\n[ \t\r]*\n")
+#: Distinct texts with linked parts up to this number are sent to all tasks.
+LINKED_BOUND = 100_000
 PART = "array<struct<kind:int,role:string,start:int,end:int,scope:int>>"
 
 
@@ -111,30 +113,24 @@ def parts_of(text: str) -> list[tuple]:
     return out
 
 
-def with_parts(documents: DataFrame) -> DataFrame:
-    """All columns of documents, _text_key (hash of the text) and _parts."""
+def with_parts(documents: DataFrame, key: str, parts: str) -> DataFrame:
+    """All columns of documents, and under the two names the text's hash (null if it has no weak parts) and its parts."""
     at = documents.columns.index("text")
     names = ("kind", "role", "start", "end", "scope")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(n, pa.string() if n == "role" else pa.int32()) for n in names]))
-        for batch in batches:
-            parts, keys = [], []
+        for batch in sliced(batches):
+            found_parts, keys = [], []
             for text in strings(batch.column(at)):
                 found = parts_of(text)
-                parts.append([dict(zip(names, x, strict=True)) for x in found])
-                digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
-                keys.append(digest if any(x[0] > 2 for x in found) else None)
-            yield batch.append_column("_text_key", pa.array(keys, pa.string())).append_column("_parts", pa.array(parts, kind))
-
-    schema = T.StructType(
-        [
-            *documents.schema.fields,
-            T.StructField("_text_key", T.StringType()),
-            T.StructField("_parts", T._parse_datatype_string(PART)),
-        ]
-    )
-    return documents.mapInArrow(run, schema)
+                found_parts.append([dict(zip(names, x, strict=True)) for x in found])
+                digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest() if any(x[0] > 2 for x in found) else None
+                keys.append(digest)
+            yield batch.append_column(key, pa.array(keys, pa.string())).append_column(parts, pa.array(found_parts, kind))
+
+    added = [T.StructField(key, T.StringType()), T.StructField(parts, T._parse_datatype_string(PART))]
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))
 
 
 def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -160,27 +156,23 @@ def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
     return linked.groupBy("_text_key").agg(F.collect_list("x").alias("_linked"))
 
 
-def scan(documents: DataFrame, reach: int = REACH) -> DataFrame:
-    """All columns of documents and _spans: array of (start, kind, end), base spans and linked weak parts, in order.
-    A null text is empty; repeated rows are scanned once each."""
-    small_batches(documents.sparkSession)
-    found = with_parts(documents)
-    linked = cut(linked_parts(with_parts(documents.select("text")), reach))
-    spans = F.array_sort(
-        F.concat(
-            F.transform(F.filter("_parts", lambda p: p["kind"] <= 2), lambda p: F.struct(p["start"], p["kind"], p["end"])),
-            F.coalesce(
-                F.transform("_linked", lambda p: F.struct(p["start"], p["kind"], p["end"])),
-                F.array().cast("array<struct<start:int,kind:int,end:int>>"),
-            ),
-        )
-    )
-    # Rows without weak parts need no join: most of them, whatever their text.
-    alone = found.where("_text_key is null").withColumn("_linked", F.lit(None).cast("array<struct<kind:int,start:int,end:int>>"))
-    beside = found.where("_text_key is not null").join(linked.hint("merge"), "_text_key", "left")
-    return alone.select(*documents.columns, spans.alias("_spans")).union(
-        beside.select(*documents.columns, spans.alias("_spans"))
+def with_spans(found: DataFrame, linked: DataFrame, key: str, parts: str, spans: str) -> DataFrame:
+    """Adds spans, an array of (start, kind, end): base spans and linked weak parts, in order. `linked` is a written table;
+    it goes to all tasks if it is counted small, else rows are shuffled, those without weak parts by any other key."""
+    if linked.count() <= LINKED_BOUND:
+        joined = found.join(F.broadcast(linked.withColumnRenamed("_text_key", key)), key, "left")
+    else:
+        dealt = fresh(found, "_dealt")[0]
+        rows = found.withColumn(dealt, F.coalesce(key, F.concat(F.lit("-"), F.xxhash64(*found.columns[:2]).cast("string"))))
+        joined = rows.join(linked.withColumnRenamed("_text_key", dealt).hint("merge"), dealt, "left")
+    both = F.concat(
+        F.transform(F.filter(parts, lambda p: p["kind"] <= 2), lambda p: F.struct(p["start"], p["kind"], p["end"])),
+        F.coalesce(
+            F.transform("_linked", lambda p: F.struct(p["start"], p["kind"], p["end"])),
+            F.array().cast("array<struct<start:int,kind:int,end:int>>"),
+        ),
     )
+    return joined.select(*found.columns, F.array_sort(both).alias(spans))
 
 
 def joined(spans: str, base_only: bool):
@@ -192,8 +184,11 @@ def joined(spans: str, base_only: bool):
 
 
 def find_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end) of every document."""
-    scanned = scan(documents.select("doc_id", "text"), reach)
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end) of every document. A null text is empty;
+    repeated rows are scanned once each; other columns are ignored. Texts are read once: their parts are written out."""
+    found = cut(with_parts(documents.select("doc_id", "text"), "_text_key", "_parts").drop("text"))
+    linked = cut(linked_parts(found, reach))
+    scanned = with_spans(found, linked, "_text_key", "_parts", "_spans")
     count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
     return scanned.select(
         "doc_id",
@@ -203,25 +198,29 @@ def find_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     )
 
 
-def mask(documents: DataFrame) -> DataFrame:
+def mask(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """The documents with each secret (linked ones too) replaced by its kind in angle brackets; overlapping spans are
-    one, named by the first. n_chars, where there is one, follows the new text."""
-    scanned = scan(documents)
-    at, spans_at = scanned.columns.index("text"), scanned.columns.index("_spans")
+    one, named by the first. n_chars, where there is one, follows the new text. Texts are read twice, once for the parts
+    that may link and once to be masked."""
+    weak = with_parts(documents.select("text"), "_text_key", "_parts").select("_text_key", "_parts")
+    linked = cut(linked_parts(weak, reach))
+    key, parts, spans = fresh(documents, "_text_key", "_parts", "_spans")
+    scanned = with_spans(with_parts(documents, key, parts), linked, key, parts, spans).select(*documents.columns, spans)
+    at, last = scanned.columns.index("text"), len(scanned.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(spans_at).to_pylist()):
-                if spans:
-                    texts[i] = masked(texts[i], [(s["start"], s["kind"], s["end"]) for s in spans])
+            for i, found in enumerate(batch.column(last).to_pylist()):
+                if found:
+                    texts[i] = masked(texts[i], [(s["start"], s["kind"], s["end"]) for s in found])
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    changed = scanned.where(F.size("_spans") > 0).mapInArrow(run, scanned.schema)
+    changed = scanned.mapInArrow(run, scanned.schema)
     if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.length("text").cast(kind))
-    return scanned.where(F.size("_spans") == 0).union(changed).select(*documents.columns)
+        n = F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = changed.withColumn("n_chars", n.cast(documents.schema["n_chars"].dataType))
+    return changed.select(*documents.columns)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -238,5 +237,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; columns of any other name are kept as they are."""
     return mask(docs)
