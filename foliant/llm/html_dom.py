@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from html import unescape
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-NAMES = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"[>\"']")
 SPACE = re.compile(r"\s+")
-#: Elements whose content is not text of the page.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas"}
+#: Elements whose content is no text of the page, and which of them swallow the rest of a page that never ends them.
+RAW = {"script", "style", "textarea", "title", "template", "iframe"}
+SWALLOWS = {"script", "style", "textarea", "title"}
+#: Elements nested deeper belong to the branch at this depth.
+MOST_DEEP = 256
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that only mark text inside a block.
 INLINE = {
@@ -30,10 +34,10 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 
 def signature(tag: str, attributes: str) -> str:
     """Presentation of an element: its tag with class, id and role, digits left out."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return tag
-    names = {}
-    for m in NAMES.finditer(attributes):
+    names: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
         names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     out = tag
     for key, mark in (("class", "."), ("id", "#"), ("role", "@")):
@@ -45,76 +49,139 @@ def signature(tag: str, attributes: str) -> str:
     return out
 
 
+class Scanner:
+    """Finds the tags of a page in one forward pass: what fails once is not looked for again, so that no page takes more
+    than time in proportion to its length."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last_end = html, html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.plain_until = 0  # tags that begin before this have a quote that nothing closes
+        self.never: set[str] = set()  # raw elements that nothing ends from here on
+
+    def tag_end(self, at: int) -> int:
+        """Place of the `>` that ends the tag whose name ends here: the first one outside quotes."""
+        first = self.html.find(">", at)
+        if at < self.plain_until:
+            return first
+        while True:
+            m = QUOTE_OR_END.search(self.html, at)
+            if m is None:
+                return first
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last_quote[m[0]]:
+                self.plain_until = m.start()
+                return first
+            at = self.html.index(m[0], m.end()) + 1
+
+    def next_tag(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag, comment or declaration (name empty); `<` that begins
+        none of these is text."""
+        while True:
+            start = self.html.find("<", at)
+            if start < 0 or start > self.last_end and not self.html.startswith("<!--", start):
+                return None
+            if self.html.startswith("<!--", start):
+                end = self.html.find("-->", start + 4)
+                return start, len(self.html) if end < 0 else end + 3, "", False, ""
+            if self.html[start + 1] in "!?":
+                return start, self.html.index(">", start) + 1, "", False, ""
+            closing = self.html[start + 1] == "/"
+            m = NAME.match(self.html, start + 1 + closing)
+            if m:
+                end = self.tag_end(m.end())
+                return start, end + 1, m[0].lower(), closing, self.html[m.end() : end]
+            at = start + 1
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Where the content of a raw element ends, its end tag included."""
+        if tag not in self.never:
+            m = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(self.html, at)
+            if m:
+                return m.end()
+            self.never.add(tag)
+        return len(self.html) if tag in SWALLOWS else None
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of the text blocks of a page, in order."""
+    """(path, text, characters inside links) of the text blocks of a page, in order. The path holds the presentation of
+    the elements above, without those that only mark text unless they hide it."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    path: list[str] = []
     tags: list[str] = []
+    paths: list[tuple[str, ...]] = [()]
     text: list[str] = []
-    where: tuple[str, ...] = ()
+    scanner, where, begun = Scanner(html), (), False
     links = linked = 0
 
     def flush() -> None:
-        nonlocal linked
-        joined = SPACE.sub(" ", unescape("".join(text))).strip()
-        if joined:
-            out.append((where, joined, linked))
+        nonlocal linked, begun
+        if begun:
+            joined = SPACE.sub(" ", unescape("".join(text))).strip()
+            if joined:
+                out.append((where, joined, linked))
         text.clear()
-        linked = 0
+        linked, begun = 0, False
 
     def close_to(depth: int) -> None:
         nonlocal links
-        for tag in tags[depth:]:
-            links -= tag == "a"
-        del tags[depth:], path[depth:]
+        links -= tags[depth:].count("a")
+        del tags[depth:], paths[depth + 1 :]
+
+    def opened(tag: str, attributes: str) -> None:
+        nonlocal links
+        if len(tags) < MOST_DEEP:
+            links += tag == "a"
+            tags.append(tag)
+            element = signature(tag, attributes)
+            paths.append(paths[-1] if tag in INLINE and "!" not in element else (*paths[-1], element))
 
     at, n = 0, len(html)
     while at < n:
-        m = TAG.search(html, at)
-        end = m.start() if m else n
+        found = scanner.next_tag(at)
+        end = found[0] if found else n
         if end > at:
             piece = html[at:end]
-            if piece.strip():
-                if not any(t.strip() for t in text):
-                    # inline elements are no branches of their own
-                    where = tuple(s for s, t in zip(path, tags, strict=True) if t not in INLINE or "!" in s)
+            if not piece.isspace():
+                if not begun:
+                    where, begun = paths[-1], True
                 if links:
                     linked += len(piece.strip())
             text.append(piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, tag, closing, attributes = found
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag not in VOID:
-                if closing:
+                if not closing:
+                    opened(tag, attributes)
+                else:
                     for i in range(len(tags) - 1, -1, -1):
                         if tags[i] == tag:
-                            links -= tag == "a"
-                            del tags[i], path[i]
+                            if i == len(tags) - 1:
+                                close_to(i)
+                            else:  # overlapping marks: the others stay open
+                                later = paths[i + 2 :]
+                                links -= tag == "a"
+                                del tags[i], paths[i + 1 :]
+                                paths.extend(later)
                             break
                         if tags[i] not in INLINE:
                             break
-                else:
-                    links += tag == "a"
-                    tags.append(tag)
-                    path.append(signature(tag, m[3]))
             continue
         flush()
         if closing:
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] == tag:
-                    close_to(i)
-                    break
+            if tag in tags:
+                close_to(len(tags) - 1 - tags[::-1].index(tag))
             continue
         if tag in RAW:
             # a raw element ends at its own end tag, whatever stands inside
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = stop.end() if stop else (n if tag in ("script", "style", "textarea", "title") else at)
+            stop = scanner.raw_end(tag, at)
+            at = at if stop is None else stop
             continue
         if tag in CLOSES_P and "p" in tags:
             close_to(len(tags) - 1 - tags[::-1].index("p"))
@@ -127,7 +194,6 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                     close_to(i)
                     break
         if tag not in VOID:
-            tags.append(tag)
-            path.append(signature(tag, m[3]))
+            opened(tag, attributes)
     flush()
     return out

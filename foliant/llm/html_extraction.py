@@ -1,196 +1,261 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree: a node is a path of elements by their presentation (tag, class, id, role).
-For each node the host's pages give the entropy of its contents: navigation, notices and footers say the same
-on page after page, articles don't. Importance weighs this with the presentation of the branch (what its elements are
-for, and how much of it is links). Branches of low importance are removed from every page; what is left is its text.
-
-The tree is counted in Spark: distinct pages give (node, content) counts, summed by partial aggregates, so a host with a
-third of all pages is no hot group. Nodes to remove are few, since pages of a host share them; they are sent to all tasks
-if their number is within a bound, else joined to the pages' blocks.
+Each node with text has three measures over the host's pages. Content: one less the mean entropy of its words, since words
+of menus, notices and footers stand on page after page, words of articles don't. Presentation: the entropy of the ways in
+which pages lay out the branch it belongs to, since articles differ in that and templates don't. Purpose: what its
+elements say they are for, and how much of it is links. Importance is content times a sum of the others, so none of them
+decides alone; branches of low importance are removed from every page, and what is left is its text.
+
+Pages are parsed once and written out as blocks. The tree is counted over distinct pages (of near copies on a host mostly
+one counts) as sums by node and word, with partial aggregates, so a host with a third of all pages is no hot group. Nodes
+to remove are few, since pages of a host share them; they are sent to all tasks if their number is within a bound, else
+joined to the pages.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches, strings, table
+from foliant.llm.common import binary_words, cut, segments, shingle_hashes, sliced, strings, table, word_hashes
+from foliant.llm.graph import join_split
 from foliant.llm.html_dom import blocks
 
-#: Branches of less importance go. Weight of the contents' entropy, beside that of the presentation.
-LEAST_IMPORTANCE, ENTROPY_WEIGHT = 0.3, 0.6
-#: Entropy of a node needs so many distinct pages of the host.
-LEAST_PAGES = 5
-#: Worth of a branch by its presentation.
-ARTICLE, PLAIN, LINKS, CHROME = 1.0, 0.6, 0.2, 0.0
-#: What presentation adds to importance: an article's branch goes if its entropy is below 1/12, a plain one below 1/6, one
-#: of links always.
-PRESENTATION = {ARTICLE: 0.25, PLAIN: 0.2, LINKS: -0.4}
+#: Branches of less importance go.
+LEAST_IMPORTANCE = 0.28
+#: What a branch's presentation adds beside its content: as it is, by layout entropy, by purpose, by share of links.
+BASE, BY_LAYOUT, BY_PURPOSE, BY_LINKS = 0.1, 0.25, 0.55, -0.3
+#: Content and layout of a branch seen on no page, and the number of pages that this counts as.
+USUAL_CONTENT, USUAL_LAYOUT, USUAL_PAGES = 0.65, 0.5, 4
+#: Purpose of a branch by its elements.
+ARTICLE, PLAIN, CHROME, HIDDEN = 1.0, 0.5, 0.0, -0.5
 #: Nodes to remove up to this number are sent to all tasks (8 bytes each).
 NODES_BOUND = 2_000_000
+#: (node, item) sums that a task holds at once.
+ITEMS_AT_ONCE = 200_000
 #: Elements, and words in class, id or role, of what is no main text.
-CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
+CHROME_TAGS = {
+    "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "select", "datalist",
+}
 CHROME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|side-?bar|aside|ads?|adverts?|"
-    r"advertisement|sponsor(?:ed)?|promo|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|"
-    r"sharing|social|related|recommended|comments?|discussion|disqus|replies|widget|toolbar|pagination|pager|search|"
-    r"contentinfo|complementary|alert|copyright|legal)(?:[^a-z]|$)"
+    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|side-?bar|aside|ads?|adverts?|advertisement|"
+    r"sponsor(?:ed)?|promo|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|comments?|"
+    r"disqus|replies|widget|toolbar|pagination|pager|contentinfo|complementary)(?:[^a-z]|$)"
+)
+#: Words that also articles use for parts of their own.
+DOUBTFUL_WORDS = re.compile(
+    r"(?:^|[^a-z])(?:header|banner|notice|social|related|recommended|discussion|search|alert|copyright|legal)(?:[^a-z]|$)"
 )
 ARTICLE_WORDS = re.compile(r"(?:^|[^a-z])(?:article|main|post|entry|story|content|text|body)(?:[^a-z]|$)")
 
 
-def worth(path: tuple[str, ...]) -> float:
-    """Worth of a branch from what its elements are for. A header inside an article is the article's own."""
+@lru_cache(1 << 16)
+def purpose(path: tuple[str, ...]) -> float:
+    """What a branch is for by its elements: no main text from the first element on that says so. A header inside an
+    article is the article's own; a doubtful word makes part of an article plain, and other branches chrome."""
     value = PLAIN
     for element in path:
         tag, names = re.match(r"([^.#@!]*)(.*)", element, re.DOTALL).groups()
-        if "!hidden" in names or tag in CHROME_TAGS and not (tag == "header" and value == ARTICLE):
-            return CHROME
-        if names and CHROME_WORDS.search(names):
+        if "!hidden" in names:
+            return HIDDEN
+        if tag in CHROME_TAGS and not (tag == "header" and value == ARTICLE) or names and CHROME_WORDS.search(names):
             return CHROME
-        if tag in ("article", "main") or names and tag != "body" and ARTICLE_WORDS.search(names):
+        if names and DOUBTFUL_WORDS.search(names):
+            if value != ARTICLE:
+                return CHROME
+            value = PLAIN
+        elif tag in ("article", "main") or names and tag != "body" and ARTICLE_WORDS.search(names):
             value = ARTICLE
     return value
 
 
-def node_key(host: str, path: tuple[str, ...]) -> int:
-    data = "\x00".join((host, *path)).encode("utf-8", "replace")
+def key_of(*parts: str) -> int:
+    data = "\x00".join(parts).encode("utf-8", "replace")
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def content_key(text: str) -> int:
-    return int.from_bytes(
-        hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True
-    )
+@lru_cache(1 << 16)
+def node_key(host: str, path: tuple[str, ...]) -> int:
+    return key_of(host, *path)
 
 
 def host_of(url: str) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[-1], maxsplit=1)[0].lower()
 
 
-def open_nodes(html: str) -> dict[tuple[str, ...], tuple[str, int, int]]:
-    """Content, characters and linked characters of each branch of a page that is no chrome."""
-    out: dict[tuple[str, ...], list] = {}
-    for path, text, linked in blocks(html):
-        if worth(path) > CHROME:
-            node = out.setdefault(path, [[], 0, 0])
-            node[0].append(text)
-            node[1] += len(text)
-            node[2] += min(linked, len(text))
-    return {path: ("\n".join(t), n, k) for path, (t, n, k) in out.items()}
-
-
-def page_key(nodes: dict[tuple[str, ...], tuple[str, int, int]]) -> int:
-    """What makes a page distinct on its host: its branches and their contents, not its address or frame."""
-    return content_key("\x00".join(x for path, (text, _, _) in nodes.items() for x in (*path, text)))
-
-
-def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found: dict[tuple[int, int, int], tuple[int, int, bool]] = {}
-        for url, html in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-            host, nodes = host_of(url), open_nodes(html)
-            page = page_key(nodes)
-            for path, (text, n, linked) in nodes.items():
-                found[node_key(host, path), content_key(text), page] = n, linked, worth(path) == ARTICLE
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in found], pa.int64()) for i in range(3)]
-            + [pa.array([int(c[i]) for c in found.values()], pa.int64()) for i in range(3)],
-            names=["node", "content", "page", "chars", "linked", "article"],
-        )
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(node, importance) of all branches but chrome. Copies of a page count once."""
-    small_batches(pages.sparkSession, 200)
-    counted = (
-        pages.select("url", "html").mapInArrow(_tree, "node long, content long, page long, chars long, linked long, article long")
-        .groupBy("node", "content", "page").agg(*(F.max(c).alias(c) for c in ("chars", "linked", "article")))
-        .groupBy("node", "content").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked")), F.max("article").alias("article"))
-    )
-    by_node = counted.groupBy("node").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("chars").alias("chars"),
-        F.sum("linked").alias("linked"), F.max("article").alias("article"),
-    )
-    # Entropy to the base of the number of pages: 1 if all contents differ, 0 if all are the same.
-    entropy = F.when(F.col("m") < LEAST_PAGES, F.lit(1.0)).otherwise(1 - F.col("s") / (F.col("m") * F.log("m")))
-    presentation = (
-        F.when(F.col("article") > 0, PRESENTATION[ARTICLE])
-        .when(F.col("linked") > 0.6 * F.col("chars"), PRESENTATION[LINKS])
-        .otherwise(PRESENTATION[PLAIN])
-    )
-    return by_node.select("node", (presentation + ENTROPY_WEIGHT * entropy).alias("importance"))
+def least_shingles(texts: list[str]) -> list[int]:
+    """The least hash of the five-word shingles of each text: texts of similarity J share it with chance J."""
+    h, n = word_hashes([binary_words(x) for x in texts])
+    shingles, counts = shingle_hashes(h, n, 5)
+    out = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.minimum.reduceat(shingles, segments(counts)[some])
+    return out.view(np.int64).tolist()
 
 
-def main_text(url: str, html: str, removed) -> str:
-    host = host_of(url)
-    return "\n".join(
-        text for path, text, _ in blocks(html) if worth(path) > CHROME and node_key(host, path) not in removed
-    )
+PARSED = (
+    "page_id long, url string, host long, content long, nodes array<long>, texts array<string>, links array<int>, "
+    "layouts array<long>, purposes array<float>"
+)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
-
-    A page gives the branches that the style tree of its host does not find unimportant, those inside an article (article,
-    main, or a class that says so) too; they only weigh more. Menus, forms, notices and comments that say so are left
-    out whatever their contents, as those differ by page (footers, comments) like main text does. Null html is empty; repeated rows are read once each; a null url
-    is a host of its own.
-    """
-    low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE).select("node")
-    found = low.limit(NODES_BOUND + 1).toPandas()["node"]
-    if len(found) > NODES_BOUND:
-        return _extract_by_join(pages, low)
-    removed = pages.sparkSession.sparkContext.broadcast(frozenset(found.tolist()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                main_text(u, h, removed.value)
-                for u, h in zip(strings(batch.column(1)), strings(batch.column(2)), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 200):
+        columns: list[list] = [[] for _ in range(6)]
+        largest = []
+        for url, html in zip(strings(batch.column(1)), strings(batch.column(2)), strict=True):
+            host, found = host_of(url), blocks(html)
+            below: dict[tuple, list[str]] = {}
+            size: Counter = Counter()
+            for path, text, _ in found:
+                below.setdefault(path[:-1], []).append(path[-1] if path else "")
+                size[path] += len(text)
+            layout = {parent: key_of(*names) for parent, names in below.items()}
+            most = max(size, key=lambda p: (size[p], p)) if size else ()
+            largest.append(" ".join(text for path, text, _ in found if path == most))
+            row = (
+                key_of(host),
+                [node_key(host, path) for path, _, _ in found],
+                [text for _, text, _ in found],
+                [min(linked, len(text)) for _, text, linked in found],
+                [layout[path[:-1]] for path, _, _ in found],
+                [purpose(path) for path, _, _ in found],
             )
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float32()))
+        host, nodes, *rest = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+        arrays = [batch.column(0).cast(pa.int64()), batch.column(1), host, pa.array(least_shingles(largest), pa.int64()), nodes, *rest]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PARSED.split(", ")])
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """PARSED of every page: of each text block its node, text, characters inside links, layout of its branch, purpose;
+    `content` tells apart, on a host, pages whose largest branches differ."""
+    return cut(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, item, t, s, purpose) of distinct pages. Words: t is how often, s the sum of n ln n over pages. Layouts: t is
+    the number of pages. Size: characters, and those inside links."""
+    found: dict[tuple[int, str], list[float]] = {}
+    purposes: dict[int, float] = {}
+
+    def add(node: int, item: str, t: float, s: float) -> None:
+        x = found.get((node, item))
+        if x is None:
+            found[node, item] = [t, s]
+        else:
+            x[0] += t
+            x[1] += s
+
+    def flush() -> pa.RecordBatch:
+        columns = [
+            pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string()),
+            pa.array([x[0] for x in found.values()], pa.float64()), pa.array([x[1] for x in found.values()], pa.float64()),
+            pa.array([purposes[k[0]] for k in found], pa.float32()),
+        ]
+        found.clear()
+        purposes.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["node", "item", "t", "s", "purpose"])
+
+    for batch in sliced(batches):
+        for nodes, texts, links, layouts, worth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts: dict[int, list] = {}
+            for node, text, linked, layout, p in zip(nodes, texts, links, layouts, worth, strict=True):
+                part = parts.setdefault(node, [[], 0, 0, layout, p])
+                part[0].append(text)
+                part[1] += len(text)
+                part[2] += linked
+            for node, (text, size, linked, layout, p) in parts.items():
+                purposes[node] = p
+                add(node, "size", size, linked)
+                add(node, f"layout {layout}", 1, 0.0)
+                for word, n in Counter(" ".join(text).lower().split()).items():
+                    add(node, "." + word, n, n * math.log(n))
+            if len(found) > ITEMS_AT_ONCE:
+                yield flush()
+    yield flush()
+
+
+def importance(m: Column, layouts: Column, words: Column, n_words: Column, size: Column, linked: Column, purpose: Column) -> Column:
+    """From the number of pages, sum of n ln n of layouts, sum of the words' entropies, number of words, characters,
+    characters inside links, purpose. Entropies are to the base of the number of pages: 1 if all pages are alike."""
+    shrunk = lambda x, usual: (m * x + USUAL_PAGES * usual) / (m + USUAL_PAGES)
+    known = (m > 1) & (n_words > 0)
+    content = shrunk(F.when(known, 1 - words / (n_words * F.log(m))).otherwise(USUAL_CONTENT), USUAL_CONTENT)
+    layout = shrunk(F.when(m > 1, 1 - layouts / (m * F.log(m))).otherwise(USUAL_LAYOUT), USUAL_LAYOUT)
+    return content * (BASE + BY_LAYOUT * layout + BY_PURPOSE * purpose + BY_LINKS * linked / size)
+
+
+def style_tree(parsed: DataFrame) -> DataFrame:
+    """(node, importance) of all branches that have text. Near copies of a page mostly count once."""
+    columns = ("nodes", "texts", "links", "layouts", "purposes")
+    distinct = parsed.where(F.size("nodes") > 0).groupBy("host", "content").agg(F.min(F.struct(*columns)).alias("r")).select(*(f"r.{c}" for c in columns))
+    sums = (
+        distinct.mapInArrow(_count, "node long, item string, t double, s double, purpose float")
+        .groupBy("node", "item").agg(F.sum("t").alias("t"), F.sum("s").alias("s"), F.max("purpose").alias("purpose"))
+    )
+    kind = F.left("item", F.lit(1))
+    only = lambda k, c: F.sum(F.when(kind == k, c).otherwise(0.0))
+    nodes = sums.groupBy("node").agg(
+        only("l", F.col("t")).alias("m"), only("l", F.col("t") * F.log("t")).alias("layouts"),
+        only(".", F.log("t") - F.col("s") / F.col("t")).alias("words"), only(".", F.lit(1.0)).alias("n_words"),
+        only("s", F.col("t")).alias("size"), only("s", F.col("s")).alias("linked"), F.max("purpose").alias("purpose"),
+    )
+    names = ("m", "layouts", "words", "n_words", "size", "linked", "purpose")
+    return nodes.select("node", importance(*map(F.col, names)).alias("importance"))
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
+def text_of(nodes: list[int], texts: list[str], removed) -> str:
+    return "\n".join(text for node, text in zip(nodes or (), texts or (), strict=True) if node not in removed)
 
-def _extract_by_join(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """The same with any number of nodes to remove: each page's nodes are joined to them."""
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [
-                [node_key(host_of(u), p) for p in open_nodes(h)]
-                for u, h in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True)
-            ]
-            yield batch.append_column("nodes", pa.array(keys, pa.list_(pa.int64())))
+def extract(pages: DataFrame, bound: int = NODES_BOUND) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    All branches with text are in the style tree of their host; a page gives those that it does not find unimportant,
+    whole and in page order. Scripts, styles, templates and markup are no text. Null html is empty; repeated rows are read
+    once each; a null url is a host of its own; other columns are ignored; an empty table gives no rows.
+    """
+    parsed = parse(pages)
+    low = cut(style_tree(parsed)).where(F.col("importance") < LEAST_IMPORTANCE).select("node")
+    if low.count() <= bound:
+        removed = pages.sparkSession.sparkContext.broadcast(frozenset(low.toPandas()["node"].tolist()))
+        rows = parsed.select("page_id", "url", "nodes", "texts", F.lit(None).cast("array<long>").alias("low"))
+    else:
+        removed = None
+        keyed = parsed.withColumn("shape", F.xxhash64("nodes"))
+        shapes = keyed.groupBy("shape").agg(F.count("*").alias("n"), F.any_value("nodes").alias("nodes"))
+        gone = (
+            shapes.select("shape", F.explode(F.array_distinct("nodes")).alias("node")).join(low.hint("merge"), "node")
+            .groupBy("shape").agg(F.collect_set("node").alias("low"))
+        )
+        side = cut(shapes.drop("nodes").join(gone.hint("merge"), "shape", "left"))
+        rows = join_split(keyed.select("page_id", "url", "nodes", "texts", "shape"), side, "shape", "n", parsed.count()).drop("shape")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, htmls = strings(batch.column(1)), strings(batch.column(2))
-            texts = [main_text(u, h, set(x or ())) for u, h, x in zip(urls, htmls, batch.column(3).to_pylist(), strict=True)]
+        everywhere = removed.value if removed else frozenset()
+        for batch in sliced(batches):
+            given = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            texts = [text_of(nodes, found, everywhere if low is None else set(low)) for nodes, found, low in given]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    distinct = pages.select("url", "html").mapInArrow(nodes, "url string, html string, nodes array<long>")
-    keyed = distinct.select(F.xxhash64("url", "html").alias("_k"), F.explode("nodes").alias("node")).distinct()
-    drop = keyed.join(low.hint("merge"), "node").groupBy("_k").agg(F.collect_set("node").alias("_drop"))
-    return (
-        pages.select("page_id", "url", "html").withColumn("_k", F.xxhash64("url", "html"))
-        .join(drop.hint("merge"), "_k", "left").select("page_id", "url", "html", "_drop")
-        .mapInArrow(run, "page_id long, url string, text string, n_chars long")
-    )
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
