@@ -12,8 +12,12 @@ from foliant.llm.html_dom import blocks
 from foliant.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-TEXT = "doc_id long, text string, set_key string, _score double"
-ODD = [(1, None, "x", 1.0), (2, "", "x", 1.0), (2, "", "x", 1.0), (None, "a b", None, None), (3, "w " * 50_000, "y", 2.0), (4, "😀 é\n\t", "z", 0.0)]
+CLASHING = ("set_key", "_score", "_spans", "_parts", "_items", "_text_key", "_kept_key", "_kept_id", "_n", "_n_words", "_dealt", "_k", "_total", "_hot", "_cold", "block", "node")
+TEXT = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+ODD = [
+    (i, t, "en", None, len(t or ""), *(["x"] * len(CLASHING)))
+    for i, t in [(1, None), (2, ""), (2, ""), (None, "a b"), (3, "w " * 50_000), (4, "😀 é\n\t"), (5, "one text of six words here"), (5, "another text with seven words in it")]
+]
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +68,8 @@ def test_jaccard_join_of_odd_rows(spark, odd):
     assert len(got) == len(ODD)
     assert near_duplicates.ngram_jaccard_join(odd.limit(0)).count() == 0
     kept = near_duplicates.stage(spark, odd, SF)
-    assert kept.columns == odd.columns and kept.where("doc_id = 2").count() == 1
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted({(r[0] or 0, r[1] or "") for r in ODD})
+    assert near_duplicates.stage(spark, odd.limit(0), SF).count() == 0
 
 
 def test_forest_and_blocks_find_every_link():
@@ -121,20 +126,100 @@ def test_long_parts_link_at_any_position(spark):
     assert {r.doc_id: r.spans for r in got} == dict(enumerate(want)) and any(want) and not all(want)
 
 
+def extracted(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extraction.extract(df, **kw).collect()}
+
+
+def story(i):
+    return " ".join(f"w{i * 7 + k * k % 97}x{i}" for k in range(40))
+
+
 def test_copies_of_a_page_count_once(spark):
-    page = "<div class='x'><p>Only text of this host</p></div><footer>{}</footer>"
-    rows = [(i, f"http://h/{i}", page.format(i % 3)) for i in range(40)] + [(i, f"http://k/{i}", page.format(0) if i < 90 else f"<div class='x'><p>Text {i}</p></div>") for i in range(50, 92)]
-    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {got[i] for i in [*range(40), *range(50, 90)]} == {"Only text of this host"} and got[91] == "Text 91"
+    page = "<div class='x'><p>Only text of this host, long enough to be the largest branch</p></div><footer>{}</footer>"
+    rows = [(i, f"http://h/{i}", page.format(i % 3)) for i in range(40)]
+    rows += [(i, f"http://k/{i}", page.format(0) if i < 90 else f"<div class='x'><p>{story(i)}</p></div>") for i in range(50, 92)]
+    got = extracted(spark, rows)
+    assert {got[i] for i in [*range(40), *range(50, 90)]} == {"Only text of this host, long enough to be the largest branch"} and got[91] == story(91)
 
 
 def test_entropy_decides_beside_presentation(spark):
-    # a notice without telltale class in the article goes; main text beside an element of class "text" stays
-    inside = "<article><div class='x'><p>Read our terms</p></div><p>Story {0}</p></article>"
-    beside = "<div class='text'><p>Tag {0}</p></div><div class='y'><p>Long story {0}</p></div><div class='z'><p>Same line</p></div>"
-    rows = [(i, f"http://h{i % 2}/{i}", (inside, beside)[i % 2].format(i)) for i in range(40)]
-    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Tag {i}\nLong story {i}" if i % 2 else f"Story {i}" for i in range(40)}
+    # a notice without telltale class in the article goes; text in a part of it that may be a notice stays, if it differs
+    inside = "<article><div class='x'><p>Read our terms</p></div><p>{0}</p><section class='discussion'><p>More {0}</p></section></article>"
+    beside = "<div class='text'><p>{0}</p></div><div class='y'><p>Long {0}</p></div><div class='z'><p>Same line</p></div>"
+    rows = [(i, f"http://h{i % 2}/{i}", (inside, beside)[i % 2].format(story(i))) for i in range(40)]
+    got = extracted(spark, rows)
+    assert got == {i: f"{story(i)}\nLong {story(i)}" if i % 2 else f"{story(i)}\nMore {story(i)}" for i in range(40)}
+    # menus and footers of other words on each page still go, for what they are
+    framed = "<nav><a href=x>{0}</a></nav><article><p>{1}</p></article><footer>{0}</footer>"
+    assert extracted(spark, [(i, "http://h/", framed.format(story(900 + i), story(i))) for i in range(30)]) == {i: story(i) for i in range(30)}
+
+
+def test_extraction_equals_a_plain_style_tree(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    rows += [(5000 + i, f"http://s{i % 3}/", f"<div class=t><p>{story(i)}</p></div><div class=u>Subscribe to all news of s{i % 3}</div><ul><li><a href=x>A {i % 4}</a></ul>") for i in range(60)]
+    rows += [(9000, None, None), (9001, "x", ""), (9002, "http://s0/", "<p>" * 50 + "deep")]
+    tree, pages_of, parsed = {}, {}, {}
+    for page_id, url, html in rows:
+        host, found = html_extraction.host_of(url or ""), blocks(html or "")
+        parsed[page_id] = host, found
+        if found:
+            size = Counter()
+            for path, text, _ in found:
+                size[path] += len(text)
+            most = max(size, key=lambda p: (size[p], p))
+            w = words(" ".join(t for p, t, _ in found if p == most))
+            pages_of.setdefault((host, html_extraction.least_shingles([" ".join(w)])[0]), []).append(page_id)
+    for (host, _), ids in pages_of.items():
+        chosen = min(ids, key=lambda i: as_columns(*parsed[i]))
+        for path, text, linked in parsed[chosen][1]:
+            page = tree.setdefault((host, path), {}).setdefault(chosen, [[], 0, 0, None])
+            page[0].append(text)
+            page[1] += len(text)
+            page[2] += min(linked, len(text))
+            page[3] = tuple(p[-1] if p else "" for p, _, _ in parsed[chosen][1] if p[:-1] == path[:-1])
+    removed = set()
+    for (host, path), seen in tree.items():
+        m = len(seen)
+        entropy = lambda counts: -sum(n / sum(counts) * np.log(n / sum(counts)) for n in counts) / np.log(m)
+        per_word = {}
+        for text, *_ in seen.values():
+            for word, n in Counter(" ".join(text).lower().split()).items():
+                per_word.setdefault(word, []).append(n)
+        shrunk = lambda x, usual: (m * x + 4 * usual) / (m + 4)
+        content = shrunk(1 - np.mean([entropy(c) for c in per_word.values()]) if m > 1 and per_word else 0.65, 0.65)
+        layout = shrunk(entropy(list(Counter(x[3] for x in seen.values()).values())) if m > 1 else 0.5, 0.5)
+        links = sum(x[2] for x in seen.values()) / sum(x[1] for x in seen.values())
+        if content * (0.1 + 0.25 * layout + 0.55 * html_extraction.purpose(path) - 0.3 * links) < 0.28:
+            removed.add((host, path))
+    want = {i: "\n".join(t for p, t, _ in found if (host, p) not in removed) for i, (host, found) in parsed.items()}
+    assert extracted(spark, rows) == want and extracted(spark, rows, bound=0) == want
+    assert removed and any(want.values())
+
+
+def as_columns(host, found):
+    """What the operator compares to choose one of several copies."""
+    below = {}
+    for path, _, _ in found:
+        below.setdefault(path[:-1], []).append(path[-1] if path else "")
+    key = html_extraction.key_of
+    return ([html_extraction.node_key(host, p) for p, _, _ in found], [t.encode() for _, t, _ in found], [min(k, len(t)) for _, t, k in found], [key(*below[p[:-1]]) for p, _, _ in found])
+
+
+def test_no_page_takes_long(spark):
+    import time
+
+    pages = ["<a " * 400_000, '<a "' * 300_001 + ">", "<div>" * 200_000 + "</p>" * 200_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<iframe>" * 100_000, "<p>x" * 200_000, "<" * 1_000_000, "<!--" * 100_000]
+    began = time.time()
+    for page in pages:
+        blocks(page)
+    assert time.time() - began < 30
+
+
+def test_text_of_unusual_elements_is_text():
+    got = [t for _, t, _ in blocks("<article>a<noscript>b</noscript><svg><text>c</text></svg><math>d</math><object>e</object><canvas>f</canvas><script>no</script><style>no</style></article>")]
+    assert " ".join(got) == "a b c d e f"
 
 
 def test_top_k_is_exact_with_ties_copies_and_bad_vectors(spark):
@@ -142,25 +227,28 @@ def test_top_k_is_exact_with_ties_copies_and_bad_vectors(spark):
     base = [rng.normal(size=6).tolist() for _ in range(40)]
     rows = [(i, base[i % 40] if i % 3 else base[0]) for i in range(200)] + [(1000, None), (1050, [float("nan")] * 6), (1100, [None] * 6), (1150, [1e30] * 6)]
     got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    good = [(i, [min(max(int(np.floor(256 * x)), -exact_topk.CLAMP), exact_topk.CLAMP) for x in v]) for i, v in rows if v and v[0] is not None and v[0] == v[0]]
+    good = [(i, [int(x) * 256 if abs(x) > 2**60 else int(np.floor(256 * x)) for x in v]) for i, v in rows if v and v[0] is not None and v[0] == v[0]]
     for q, v in good:
         if q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:5]
-            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+            assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(max(min(-s, 2**63 - 1), -(2**63)), i) for s, i in best]
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    far = spark.createDataFrame([(0, [300000.0]), (1, [400000.0]), (2, [500000.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in sorted(exact_topk.top_k(far).collect(), key=lambda r: r.rank)] == [(2, 9830400000000000), (1, 7864320000000000)]
+    numbers = [0, 1, -1, 255, 256, -256, 2**63, -(2**63) - 5, 2**200]
+    assert sorted(numbers) == sorted(numbers, key=exact_topk.ordered)
 
 
 def test_main_text(spark):
     page = """<html><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">ok</div><article><h1>T &amp; x</h1><p>One
      two<br>three <b>bold<p>Second &eacute;</p><div class=comments><p>nice</p></div><aside>ad</aside></article><footer>&copy; x</footer></body></html>"""
-    assert html_extraction.main_text("http://a/b", page, set()) == "T & x\nOne two three bold\nSecond é"
+    assert extracted(spark, [(1, "http://a/b", page)]) == {1: "T & x\nOne two three bold\nSecond é"}
     assert blocks("a < b <p title='x>y'>c") == [((), "a < b", 0), (("p",), "c", 0)]
     same = "<div class='x'><p>Every page says so</p></div><div class='y'><p>Only here {}</p></div>"
-    df = spark.createDataFrame([(i, f"http://h/{i}", same.format(i)) for i in range(20)] + [(90, None, None), (91, "", "")], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
-    assert got[3] == "Only here 3" and got[90] == got[91] == "" and len(got) == 22
-    joined = {r.page_id: r.text for r in html_extraction._extract_by_join(df, html_extraction.style_tree(df).where("importance < 0.3").select("node")).collect()}
-    assert joined == got
+    got = extracted(spark, [(i, f"http://h/{i}", same.format(story(i))) for i in range(20)] + [(90, None, None), (91, "", ""), (91, "", "")])
+    assert got[3] == f"Only here {story(3)}" and got[90] == got[91] == "" and len(got) == 22
+    empty = spark.createDataFrame([], "page_id long, url string, html string, nodes string")
+    assert html_extraction.extract(empty).count() == 0
 
 
 def test_best_fit_decreasing_equals_one_by_one():
@@ -190,8 +278,7 @@ def test_packing_holds_every_id_once(spark, odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    tricky = ["it's 'sup don't'll \n\n x", "  'll '' 's\n's\t\tq 12² Ⅷ½ 中文。テスト", "<|endoftext|> hi", "\x1c a b  c", "x'", "\r\n \r\n"]
+    tricky = ["it's 'sup don't'll \n\n x", "  'll '' 's\n's\t\tq 12² Ⅷ½ 中文。テスト", "<|endoftext|> hi", "a<|endoftext|><|endoftext|>b", "\x1c a b  c", "x'", "\r\n \r\n"]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(10 + i, x) for i, x in enumerate(tricky)], "doc_id long, text string"))
     got = packing.pack_documents(docs, path).collect()
     for doc_id, text in [(3, ODD[4][1]), *[(10 + i, x) for i, x in enumerate(tricky)]]:
@@ -211,11 +298,13 @@ def test_decontamination_of_odd_rows_and_many_blocks(spark, odd):
     items = table(spark, SF, "benchmark")
     docs = table(spark, SF, "documents").select("doc_id", "text")
     one = {tuple(r) for r in decontamination.decontaminate(docs, items).collect()}
-    many = decontamination.digest_hits(decontamination.with_hits(docs, items, block_words=500))
+    many = decontamination.digest_hits(decontamination.with_hits(docs, items, decontamination.NAMES, block_words=500))
     assert {tuple(r) for r in many.collect()} == one
     short = spark.createDataFrame([(1, "w w"), (2, None), (None, "a b")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.decontaminate(odd, short).collect()}
-    assert got[3] == (50_000, 50_000, 1) and got[1] == (0, 0, 0) and got[None] == (2, 0, 0)
+    assert got[3] == (50_000, 50_000, 1) and got[1] == (0, 0, 0) and got[None] == (2, 2, 1)
+    assert decontamination.decontaminate(odd, short.limit(0)).where("contaminated").count() == 0
+    assert decontamination.stage(spark, odd, SF).columns == odd.columns and decontamination.stage(spark, odd.limit(0), SF).count() == 0
 
 
 def test_languages_of_held_out_documents(spark, odd):
@@ -274,14 +363,21 @@ def test_toxicity_by_join_equals_toxicity_by_broadcast(spark, odd):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 1, "assistant", r"\b <turn x> </turn> \\l"), (1, 0, "user", None), (1, 2, "user", "bye"), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "assistant", "")]
+    rows = [(1, 1, "assistant", r"\b <turn x> </turn> \\l"), (1, 0, "user", None), (1, 2, "user", "bye"), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "assistant", ""), (None, 1, "user", "y")]
+    rows += [(3, i, ("user", "assistant")[i % 2], f"<{i}>") for i in range(20)]
     formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
-    assert got[1].n_turns == 3 and got[1].loss_chars == len(rows[0][3]) and got[2].n_examples == 0 and len(got) == 3
-    assert got[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest()
-    example = chat.example_texts(formatted).where("conv_id = 1").first()
-    assert chat.unescape(example.text[example.loss_start : example.loss_end]) == rows[0][3]
-    assert chat.read_back(formatted.limit(0)).count() == 0
+    for turns in (64, 3):
+        made = chat.examples(formatted, turns)
+        got = {r.conv_id: r for r in chat.read_back(made).collect()}
+        assert chat.read_back(made).count() == 5 and set(got) == {1, 2, 3, None}
+        assert got[1].n_turns == 3 and got[1].loss_chars == len(rows[0][3]) and got[2].n_examples == 0 and got[3].n_examples == 10
+        assert got[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest()
+        assert got[3].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows if r[0] == 3).encode()).hexdigest()
+    replies = [r for r in chat.examples(formatted).where("conv_id = 3").collect() if r.loss_start is not None]
+    # each reply has all turns before it as context, and only its own text has loss
+    for r in replies:
+        assert chat.unescape(r.text[r.loss_start : r.loss_end]) == f"<{r.turn_no}>" and len(chat.TURN.findall(r.text)) == r.turn_no + 1
+    assert len(replies) == 10 and chat.read_back(chat.examples(formatted.limit(0))).count() == 0
 
 
 def test_components(spark):
@@ -290,3 +386,7 @@ def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("z", "y"), ("q", "q")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "x"}
+    hub = [("m", f"n{i:04}") for i in range(600)] + [(f"p{i}", "n0007") for i in range(400)] + [("a", "p3")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(hub, "a string, b string")).collect()}
+    assert set(got.values()) == {"a"} and len(got) == 1002
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
