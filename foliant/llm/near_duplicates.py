@@ -26,6 +26,7 @@ from foliant.llm.common import (
     cut,
     fresh,
     mix,
+    multipliers,
     segments,
     shingle_hashes,
     sliced,
@@ -37,7 +38,7 @@ from foliant.llm.graph import components, join_split
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9995
 #: A block of a group holds about so many sets, and so many shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 #: How far below the wanted similarity the estimate of a linked pair may lie: five standard deviations of 100 hashes.
 SLACK = 0.2
 #: Smallest id in front of a node's name, so that the smallest node of a component has the smallest document; ids that are
@@ -51,11 +52,6 @@ def choose_bands(similarity: float, recall: float, rows: int = 5) -> tuple[int,
     return bands, rows
 
 
-def multipliers(n: int) -> np.ndarray:
-    """Odd numbers, one for each hash function."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-
-
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = word_hashes([binary_words(x) for x in texts])
     return shingle_hashes(h, n, width)
@@ -206,7 +202,9 @@ def in_cells(members: DataFrame, key: str, size: Column, run: Callable[[pd.DataF
     cells = numbered.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         *members.columns, "block", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y")
     )
-    return cells.groupBy(key, "x", "y").applyInPandas(run, schema)
+    # Cells take much work for few bytes, so their number of tasks is not left to the size of the shuffle.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(tasks, key, "x", "y").groupBy(key, "x", "y").applyInPandas(run, schema)
 
 
 def across(links: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
