@@ -1,24 +1,22 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree: a node is a path of elements by their presentation (tag, class, id, role).
-Each node with text has three measures over the host's pages. Content: one less the mean entropy of its words, since words
-of menus, notices and footers stand on page after page, words of articles don't. Presentation: the entropy of the ways in
-which pages lay out the branch it belongs to, since articles differ in that and templates don't. Purpose: what its
-elements say they are for, and how much of it is links. Importance is content times a sum of the others, so none of them
-decides alone; branches of low importance are removed from every page, and what is left is its text.
-
-Pages are parsed once and written out as blocks. The tree is counted over distinct pages (of near copies on a host mostly
-one counts) as sums by node and word, with partial aggregates, so a host with a third of all pages is no hot group. Nodes
-to remove are few, since pages of a host share them; they are sent to all tasks if their number is within a bound, else
-joined to the pages.
+Each node with text has three measures over the host's pages. Content: the entropy of its words' features, which are the
+least values of some hash functions over all words of the node on a page; pages that say the same share them. Presentation:
+the entropy of the ways in which pages lay out the branch it belongs to, since articles differ in that and templates
+don't. Purpose: what its elements say they are for, and how much of it is links. Importance is content times a sum of the
+others, so none of them decides alone; branches of low importance are removed from every page, and what is left is its
+text.
+
+The tree is counted over distinct pages (of near copies on a host mostly one counts) as sums by node and feature, with
+partial aggregates, so a host with a third of all pages is no hot group; texts are not shuffled. Nodes to remove are few,
+since pages of a host share them; they are sent to all tasks if their number is within a bound, else joined to the pages.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import binary_words, cut, segments, shingle_hashes, sliced, strings, table, word_hashes
+from foliant.llm.common import binary_words, cut, multipliers, segments, shingle_hashes, sliced, strings, table, word_hashes
 from foliant.llm.graph import join_split
 from foliant.llm.html_dom import blocks
 
@@ -41,8 +39,8 @@ USUAL_CONTENT, USUAL_LAYOUT, USUAL_PAGES = 0.65, 0.5, 4
 ARTICLE, PLAIN, CHROME, HIDDEN = 1.0, 0.5, 0.0, -0.5
 #: Nodes to remove up to this number are sent to all tasks (8 bytes each).
 NODES_BOUND = 2_000_000
-#: (node, item) sums that a task holds at once.
-ITEMS_AT_ONCE = 200_000
+#: Hash functions whose least values over a branch's words are its features.
+FEATURES = 16
 #: Elements, and words in class, id or role, of what is no main text.
 CHROME_TAGS = {
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "select", "datalist",
@@ -93,133 +91,103 @@ def host_of(url: str) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[-1], maxsplit=1)[0].lower()
 
 
-def least_shingles(texts: list[str]) -> list[int]:
-    """The least hash of the five-word shingles of each text: texts of similarity J share it with chance J."""
-    h, n = word_hashes([binary_words(x) for x in texts])
-    shingles, counts = shingle_hashes(h, n, 5)
-    out = np.zeros(len(texts), np.uint64)
+def least_values(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least value of each text, 0 for a text without any."""
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        out[some] = np.minimum.reduceat(shingles, segments(counts)[some])
-    return out.view(np.int64).tolist()
+        out[some] = np.minimum.reduceat(values, segments(counts)[some])
+    return out
 
 
-PARSED = (
-    "page_id long, url string, host long, content long, nodes array<long>, texts array<string>, links array<int>, "
-    "layouts array<long>, purposes array<float>"
+def features(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text, given by hashes of its words, the least value of each hash function (texts by FEATURES)."""
+    out = [least_values(words * a ^ (words >> np.uint64(29)), counts) for a in multipliers(FEATURES)]
+    return (np.stack(out, axis=1) >> np.uint64(8)).astype(np.uint32).view(np.int32)
+
+
+SEEN = (
+    "host long, content long, nodes array<long>, layouts array<long>, purposes array<float>, sizes array<int>, "
+    "links array<int>, features array<int>"
 )
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _branches(url: str, html: str) -> tuple[str, dict[tuple, list]]:
+    """Host, and by path its texts, characters, characters inside links, layout of the branch it belongs to."""
+    below: dict[tuple, list[str]] = {}
+    found: dict[tuple, list] = {}
+    for path, text, linked in blocks(html):
+        below.setdefault(path[:-1], []).append(path[-1] if path else "")
+        branch = found.setdefault(path, [[], 0, 0])
+        branch[0].append(text)
+        branch[1] += len(text)
+        branch[2] += min(linked, len(text))
+    layout = {parent: key_of(*names) for parent, names in below.items()}
+    return host_of(url), {path: [*branch, layout[path[:-1]]] for path, branch in found.items()}
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SEEN of each page with text: `content` tells apart, on a host, pages whose largest branches differ: it is the least
+    hash of that branch's five-word shingles, which texts of similarity J share with chance J."""
     for batch in sliced(batches, 200):
-        columns: list[list] = [[] for _ in range(6)]
-        largest = []
-        for url, html in zip(strings(batch.column(1)), strings(batch.column(2)), strict=True):
-            host, found = host_of(url), blocks(html)
-            below: dict[tuple, list[str]] = {}
-            size: Counter = Counter()
-            for path, text, _ in found:
-                below.setdefault(path[:-1], []).append(path[-1] if path else "")
-                size[path] += len(text)
-            layout = {parent: key_of(*names) for parent, names in below.items()}
-            most = max(size, key=lambda p: (size[p], p)) if size else ()
-            largest.append(" ".join(text for path, text, _ in found if path == most))
-            row = (
-                key_of(host),
-                [node_key(host, path) for path, _, _ in found],
-                [text for _, text, _ in found],
-                [min(linked, len(text)) for _, text, linked in found],
-                [layout[path[:-1]] for path, _, _ in found],
-                [purpose(path) for path, _, _ in found],
-            )
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float32()))
-        host, nodes, *rest = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
-        arrays = [batch.column(0).cast(pa.int64()), batch.column(1), host, pa.array(least_shingles(largest), pa.int64()), nodes, *rest]
-        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PARSED.split(", ")])
-
-
-def parse(pages: DataFrame) -> DataFrame:
-    """PARSED of every page: of each text block its node, text, characters inside links, layout of its branch, purpose;
-    `content` tells apart, on a host, pages whose largest branches differ."""
-    return cut(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, item, t, s, purpose) of distinct pages. Words: t is how often, s the sum of n ln n over pages. Layouts: t is
-    the number of pages. Size: characters, and those inside links."""
-    found: dict[tuple[int, str], list[float]] = {}
-    purposes: dict[int, float] = {}
-
-    def add(node: int, item: str, t: float, s: float) -> None:
-        x = found.get((node, item))
-        if x is None:
-            found[node, item] = [t, s]
-        else:
-            x[0] += t
-            x[1] += s
-
-    def flush() -> pa.RecordBatch:
-        columns = [
-            pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string()),
-            pa.array([x[0] for x in found.values()], pa.float64()), pa.array([x[1] for x in found.values()], pa.float64()),
-            pa.array([purposes[k[0]] for k in found], pa.float32()),
-        ]
-        found.clear()
-        purposes.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["node", "item", "t", "s", "purpose"])
-
-    for batch in sliced(batches):
-        for nodes, texts, links, layouts, worth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts: dict[int, list] = {}
-            for node, text, linked, layout, p in zip(nodes, texts, links, layouts, worth, strict=True):
-                part = parts.setdefault(node, [[], 0, 0, layout, p])
-                part[0].append(text)
-                part[1] += len(text)
-                part[2] += linked
-            for node, (text, size, linked, layout, p) in parts.items():
-                purposes[node] = p
-                add(node, "size", size, linked)
-                add(node, f"layout {layout}", 1, 0.0)
-                for word, n in Counter(" ".join(text).lower().split()).items():
-                    add(node, "." + word, n, n * math.log(n))
-            if len(found) > ITEMS_AT_ONCE:
-                yield flush()
-    yield flush()
-
-
-def importance(m: Column, layouts: Column, words: Column, n_words: Column, size: Column, linked: Column, purpose: Column) -> Column:
-    """From the number of pages, sum of n ln n of layouts, sum of the words' entropies, number of words, characters,
-    characters inside links, purpose. Entropies are to the base of the number of pages: 1 if all pages are alike."""
-    shrunk = lambda x, usual: (m * x + USUAL_PAGES * usual) / (m + USUAL_PAGES)
-    known = (m > 1) & (n_words > 0)
-    content = shrunk(F.when(known, 1 - words / (n_words * F.log(m))).otherwise(USUAL_CONTENT), USUAL_CONTENT)
-    layout = shrunk(F.when(m > 1, 1 - layouts / (m * F.log(m))).otherwise(USUAL_LAYOUT), USUAL_LAYOUT)
+        pages = [_branches(url, html) for url, html in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True)]
+        pages = [page for page in pages if page[1]]
+        texts = [binary_words(" ".join(branch[0])) for _, found in pages for branch in found.values()]
+        words, counts = word_hashes(texts)
+        least = features(words, counts)
+        shingles = least_values(*shingle_hashes(words, counts, 5)).view(np.int64)
+        rows, at = [], 0
+        for host, found in pages:
+            size = [branch[1] for branch in found.values()]
+            most = max(range(len(size)), key=lambda i: (size[i], -i))
+            rows.append(
+                (
+                    key_of(host), int(shingles[at + most]), [node_key(host, path) for path in found], [b[3] for b in found.values()],
+                    [purpose(path) for path in found], size, [b[2] for b in found.values()], least[at : at + len(size)].ravel(),
+                )
+            )
+            at += len(size)
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.int64(), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.int32())))
+        names = [x.split()[0] for x in SEEN.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def importance(m: Column, layouts: Column, contents: Column, size: Column, linked: Column, purpose: Column) -> Column:
+    """From the number of pages, sum of n ln n of layouts and of all features, characters, characters inside links and
+    purpose. Entropies are to the base of the number of pages: 0 if all pages are alike, 1 if all differ."""
+    entropy = lambda s, usual: (m * F.when(m > 1, 1 - s / (m * F.log(m))).otherwise(usual) + USUAL_PAGES * usual) / (m + USUAL_PAGES)
+    content, layout = entropy(contents / FEATURES, USUAL_CONTENT), entropy(layouts, USUAL_LAYOUT)
     return content * (BASE + BY_LAYOUT * layout + BY_PURPOSE * purpose + BY_LINKS * linked / size)
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame) -> DataFrame:
     """(node, importance) of all branches that have text. Near copies of a page mostly count once."""
-    columns = ("nodes", "texts", "links", "layouts", "purposes")
-    distinct = parsed.where(F.size("nodes") > 0).groupBy("host", "content").agg(F.min(F.struct(*columns)).alias("r")).select(*(f"r.{c}" for c in columns))
-    sums = (
-        distinct.mapInArrow(_count, "node long, item string, t double, s double, purpose float")
-        .groupBy("node", "item").agg(F.sum("t").alias("t"), F.sum("s").alias("s"), F.max("purpose").alias("purpose"))
+    columns = ("nodes", "layouts", "purposes", "sizes", "links", "features")
+    seen = pages.select("url", "html").mapInArrow(_seen, SEEN)
+    distinct = seen.groupBy("host", "content").agg(F.min(F.struct(*columns)).alias("r"))
+    at = lambda c, i: F.element_at(f"r.{c}", i + 1)
+    branch = lambda i: F.struct(
+        at("nodes", i).alias("node"), at("layouts", i).alias("layout"), at("purposes", i).alias("purpose"),
+        at("sizes", i).alias("size"), at("links", i).alias("linked"), F.slice("r.features", i * FEATURES + 1, FEATURES).alias("features"),
+    )
+    each = distinct.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("r.nodes") - 1), branch)).alias("b")).select("b.*")
+    # Item -1 is the layout, the others are the features.
+    items = each.select("node", "purpose", "size", "linked", F.posexplode(F.concat(F.array("layout"), F.col("features").cast("array<long>"))))
+    counted = items.groupBy("node", "pos", "col").agg(
+        F.count("*").alias("n"), F.max("purpose").alias("purpose"),
+        *(F.sum(F.when(F.col("pos") == 0, F.col(c))).alias(c) for c in ("size", "linked")),
     )
-    kind = F.left("item", F.lit(1))
-    only = lambda k, c: F.sum(F.when(kind == k, c).otherwise(0.0))
-    nodes = sums.groupBy("node").agg(
-        only("l", F.col("t")).alias("m"), only("l", F.col("t") * F.log("t")).alias("layouts"),
-        only(".", F.log("t") - F.col("s") / F.col("t")).alias("words"), only(".", F.lit(1.0)).alias("n_words"),
-        only("s", F.col("t")).alias("size"), only("s", F.col("s")).alias("linked"), F.max("purpose").alias("purpose"),
+    of = lambda which, c: F.sum(F.when(which, c).otherwise(0))
+    layout, weight = F.col("pos") == 0, F.col("n") * F.log("n")
+    nodes = counted.groupBy("node").agg(
+        of(layout, F.col("n")).alias("m"), of(layout, weight).alias("layouts"), of(~layout, weight).alias("contents"),
+        F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("purpose").alias("purpose"),
     )
-    names = ("m", "layouts", "words", "n_words", "size", "linked", "purpose")
-    return nodes.select("node", importance(*map(F.col, names)).alias("importance"))
+    return nodes.select("node", importance(*map(F.col, ("m", "layouts", "contents", "size", "linked", "purpose"))).alias("importance"))
 
 
-def text_of(nodes: list[int], texts: list[str], removed) -> str:
-    return "\n".join(text for node, text in zip(nodes or (), texts or (), strict=True) if node not in removed)
+EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
 def extract(pages: DataFrame, bound: int = NODES_BOUND) -> DataFrame:
@@ -229,33 +197,46 @@ def extract(pages: DataFrame, bound: int = NODES_BOUND) -> DataFrame:
     whole and in page order. Scripts, styles, templates and markup are no text. Null html is empty; repeated rows are read
     once each; a null url is a host of its own; other columns are ignored; an empty table gives no rows.
     """
-    parsed = parse(pages)
-    low = cut(style_tree(parsed)).where(F.col("importance") < LEAST_IMPORTANCE).select("node")
+    low = cut(style_tree(pages)).where(F.col("importance") < LEAST_IMPORTANCE).select("node")
+    rows, removed = pages.select("page_id", "url", "html"), None
     if low.count() <= bound:
         removed = pages.sparkSession.sparkContext.broadcast(frozenset(low.toPandas()["node"].tolist()))
-        rows = parsed.select("page_id", "url", "nodes", "texts", F.lit(None).cast("array<long>").alias("low"))
+        rows = rows.withColumn("low", F.lit(None).cast("array<long>"))
     else:
-        removed = None
-        keyed = parsed.withColumn("shape", F.xxhash64("nodes"))
-        shapes = keyed.groupBy("shape").agg(F.count("*").alias("n"), F.any_value("nodes").alias("nodes"))
-        gone = (
-            shapes.select("shape", F.explode(F.array_distinct("nodes")).alias("node")).join(low.hint("merge"), "node")
-            .groupBy("shape").agg(F.collect_set("node").alias("low"))
-        )
-        side = cut(shapes.drop("nodes").join(gone.hint("merge"), "shape", "left"))
-        rows = join_split(keyed.select("page_id", "url", "nodes", "texts", "shape"), side, "shape", "n", parsed.count()).drop("shape")
+        rows = with_low_nodes(rows, low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = removed.value if removed else frozenset()
-        for batch in sliced(batches):
-            given = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
-            texts = [text_of(nodes, found, everywhere if low is None else set(low)) for nodes, found, low in given]
+        for batch in sliced(batches, 200):
+            texts = []
+            for url, html, own in zip(strings(batch.column(1)), strings(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                host, gone = host_of(url), everywhere if own is None else set(own)
+                texts.append("\n".join(text for path, text, _ in blocks(html) if node_key(host, path) not in gone))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, EXTRACTED)
+
+
+def with_low_nodes(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Adds low, the nodes to remove of each page's shape (the nodes it has); for any number of them."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            given = zip(strings(batch.column(1)), strings(batch.column(2)), strict=True)
+            nodes = [sorted(node_key(host, path) for path in found) for host, found in (_branches(u, h) for u, h in given)]
+            yield batch.append_column("nodes", pa.array(nodes, pa.list_(pa.int64())))
+
+    keyed = rows.mapInArrow(shapes, "page_id long, url string, html string, nodes array<long>").withColumn("shape", F.xxhash64("nodes"))
+    kinds = cut(keyed.groupBy("shape").agg(F.count("*").alias("n"), F.any_value("nodes").alias("nodes")))
+    gone = (
+        kinds.select("shape", F.explode("nodes").alias("node")).join(low.hint("merge"), "node")
+        .groupBy("shape").agg(F.collect_set("node").alias("low"))
+    )
+    side = cut(kinds.drop("nodes").join(gone.hint("merge"), "shape", "left"))
+    return join_split(keyed.drop("nodes"), side, "shape", "n", rows.count()).select("page_id", "url", "html", "low")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,37 +160,39 @@ def test_extraction_equals_a_plain_style_tree(spark):
     rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
     rows += [(5000 + i, f"http://s{i % 3}/", f"<div class=t><p>{story(i)}</p></div><div class=u>Subscribe to all news of s{i % 3}</div><ul><li><a href=x>A {i % 4}</a></ul>") for i in range(60)]
     rows += [(9000, None, None), (9001, "x", ""), (9002, "http://s0/", "<p>" * 50 + "deep")]
-    tree, pages_of, parsed = {}, {}, {}
+    parsed, copies, tree = {}, {}, {}
     for page_id, url, html in rows:
         host, found = html_extraction.host_of(url or ""), blocks(html or "")
         parsed[page_id] = host, found
-        if found:
-            size = Counter()
-            for path, text, _ in found:
-                size[path] += len(text)
-            most = max(size, key=lambda p: (size[p], p))
-            w = words(" ".join(t for p, t, _ in found if p == most))
-            pages_of.setdefault((host, html_extraction.least_shingles([" ".join(w)])[0]), []).append(page_id)
-    for (host, _), ids in pages_of.items():
-        chosen = min(ids, key=lambda i: as_columns(*parsed[i]))
-        for path, text, linked in parsed[chosen][1]:
-            page = tree.setdefault((host, path), {}).setdefault(chosen, [[], 0, 0, None])
-            page[0].append(text)
-            page[1] += len(text)
-            page[2] += min(linked, len(text))
-            page[3] = tuple(p[-1] if p else "" for p, _, _ in parsed[chosen][1] if p[:-1] == path[:-1])
+        nodes = {}
+        for path, text, linked in found:
+            node = nodes.setdefault(path, [[], 0, 0, [p[-1] if p else "" for p, _, _ in found if p[:-1] == path[:-1]]])
+            node[0].append(text)
+            node[1] += len(text)
+            node[2] += min(linked, len(text))
+        if nodes:
+            values = {path: least_of_words(" ".join(node[0]), 1)[0].tolist() for path, node in nodes.items()}
+            most = max(nodes, key=lambda p: nodes[p][1])
+            columns = (
+                [html_extraction.node_key(host, p) for p in nodes], [html_extraction.key_of(*n[3]) for n in nodes.values()],
+                [html_extraction.purpose(p) for p in nodes], [n[1] for n in nodes.values()], [n[2] for n in nodes.values()], sum(values.values(), []),
+            )
+            copies.setdefault((host, least_of_words(" ".join(nodes[most][0]), 5)), []).append((columns, nodes, values))
+    for (host, _), same in copies.items():
+        _, nodes, values = min(same, key=lambda x: x[0])
+        for path, node in nodes.items():
+            tree.setdefault((host, path), []).append((node, values[path]))
     removed = set()
     for (host, path), seen in tree.items():
         m = len(seen)
-        entropy = lambda counts: -sum(n / sum(counts) * np.log(n / sum(counts)) for n in counts) / np.log(m)
-        per_word = {}
-        for text, *_ in seen.values():
-            for word, n in Counter(" ".join(text).lower().split()).items():
-                per_word.setdefault(word, []).append(n)
-        shrunk = lambda x, usual: (m * x + 4 * usual) / (m + 4)
-        content = shrunk(1 - np.mean([entropy(c) for c in per_word.values()]) if m > 1 and per_word else 0.65, 0.65)
-        layout = shrunk(entropy(list(Counter(x[3] for x in seen.values()).values())) if m > 1 else 0.5, 0.5)
-        links = sum(x[2] for x in seen.values()) / sum(x[1] for x in seen.values())
+
+        def entropy(values, usual, m=m):
+            share = [n / m for n in Counter(values).values()]
+            return ((m * -sum(p * np.log(p) for p in share) / np.log(m) if m > 1 else m * usual) + 4 * usual) / (m + 4)
+
+        content = np.mean([entropy([v[i] for _, v in seen], 0.65) for i in range(html_extraction.FEATURES)])
+        layout = entropy([tuple(node[3]) for node, _ in seen], 0.5)
+        links = sum(node[2] for node, _ in seen) / sum(node[1] for node, _ in seen)
         if content * (0.1 + 0.25 * layout + 0.55 * html_extraction.purpose(path) - 0.3 * links) < 0.28:
             removed.add((host, path))
     want = {i: "\n".join(t for p, t, _ in found if (host, p) not in removed) for i, (host, found) in parsed.items()}
@@ -198,13 +200,12 @@ def test_extraction_equals_a_plain_style_tree(spark):
     assert removed and any(want.values())
 
 
-def as_columns(host, found):
-    """What the operator compares to choose one of several copies."""
-    below = {}
-    for path, _, _ in found:
-        below.setdefault(path[:-1], []).append(path[-1] if path else "")
-    key = html_extraction.key_of
-    return ([html_extraction.node_key(host, p) for p, _, _ in found], [t.encode() for _, t, _ in found], [min(k, len(t)) for _, t, k in found], [key(*below[p[:-1]]) for p, _, _ in found])
+def least_of_words(text, width):
+    """Features of a text's words (width 1), or its least shingle."""
+    from foliant.llm.common import binary_words, shingle_hashes, word_hashes
+
+    h, n = word_hashes([binary_words(text)])
+    return html_extraction.features(h, n) if width == 1 else int(min(shingle_hashes(h, n, width)[0], default=0))
 
 
 def test_no_page_takes_long(spark):
