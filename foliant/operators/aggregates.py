@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from foliant.functions.text import is_unknown
 
 
 def known(value: str) -> Column:
@@ -11,28 +14,24 @@ def known(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.col(value).isin("", "unknown")
 
 
-def votes(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    return df.where(known(value)).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
-
-
 def consensus(df: DataFrame, key: str, value: str, order: str, fallback: str = "unknown") -> DataFrame:
     """(key, value, n_votes): the most common known value; a tie for it gives the fallback. Groups without a known value
-    have the fallback too. Two grouped aggregates."""
-    v = votes(df, key, value, order)
-    top = v.groupBy(key, "n").agg(F.count("*").alias("ties"), F.min("v").alias("v"))
-    best = top.groupBy(key).agg(F.max(F.struct("n", "ties", "v")).alias("b"))
-    every = df.select(key).distinct()
-    return every.join(best.hint("shuffle_hash"), key, "left").select(
+    have the fallback too. Three grouped aggregates over one scan: unknown values are counted as null, which no known count
+    is less than."""
+    v = df.groupBy(key, F.when(known(value), F.col(value)).alias("v")).agg(F.count("*").alias("n"))
+    top = v.groupBy(key, F.when(F.col("v").isNotNull(), F.col("n")).alias("n")).agg(F.count("*").alias("ties"), F.min("v").alias("v"))
+    return top.groupBy(key).agg(F.max(F.struct("n", "ties", "v")).alias("b")).select(
         key,
-        F.when(F.col("b.ties") == 1, F.col("b.v")).otherwise(F.lit(fallback)).alias(value),
+        F.when((F.col("b.ties") == 1) & F.col("b.n").isNotNull(), F.col("b.v")).otherwise(F.lit(fallback)).alias(value),
         F.coalesce("b.n", F.lit(0)).alias("n_votes"),
     )
 
 
 def most_common_known(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The most common known value; of equally common ones the one seen first."""
+    """The most common known value (in any spelling of unknown); of equally common ones the one seen first."""
+    votes = df.where(~is_unknown(F.col(value))).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
     best = F.min(F.struct((-F.col("n")).alias("n"), "o", "v")).alias("b")
-    return votes(df, key, value, order).groupBy(key).agg(best).select(key, F.col("b.v").alias(value))
+    return votes.groupBy(key).agg(best).select(key, F.col("b.v").alias(value))
 
 
 def first_non_null(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -41,13 +40,15 @@ def first_non_null(df: DataFrame, key: str, value: str, order: str) -> DataFrame
 
 
 def ordered_union(df: DataFrame, key: str, items: str, order: str, cap: int | None = None) -> DataFrame:
-    """Distinct non-blank items of a group's arrays, in order of first appearance; at most `cap`. Items are made distinct
-    before they are gathered, so a list is as long as the group's vocabulary."""
+    """Distinct non-blank items of a group's arrays, in order of first appearance; at most `cap`. Items are made distinct and
+    ranked before they are gathered, so with a cap no more than that many of a group are."""
     exploded = df.select(key, F.col(order).alias("o"), F.posexplode(items).alias("p", "item")).where("trim(item) <> ''")
     first = exploded.groupBy(key, "item").agg(F.min(F.struct("o", "p")).alias("at"))
+    if cap:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+        first = first.withColumn("_n", place).where(F.col("_n") <= cap)
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("l"))
-    out = F.transform("l", lambda x: x["item"])
-    return lists.select(key, (F.slice(out, 1, cap) if cap else out).alias(items))
+    return lists.select(key, F.transform("l", lambda x: x["item"]).alias(items))
 
 
 def counter_map(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -74,20 +74,22 @@ def authority_rank() -> Column:
 def lineage(documents: DataFrame) -> DataFrame:
     """Adds authority_rank, superseded_by_document_id (first authoritative document of the role) and
     contains_unique_reasoning (its detail is in none of them). Grouped by group and role, joined back: no document is
-    compared with each other one."""
-    ranked = documents.withColumn("authority_rank", authority_rank())
+    compared with each other one, and details meet by their hash."""
     detail = F.trim("summary_detailed")
-    best = ranked.where("authority_rank = 'authoritative'").groupBy("proposal_id", "document_role").agg(
-        F.min("document_id").alias("_first"), F.collect_set(detail).alias("_details")
+    ranked = documents.withColumn("authority_rank", authority_rank()).withColumn("_detail", F.md5(detail))
+    top = ranked.where("authority_rank = 'authoritative'")
+    best = top.groupBy("proposal_id", "document_role").agg(F.min("document_id").alias("_first"))
+    said = top.select("proposal_id", "document_role", "_detail").distinct().withColumn("_said", F.lit(True))
+    joined = ranked.join(best.hint("shuffle_hash"), ["proposal_id", "document_role"], "left").join(
+        said.hint("shuffle_hash"), ["proposal_id", "document_role", "_detail"], "left"
     )
-    joined = ranked.join(best.hint("shuffle_hash"), ["proposal_id", "document_role"], "left")
     follows = (F.col("authority_rank") != "authoritative") & F.col("_first").isNotNull()
     return joined.withColumns(
         {
             "superseded_by_document_id": F.when(follows, F.col("_first")),
-            "contains_unique_reasoning": follows & (detail != "") & ~F.array_contains("_details", detail),
+            "contains_unique_reasoning": follows & (detail != "") & F.col("_said").isNull(),
         }
-    ).drop("_first", "_details")
+    ).drop("_first", "_detail", "_said")
 
 
 def treatments(with_lineage: DataFrame) -> DataFrame:

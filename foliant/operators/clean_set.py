@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant import rules
 from foliant.functions import text as T
 from foliant.operators.aggregates import known
 from foliant.operators.inventory import resolve_name_collisions
@@ -39,20 +40,24 @@ def detect_conflict(documents: DataFrame, field: str) -> DataFrame:
 
 
 def select_full_text(documents: DataFrame, excluded_roles: tuple[str, ...], max_docs: int = 8, max_chars: int = 6000) -> DataFrame:
-    """Documents whose start a group's summary request quotes: ordered by retrieval priority and version, never roles of low
-    value nor sensitive ones; a blank text takes no place. Both limits are the feature, a budget of a request."""
+    """Documents whose start a group's summary request quotes: roles of high value first, then final versions; never roles
+    of low value nor sensitive ones; a blank text takes no place. Both limits are the feature, a budget of a request."""
     sensitive = F.col("contains_budget_or_rates") | F.col("contains_personal_info")
-    score = F.when(F.col("rag_priority") == "high", 0).when(F.col("rag_priority") == "medium", 1).otherwise(2)
+    score = F.when(F.col("document_role").isin(*rules.HIGH_VALUE_ROLES), 0).otherwise(1)
     version = F.when(F.col("version_status").isin("final", "submitted_version"), 0).otherwise(1)
     order = Window.partitionBy("proposal_id").orderBy(score, version, "document_id", "scan_ord")
     fit = documents.where(~F.col("document_role").isin(*excluded_roles) & ~sensitive & (F.trim("summary_detailed") != ""))
     ranked = fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
-    return ranked.withColumn("excerpt", F.left("summary_detailed", F.lit(max_chars)))
+    return ranked.withColumn("excerpt", F.left(F.trim("summary_detailed"), F.lit(max_chars)))
 
 
 def exclusion_reason() -> Column:
-    """Why a document isn't in the clean set; null if it is."""
-    return F.when(~F.col("include_in_clean_set"), "not_included").when(F.col("manual_review_required"), "manual_review_required")
+    """Why a document isn't in the clean set: its own reason or a default, or the reasons of its review; null if it is."""
+    own = F.coalesce(F.nullif("exclude_reason", F.lit("")), F.lit("include_in_clean_set_false"))
+    review = F.when(F.size("manual_review_reasons") > 0, F.concat(F.lit("manual_review_required: "), F.array_join("manual_review_reasons", "; ")))
+    return F.when(~F.col("include_in_clean_set"), own).when(
+        F.col("manual_review_required"), F.coalesce(review, F.lit("manual_review_required"))
+    )
 
 
 def exclusions(documents: DataFrame, inventory: DataFrame) -> DataFrame:

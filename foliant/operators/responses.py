@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 import pandas as pd
@@ -14,18 +15,41 @@ from foliant import rules
 from foliant.functions import text as T
 
 
+#: An object begins with a brace before a key or its end.
+START = re.compile(r'\{(?=[ \t\r\n]*["}])')
+#: Of the starts that no later brace closes, so many are tried.
+OPEN_STARTS = 1000
+
+
+def closed_braces(text: str) -> set[int]:
+    """Places of the opening braces that a later one closes, by count alone."""
+    stack, out = [], set()
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            out.add(stack.pop())
+    return out
+
+
 @F.pandas_udf(ST.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
-    """The first JSON object that starts at any brace of a text; null for a null text or none."""
+    """The first JSON object that starts at any brace of a text; null for a null text or none. Text nested deeper than a
+    parser can follow has no object there."""
     decoder = json.JSONDecoder()
 
     def one(text: str | None) -> str | None:
-        at = text.find("{") if text is not None else -1
-        while at >= 0:
+        closed, tries = None, 0
+        for m in START.finditer(text or ""):
+            closed = closed_braces(text) if closed is None else closed
+            if m.start() not in closed:
+                tries += 1
+                if tries > OPEN_STARTS:
+                    continue
             try:
-                return json.dumps(decoder.raw_decode(text, at)[0])
-            except ValueError:
-                at = text.find("{", at + 1)
+                return json.dumps(decoder.raw_decode(text, m.start())[0])
+            except (ValueError, RecursionError):
+                continue
         return None
 
     return texts.map(one)

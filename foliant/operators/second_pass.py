@@ -11,10 +11,14 @@ from pyspark.sql.window import Window
 from foliant.functions.text import is_unknown
 
 
-def needs_review(threshold: float) -> Column:
-    """Category or role below the threshold, or an unknown origin."""
-    low = (F.col("category_confidence") < threshold) | (F.col("role_confidence") < threshold)
-    return low | is_unknown(F.col("origin_type"))
+def needs_review(threshold: float, optional: Sequence[Column] = ()) -> Column:
+    """Not seen twice yet, and: category, role or retrieval below the threshold, an unknown origin or name, or a flag.
+    `optional` are more conditions of the caller's."""
+    low = (F.col("category_confidence") < threshold) | (F.col("role_confidence") < threshold) | (F.col("rag_confidence") < threshold)
+    wanted = low | is_unknown(F.col("origin_type")) | is_unknown(F.col("canonical_proposal_name"))
+    for condition in optional:
+        wanted = wanted | F.coalesce(condition, F.lit(False))
+    return ~F.col("reviewed_twice") & wanted
 
 
 def adopt(old: Column, new: Column, old_confidence: Column, new_confidence: Column, threshold: float, explained: Column) -> Column:
@@ -66,31 +70,62 @@ def change_log(merged: DataFrame, key: str) -> DataFrame:
     return merged.select(key, F.explode("changes").alias("c")).select(key, "c.*")
 
 
-def branch_signals(documents: DataFrame, field: str) -> DataFrame:
-    """Adds suggested: the most common known value of the field among the other documents of the group, the least of
-    equally common ones. Values are counted by group, so a document is compared with values, not with documents."""
-    counted = documents.where(~is_unknown(F.col(field))).groupBy("proposal_id", F.col(field).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("proposal_id").orderBy(F.col("n").desc(), "v")
+def branch_signals(documents: DataFrame, field: str, order: str) -> DataFrame:
+    """Adds suggested: the most common known value of the field among the other documents of the group, of equally common
+    ones the one seen first. Values are counted by group, so a document is compared with values, not with documents."""
+    places = Window.partitionBy("proposal_id", "v").orderBy("o")
+    seen = documents.where(~is_unknown(F.col(field))).select("proposal_id", F.col(field).alias("v"), F.col(order).alias("o"))
+    second = seen.withColumn("_p", F.row_number().over(places)).where("_p = 2").select("proposal_id", "v", F.col("o").alias("o2"))
+    counted = seen.groupBy("proposal_id", "v").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    counted = counted.join(second.hint("shuffle_hash"), ["proposal_id", "v"], "left")
     # Without its own vote a value falls by one, so the best other value is among the group's two best or its own.
-    top = counted.withColumn("r", F.row_number().over(order)).where("r <= 2")
-    best = top.groupBy("proposal_id").agg(
-        F.max(F.when(F.col("r") == 1, F.struct("n", "v"))).alias("_a"), F.max(F.when(F.col("r") == 2, F.struct("n", "v"))).alias("_b")
-    )
+    best_first = Window.partitionBy("proposal_id").orderBy(F.col("n").desc(), "o")
+    top = counted.withColumn("r", F.row_number().over(best_first)).where("r <= 2")
+    pick = lambda r: F.max(F.when(F.col("r") == r, F.struct("n", "v", "o", "o2")))
+    best = top.groupBy("proposal_id").agg(pick(1).alias("_a"), pick(2).alias("_b"))
     own, a, b = F.col(field), F.col("_a"), F.col("_b")
-    left = a["n"] - 1
-    second = b["n"].isNotNull() & ((b["n"] > left) | ((b["n"] == left) & (b["v"] < a["v"])))
+    left, since = a["n"] - 1, F.when(a["o"] == F.col(order), a["o2"]).otherwise(a["o"])
+    other = b["n"].isNotNull() & ((b["n"] > left) | ((b["n"] == left) & (b["o"] < since)))
     return documents.join(best.hint("shuffle_hash"), "proposal_id", "left").withColumn(
-        "suggested",
-        F.when(~own.eqNullSafe(a["v"]), a["v"]).when(second, b["v"]).when(left > 0, a["v"]),
+        "suggested", F.when(~own.eqNullSafe(a["v"]), a["v"]).when(other, b["v"]).when(left > 0, a["v"])
     ).drop("_a", "_b")
 
 
-def context_neighbours(documents: DataFrame, threshold: float = 0.4, fallback: int = 5) -> DataFrame:
-    """Documents that a group's second look is shown: the confident ones, or where there is none the `fallback` best."""
+def context_neighbours(documents: DataFrame, threshold: float = 0.75, fallback: int = 5) -> DataFrame:
+    """(proposal_id, target, neighbour, score): what the second look at a document is shown. Confident documents of a group
+    are shown to all others of it, as one row each without a target (nobody is shown itself). A document with no confident
+    one beside it gets the `fallback` best others, as rows of its own; so rows grow with documents, not with pairs."""
     score = F.greatest("category_confidence", "role_confidence")
-    rows = documents.withColumn("score", score)
-    sure = rows.groupBy("proposal_id").agg(F.bool_or(F.col("score") > threshold).alias("_sure"))
+    rows = documents.select("proposal_id", "doc_id", "document_id", "scan_ord", score.alias("score"))
+    sure = rows.where(F.col("score") >= threshold)
+    shared = sure.select("proposal_id", F.lit(None).cast("long").alias("target"), F.col("doc_id").alias("neighbour"), "score")
+    number = sure.groupBy("proposal_id").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_only"))
     best = Window.partitionBy("proposal_id").orderBy(F.col("score").desc(), "document_id", "scan_ord")
-    none = rows.join(sure.where("not _sure").hint("shuffle_hash"), "proposal_id", "left_semi")
-    ranked = none.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= fallback).drop("_r")
-    return rows.where(F.col("score") > threshold).unionByName(ranked)
+    top = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= fallback + 1)
+    shown = top.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("_r", "doc_id", "score"))).alias("_top"))
+    alone = rows.join(number.hint("shuffle_hash"), "proposal_id", "left").where("_n is null or (_n = 1 and _only = doc_id)")
+    others = F.slice(F.filter("_top", lambda x: x["doc_id"] != F.col("doc_id")), 1, fallback)
+    own = alone.join(shown.hint("shuffle_hash"), "proposal_id").select("proposal_id", "doc_id", F.explode(others).alias("x"))
+    own = own.select("proposal_id", F.col("doc_id").alias("target"), F.col("x.doc_id").alias("neighbour"), F.col("x.score").alias("score"))
+    return shared.unionByName(own)
+
+
+def review_again(documents: DataFrame) -> DataFrame:
+    """The default second opinion on documents with columns suggested_<field> for name, agency and program: support letters
+    and unknown roles become letters, unknown identity is filled from the group, confidences get floors."""
+    letter = F.lower("file_name_original").contains("support letter") | F.col("document_role").isin("letter_of_support", "unknown")
+    filled = lambda c: F.when(is_unknown(F.col(c)) & ~is_unknown(F.col(f"suggested_{c}")), F.col(f"suggested_{c}")).otherwise(F.col(c))
+    name = filled("canonical_proposal_name")
+    floor = lambda c, least: F.greatest(F.col(c), F.lit(least))
+    return documents.withColumns(
+        {
+            "document_category": F.when(letter, "partner_document").otherwise(F.col("document_category")),
+            "document_role": F.when(letter, "letter_of_support").otherwise(F.col("document_role")),
+            "origin_type": F.when(letter, "generated_response").otherwise(F.col("origin_type")),
+            "category_confidence": F.when(letter, floor("category_confidence", 0.92)).otherwise(F.col("category_confidence")),
+            "role_confidence": F.when(letter, floor("role_confidence", 0.95)).otherwise(F.col("role_confidence")),
+            "canonical_proposal_name": F.when(is_unknown(name), F.col("proposal_branch")).otherwise(name),
+            "agency": filled("agency"), "program": filled("program"),
+            "name_confidence": floor("name_confidence", 0.9), "rag_confidence": floor("rag_confidence", 0.8),
+        }
+    )

@@ -12,17 +12,27 @@ from foliant.functions.text import name_tokens
 def match_tracker(groups: DataFrame, tracker: DataFrame, least: float = rules.MATCH_LEAST, delta: float = rules.MATCH_DELTA) -> DataFrame:
     """(proposal_id, match_status, confidence, n_candidates, row_id) of groups (proposal_id, proposal_branch).
 
-    Similarity is the Jaccard ratio of name tokens. Tokens are exploded and joined on equality, so only rows that share a
-    token meet. Below `least`: unmatched; several rows strictly within `delta` of the best: ambiguous; else matched.
+    Similarity is the Jaccard ratio of name tokens. Names are joined on their rarest tokens only, as many as a pair that
+    counts must share one of (prefix filter), and compared in full where they meet; so a token that all names have joins
+    nothing. Below `least`: unmatched, with confidence 0; several rows strictly within `delta` of the best: ambiguous; else
+    matched.
     """
-    rows = tracker.select("row_id", name_tokens(F.col("proposal_name")).alias("rt")).where("size(rt) > 0")
-    hints = groups.select("proposal_id", name_tokens(F.col("proposal_branch")).alias("ht"))
-    left = hints.select("proposal_id", F.size("ht").alias("n"), F.explode("ht").alias("token"))
-    right = rows.select("row_id", F.size("rt").alias("m"), F.explode("rt").alias("token"))
-    shared = left.join(right.hint("merge"), "token").groupBy("proposal_id", "row_id").agg(
-        F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")
-    )
-    scored = shared.select("proposal_id", "row_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score"))
+    rows = tracker.select(F.col("row_id").alias("id"), name_tokens(F.col("proposal_name")).alias("t")).where("size(t) > 0")
+    hints = groups.select("proposal_id", name_tokens(F.col("proposal_branch")).alias("t"))
+    named = hints.withColumnRenamed("proposal_id", "id").where("size(t) > 0")
+    often = named.unionByName(rows).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def rarest(names: DataFrame, name: str) -> DataFrame:
+        counted = names.select("id", F.explode("t").alias("token")).join(often.hint("shuffle_hash"), "token")
+        sets = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
+        # Sets of similarity `share` have at least that share of the larger one in common.
+        length = F.size("s") - F.ceil(F.size("s") * (least - delta) - 1e-9) + 1
+        tokens = F.transform("s", lambda x: x["token"])
+        return sets.select(F.col("id").alias(name), tokens.alias(f"{name}_t"), F.explode(F.slice(tokens, F.lit(1), length.cast("int"))).alias("token"))
+
+    met = rarest(named, "proposal_id").join(rarest(rows, "row_id").hint("merge"), "token").select("proposal_id", "row_id", "proposal_id_t", "row_id_t").distinct()
+    both = F.size(F.array_intersect("proposal_id_t", "row_id_t"))
+    scored = met.select("proposal_id", "row_id", (both / (F.size("proposal_id_t") + F.size("row_id_t") - both)).alias("score"))
     best = scored.groupBy("proposal_id").agg(
         F.max("score").alias("best"), F.min(F.struct((-F.col("score")).alias("s"), "row_id")).alias("top")
     )
@@ -30,7 +40,7 @@ def match_tracker(groups: DataFrame, tracker: DataFrame, least: float = rules.MA
     summary = near.groupBy("proposal_id").agg(
         F.first("best").alias("best"), F.count("*").alias("k"), F.first("top.row_id").alias("row_id")
     )
-    score = F.coalesce("best", F.lit(0.0))
+    score = F.when(F.col("best") >= least, F.col("best")).otherwise(0.0)
     status = F.when(score < least, "unmatched").when(F.col("k") > 1, "ambiguous").otherwise("matched")
     return hints.join(summary.hint("shuffle_hash"), "proposal_id", "left").select(
         "proposal_id", status.alias("match_status"), score.alias("confidence"),

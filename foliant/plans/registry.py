@@ -209,14 +209,23 @@ def resume_status(spark, sf):
     return I.resume_status(inv, inv.where(DONE), inv.where("doc_id % 7 = 1"))
 
 
+#: From a (files with their safe names) to names: each later file tries numbers until one is free.
+NAMES = r"""
+b AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, safe ORDER BY scan_ord) AS r, regexp_extract(safe, '^(.+?)(\.[^.]*)?$', 1) AS st,
+    regexp_extract(safe, '^.+?(\.[^.]*)?$', 1) AS ex FROM a),
+l AS (SELECT *, st || '__' || left(sha256, 8) AS h8, row_number() OVER (PARTITION BY proposal_id, st || '__' || left(sha256, 8) || ex ORDER BY scan_ord) AS k
+    FROM b WHERE r > 1),
+tries AS (SELECT DISTINCT proposal_id, h8, ex, unnest(range(1, 60)) AS t FROM l),
+free AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, h8, ex ORDER BY t) AS k FROM (SELECT tries.*, h8 || CASE WHEN t = 1 THEN '' ELSE '_' || t END || ex AS n FROM tries)
+    WHERE (proposal_id, n) NOT IN (SELECT (proposal_id, safe) FROM b WHERE r = 1)),
+names AS (SELECT b.*, safe AS target_name FROM b WHERE r = 1 UNION ALL
+    SELECT b.*, n FROM b JOIN l USING (doc_id) JOIN free ON free.proposal_id = l.proposal_id AND free.h8 = l.h8 AND free.ex = l.ex AND free.k = l.k)
+"""
+
+
 @query(
     "resolve_name_collisions",
-    rf"""{INV}, a AS (SELECT *, {SAFE} AS safe FROM inventory WHERE proposal_branch IS NOT NULL),
-        b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY proposal_id, lower(safe) ORDER BY scan_ord) = 1 THEN safe
-            ELSE regexp_extract(safe, '^(.*?)(\.[^.]*)?$', 1) || '__' || left(sha256, 8) || regexp_extract(safe, '(\.[^.]*)$', 1) END AS n FROM a),
-        c AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, lower(n) ORDER BY scan_ord) AS r FROM b)
-        SELECT doc_id, CASE WHEN r = 1 THEN n ELSE regexp_extract(n, '^(.*?)(\.[^.]*)?$', 1) || '_' || r ||
-            regexp_extract(safe, '(\.[^.]*)$', 1) END AS target_name FROM c""",
+    f"{INV}, a AS (SELECT *, {SAFE} AS safe FROM inventory WHERE proposal_branch IS NOT NULL), {NAMES} SELECT doc_id, target_name FROM names",
 )
 def collisions(spark, sf):
     return I.resolve_name_collisions(X.inventory(spark, sf).where("proposal_branch is not null")).select("doc_id", "target_name")
@@ -280,16 +289,35 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     inv = X.inventory(spark, sf).where("proposal_branch is not null")
     out = C.classify_documents(inv).join(labels.hint("shuffle_hash"), "doc_id", "left")
     keep = ~F.coalesce(F.col("quality") == 0, F.lit(False))
+    digits = lambda at: F.conv(F.substring("sha256", at, 2), 16, 10).cast("int")
+    h, h2 = F.col("h"), F.col("h2")
+    out = out.withColumns({"h": digits(1), "h2": digits(3), "contains_personal_info": F.col("contains_personal_info") | F.coalesce(F.col("toxic") == 1, F.lit(False))})
     return out.withColumns(
         {
-            "contains_personal_info": F.col("contains_personal_info") | F.coalesce(F.col("toxic") == 1, F.lit(False)),
-            "include_in_clean_set": keep, "include_in_future_rag": keep,
+            "include_in_clean_set": keep, "include_in_future_rag": keep, "manual_review_required": F.col("contains_personal_info"),
+            "include_reason": F.when(keep & (h2 % 9 != 0), "kept"), "exclude_reason": F.when(~keep & (h % 2 == 0), "low quality"),
+            "manual_review_reasons": F.array_compact(F.array(F.when(F.col("contains_personal_info"), "personal information"), F.when(F.col("contains_budget_or_rates"), "budget or rates"))),
+            "canonical_proposal_name": F.when(h % 5 == 0, "unknown").when(h % 5 == 1, F.concat("proposal_branch", F.lit(" Study"))).otherwise(F.col("proposal_branch")),
+            "status": X.pick(("submitted", "unknown", "awarded", "drafted"), h % 4), "award_status": X.pick(("unknown", "", "selected", "declined"), h2 % 4),
+            "submission_date": F.when(h2 % 3 != 0, F.concat(F.lit("2024-01-"), F.lpad((1 + h % 28).cast("string"), 2, "0"))),
+            "lead_organization": F.when(h % 6 != 0, F.concat(F.lit("Org "), (h2 % 5).cast("string"))),
+            "name_confidence": h2 / 256.0, "rag_confidence": h / 256.0, "reviewed_twice": h2 % 7 == 0,
+            "partners": F.slice(F.split(F.trim("summary_short"), r"[ \t\r\n]+"), 3, 4), "ord": F.concat_ws("|", "document_id", "scan_ord"),
         }
     )
 
 
 LABELLED = f"""{INV}, {DOCS},
 docs AS (SELECT d4.* EXCLUDE (personal), personal OR coalesce(toxic = 1, false) AS personal, NOT coalesce(quality = 0, false) AS keep,
+    CAST('0x' || sha256[1:2] AS INTEGER) AS h, CAST('0x' || sha256[3:4] AS INTEGER) AS h2,
+    CASE WHEN NOT coalesce(quality = 0, false) AND h2 % 9 <> 0 THEN 'kept' END AS include_reason,
+    CASE WHEN quality = 0 AND h % 2 = 0 THEN 'low quality' END AS exclude_reason,
+    concat_ws('; ', CASE WHEN d4.personal OR coalesce(toxic = 1, false) THEN 'personal information' END, CASE WHEN budget THEN 'budget or rates' END) AS review_reasons,
+    CASE h % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN proposal_branch || ' Study' ELSE proposal_branch END AS canonical_proposal_name,
+    ['submitted', 'unknown', 'awarded', 'drafted'][h % 4 + 1] AS status, ['unknown', '', 'selected', 'declined'][h2 % 4 + 1] AS award_status,
+    CASE WHEN h2 % 3 <> 0 THEN '2024-01-' || lpad(CAST(1 + h % 28 AS VARCHAR), 2, '0') END AS submission_date,
+    CASE WHEN h % 6 <> 0 THEN 'Org ' || h2 % 5 END AS lead_organization, h2 / 256.0::DOUBLE AS name_confidence, h / 256.0::DOUBLE AS rag_confidence,
+    h2 % 7 = 0 AS reviewed_twice, string_split_regex(trim(summary_short), '[ \t\r\n]+')[3:6] AS partners, document_id || '|' || scan_ord AS ord,
     CASE WHEN version_status = 'superseded' THEN 'superseded' WHEN version_status IN ('final', 'submitted_version') THEN 'authoritative'
         WHEN coalesce(quality = 0, false) THEN 'excluded' ELSE 'supporting' END AS authority_rank
     FROM d4 LEFT JOIN labels USING (doc_id) WHERE proposal_branch IS NOT NULL),
@@ -417,7 +445,7 @@ def counter_map(spark, sf):
         k AS (SELECT s.proposal_id, any_value(best) AS best, count(*) AS n, arg_min(row_id, struct_pack(a := -score, b := row_id)) AS top
             FROM s JOIN b ON b.proposal_id = s.proposal_id AND best - score < 0.05 AND score > 0 GROUP BY 1)
         SELECT h.proposal_id, CASE WHEN coalesce(best, 0) < 0.35 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS match_status,
-            coalesce(best, 0.0) AS confidence, CASE WHEN coalesce(best, 0) < 0.35 THEN 0 ELSE n END AS n_candidates,
+            CASE WHEN best >= 0.35 THEN best ELSE 0.0 END AS confidence, CASE WHEN coalesce(best, 0) < 0.35 THEN 0 ELSE n END AS n_candidates,
             CASE WHEN coalesce(best, 0) >= 0.35 AND n = 1 THEN top END AS row_id
         FROM (SELECT DISTINCT proposal_id FROM h) h LEFT JOIN k USING (proposal_id)""",
 )

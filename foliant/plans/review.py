@@ -12,7 +12,7 @@ from foliant.operators import clean_set as S
 from foliant.operators import inventory as I
 from foliant.operators import responses as R
 from foliant.operators import second_pass as P
-from foliant.plans.registry import CLASSED, INV, LABELLED, SAFE, _in, documents, query
+from foliant.plans.registry import CLASSED, INV, LABELLED, NAMES, SAFE, _in, documents, query
 from foliant.sources import fixtures as X
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -43,11 +43,11 @@ def safe_doc_title(spark, sf):
 @query(
     "request_text",
     rf"""WITH b AS (SELECT doc_id, {STRIP.format("coalesce(text, '')")} AS b FROM documents)
-        SELECT doc_id, CASE WHEN b = '' THEN '(no text)' WHEN length(b) > 500 THEN '[Cut from ' || length(b) || ' to 500 characters]' || chr(10) || chr(10)
-            || regexp_replace(left(b, 500), '\s+$', '') ELSE b END AS payload FROM b""",
+        SELECT doc_id, CASE WHEN b = '' THEN '(no text)' WHEN length(b) > 200000 THEN '[Cut from ' || length(b) || ' to 200000 characters]' || chr(10) || chr(10)
+            || regexp_replace(left(b, 200000), '\s+$', '') ELSE b END AS payload FROM b""",
 )
 def request_text(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", T.request_text(F.col("text"), 500).alias("payload"))
+    return X.table(spark, sf, "documents").select("doc_id", T.request_text(F.col("text"), 200_000).alias("payload"))
 
 
 @query(
@@ -142,12 +142,11 @@ def response_failures(spark, sf):
 
 @query(
     "needs_review_pass2",
-    f"""{LABELLED} SELECT doc_id, category_confidence < 0.45 OR role_confidence < 0.4 OR origin_type = 'unknown' AS needed
-        FROM docs""",
+    f"""{LABELLED} SELECT doc_id, NOT reviewed_twice AND (category_confidence < 0.36 OR role_confidence < 0.36 OR rag_confidence < 0.36
+        OR origin_type = 'unknown' OR canonical_proposal_name = 'unknown' OR personal) AS needed FROM docs""",
 )
 def needs_review(spark, sf):
-    found = documents(spark, sf).withColumn("low", (F.col("category_confidence") < 0.45) | (F.col("role_confidence") < 0.4))
-    return found.select("doc_id", (F.col("low") | P.needs_review(0.0)).alias("needed"))
+    return documents(spark, sf).select("doc_id", P.needs_review(0.36, [F.col("contains_personal_info")]).alias("needed"))
 
 
 PAIRS = (("document_category", "category_confidence"), ("document_role", "role_confidence"))
@@ -201,28 +200,30 @@ def change_log(spark, sf):
 
 @query(
     "branch_signals",
-    f"""{LABELLED}, o AS (SELECT x.doc_id, y.document_role AS v, count(*) AS n FROM docs x JOIN docs y ON x.proposal_id = y.proposal_id
+    f"""{LABELLED}, o AS (SELECT x.doc_id, y.document_role AS v, count(*) AS n, min(y.ord) AS o FROM docs x JOIN docs y ON x.proposal_id = y.proposal_id
             AND x.doc_id <> y.doc_id AND y.document_role <> 'unknown' GROUP BY ALL),
-        b AS (SELECT doc_id, arg_min(v, struct_pack(a := -n, b := v)) AS suggested FROM o GROUP BY 1)
+        b AS (SELECT doc_id, arg_min(v, struct_pack(a := -n, b := o)) AS suggested FROM o GROUP BY 1)
         SELECT docs.doc_id, suggested FROM docs LEFT JOIN b USING (doc_id)""",
 )
 def branch_signals(spark, sf):
-    return P.branch_signals(documents(spark, sf), "document_role").select("doc_id", "suggested")
+    return P.branch_signals(documents(spark, sf), "document_role", "ord").select("doc_id", "suggested")
 
 
 @query(
     "context_neighbours",
     f"""{LABELLED}, s AS (SELECT *, greatest(category_confidence, role_confidence) AS score FROM docs),
-        r AS (SELECT *, bool_or(score > 0.4) OVER (PARTITION BY proposal_id) AS sure, row_number() OVER (PARTITION BY proposal_id
-            ORDER BY score DESC, document_id, scan_ord) AS n FROM s)
-        SELECT doc_id, score FROM r WHERE score > 0.4 OR (NOT sure AND n <= 5)""",
+        p AS (SELECT x.proposal_id, x.doc_id AS target, y.doc_id AS neighbour, y.score, bool_or(y.score >= 0.45) OVER (PARTITION BY x.doc_id) AS sure,
+            row_number() OVER (PARTITION BY x.doc_id ORDER BY y.score DESC, y.document_id, y.scan_ord) AS n
+            FROM s x JOIN s y ON x.proposal_id = y.proposal_id AND x.doc_id <> y.doc_id)
+        SELECT proposal_id, NULL AS target, doc_id AS neighbour, score FROM s WHERE score >= 0.45
+        UNION ALL SELECT proposal_id, target, neighbour, score FROM p WHERE NOT sure AND n <= 5""",
 )
 def context_neighbours(spark, sf):
-    return P.context_neighbours(documents(spark, sf)).select("doc_id", "score")
+    return P.context_neighbours(documents(spark, sf), threshold=0.45)
 
 
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).withColumn("manual_review_required", F.col("contains_personal_info"))
+    return documents(spark, sf)
 
 
 @query(
@@ -260,17 +261,17 @@ def detect_conflict(spark, sf):
 
 @query(
     "select_full_text",
-    f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY CASE rag_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END,
+    f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY CASE WHEN document_role IN {_in(rules.HIGH_VALUE_ROLES)} THEN 0 ELSE 1 END,
             CASE WHEN version_status IN ('final', 'submitted_version') THEN 0 ELSE 1 END, document_id, scan_ord) AS place
             FROM docs WHERE document_role NOT IN {_in(rules.LOW_VALUE_ROLES)} AND NOT budget AND NOT personal AND summary_detailed <> '')
-        SELECT doc_id, CAST(place AS INTEGER) AS place, left(summary_detailed, 120) AS excerpt FROM r WHERE place <= 3""",
+        SELECT doc_id, CAST(place AS INTEGER) AS place, left(summary_detailed, 6000) AS excerpt FROM r WHERE place <= 8""",
 )
 def select_full_text(spark, sf):
-    picked = S.select_full_text(documents(spark, sf), rules.LOW_VALUE_ROLES, max_docs=3, max_chars=120)
+    picked = S.select_full_text(documents(spark, sf), rules.LOW_VALUE_ROLES)
     return picked.select("doc_id", "place", "excerpt")
 
 
-CLEAN = "CASE WHEN NOT keep THEN 'not_included' WHEN personal THEN 'manual_review_required' END"
+CLEAN = """CASE WHEN NOT keep THEN coalesce(exclude_reason, 'include_in_clean_set_false') WHEN personal THEN 'manual_review_required: ' || review_reasons END"""
 
 
 @query(
@@ -289,11 +290,8 @@ def exclusions(spark, sf):
 
 PLANNED = rf"""{LABELLED},
 a AS (SELECT *, {SAFE} AS safe FROM docs WHERE {CLEAN} IS NULL),
-b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY proposal_id, lower(safe) ORDER BY scan_ord) = 1 THEN safe
-    ELSE regexp_extract(safe, '^(.*?)(\.[^.]*)?$', 1) || '__' || left(sha256, 8) || regexp_extract(safe, '(\.[^.]*)$', 1) END AS n FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, lower(n) ORDER BY scan_ord) AS r FROM b),
-plan AS (SELECT doc_id, proposal_id, document_id, year_folder, proposal_branch, year_folder || '/' || proposal_branch || '/documents/' || CASE WHEN r = 1 THEN n
-    ELSE regexp_extract(n, '^(.*?)(\.[^.]*)?$', 1) || '_' || r || regexp_extract(safe, '(\.[^.]*)$', 1) END AS clean_path FROM c)
+{NAMES},
+plan AS (SELECT doc_id, proposal_id, document_id, year_folder, proposal_branch, year_folder || '/' || proposal_branch || '/documents/' || target_name AS clean_path FROM names)
 """
 
 

@@ -62,8 +62,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id", "document_id", "sha256", "proposal_id", "year_folder", "proposal_branch", "relative_path",
             "file_name_original", "stem", F.lower("extension").alias("extension"), F.col("n_chars").alias("size_bytes"),
             F.concat_ws("|", F.lower("year_folder"), F.lower(F.coalesce("proposal_branch", F.lit(""))), F.lower("relative_path"), F.lpad(d.cast("string"), 12, "0")).alias("scan_ord"),
-            "g", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("summary_short"),
-            F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("summary_detailed"),
+            "g", F.coalesce("text", F.lit("")).alias("summary_short"), F.trim(F.coalesce("text", F.lit(""))).alias("summary_detailed"),
         )
     )
 
@@ -93,7 +92,7 @@ inventory AS (SELECT doc_id, 'doc_' || left(sha256, 16) AS document_id, sha256,
         || '__' || left(sha256(concat_ws('/', year_folder, proposal_branch)), 8) AS proposal_id,
     year_folder, proposal_branch, relative_path, file_name_original, stem, lower(ext) AS extension, n_chars AS size_bytes,
     lower(year_folder) || '|' || lower(coalesce(proposal_branch, '')) || '|' || lower(relative_path) || '|' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS scan_ord,
-    g, left(coalesce(text, ''), 80) AS summary_short, trim(left(coalesce(text, ''), 200)) AS summary_detailed FROM inv3)
+    g, coalesce(text, '') AS summary_short, trim(coalesce(text, '')) AS summary_detailed FROM inv3)
 """
 
 
@@ -108,7 +107,13 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("branch"))
     )
     status = F.when(F.col("o_orderstatus") == "F", "awarded").when(F.col("o_orderstatus") == "O", "submitted").otherwise("rejected")
-    base = rows.select("g", name.alias("proposal_name"), status.alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("submission_date"), F.lit(0).alias("part"))
+    day = lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    base = rows.select(
+        "g", name.alias("proposal_name"), status.alias("status"), day(0).alias("submission_date"), F.lit(0).alias("part"),
+        F.when(F.col("o_orderpriority").startswith("1"), "selected").when(F.col("o_orderpriority").startswith("2"), "declined").alias("award_status"),
+        F.when(F.col("o_orderpriority").startswith("3"), "under way").alias("result"),
+        F.when(F.col("g") % 2 == 0, day(90)).alias("selection_notification_date"), F.when(F.col("g") % 4 == 0, day(120)).alias("award_date"),
+    )
     more = base.where("g % 5 = 0").withColumn("proposal_name", F.concat("proposal_name", F.lit(" Amendment"))).withColumn("part", F.lit(1))
     return base.union(more).withColumn(
         "row_id", F.concat(F.lit("trk_"), F.substring(F.sha2(F.concat_ws(":", "g", "part", "proposal_name"), 256), 1, 12))
@@ -120,10 +125,14 @@ groups AS (SELECT g, min(proposal_branch) AS branch FROM inventory WHERE proposa
 base AS (SELECT o_orderkey AS g, CASE WHEN o_orderkey % 7 = 0 THEN 'Unrelated Survey Vessel'
         WHEN o_orderkey % 3 = 0 THEN regexp_replace(branch, ' \S+$', '') ELSE branch END AS proposal_name,
     CASE o_orderstatus WHEN 'F' THEN 'awarded' WHEN 'O' THEN 'submitted' ELSE 'rejected' END AS status,
-    strftime(o_orderdate, '%Y-%m-%d') AS submission_date, 0 AS part
+    strftime(o_orderdate, '%Y-%m-%d') AS submission_date, 0 AS part,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'selected' WHEN '2' THEN 'declined' END AS award_status,
+    CASE WHEN left(o_orderpriority, 1) = '3' THEN 'under way' END AS result,
+    CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END AS selection_notification_date,
+    CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate + INTERVAL 120 DAY, '%Y-%m-%d') END AS award_date
     FROM orders JOIN groups ON g = o_orderkey WHERE o_orderkey % 11 <> 3),
 both_parts AS (SELECT * FROM base UNION ALL
-    SELECT g, proposal_name || ' Amendment', status, submission_date, 1 FROM base WHERE g % 5 = 0),
+    SELECT * REPLACE (proposal_name || ' Amendment' AS proposal_name, 1 AS part) FROM base WHERE g % 5 = 0),
 tracker AS (SELECT *, 'trk_' || left(sha256(concat_ws(':', g, part, proposal_name)), 12) AS row_id FROM both_parts)
 """
 

@@ -47,8 +47,36 @@ def test_merge_keeps_rows_without_a_second_look(spark):
 
 
 def test_branch_signals_leave_out_the_own_vote(spark):
-    df = spark.createDataFrame([(1, "g", "a"), (2, "g", "b"), (3, "g", "b"), (4, "g", None), (5, "h", "a")], "i int, proposal_id string, v string")
-    assert {r.i: r.suggested for r in P.branch_signals(df, "v").collect()} == {1: "b", 2: "a", 3: "a", 4: "b", 5: None}
+    rows = [(1, "g", "z"), (2, "g", "b"), (3, "g", "b"), (4, "g", None), (5, "h", "a"), (6, "k", "x"), (7, "k", "c"), (8, "k", "x"), (9, "k", "c")]
+    df = spark.createDataFrame(rows, "i int, proposal_id string, v string")
+    # ties go to the value seen first among the others
+    assert {r.i: r.suggested for r in P.branch_signals(df, "v", "i").collect()} == {1: "b", 2: "z", 3: "z", 4: "b", 5: None, 6: "c", 7: "x", 8: "c", 9: "x"}
+
+
+def test_context_is_what_lies_beside_the_target(spark):
+    rows = [("g", i, s) for i, s in ((1, 0.9), (2, 0.75), (3, 0.1))] + [("h", 10 + i, i / 10) for i in range(8)] + [("k", 20, 0.8), ("k", 21, 0.2)]
+    df = spark.createDataFrame([(g, i, f"d{i:03}", str(i), s, 0.0) for g, i, s in rows], "proposal_id string, doc_id long, document_id string, scan_ord string, category_confidence double, role_confidence double")
+    got = {(r.proposal_id, r.target, r.neighbour) for r in P.context_neighbours(df).collect()}
+    assert {x for x in got if x[0] == "g"} == {("g", None, 1), ("g", None, 2)} and {x for x in got if x[0] == "k"} == {("k", None, 20), ("k", 20, 21)}
+    assert {x[2] for x in got if x[:2] == ("h", 17)} == {16, 15, 14, 13, 12} and {x[2] for x in got if x[:2] == ("h", 10)} == {17, 16, 15, 14, 13}
+
+
+def test_no_two_files_get_one_name(spark):
+    from foliant.operators import inventory as I
+
+    names = ["a.txt", "a.txt", "a__22222222_2.txt", "a.txt", "a__22222222.txt", "a.txt", "b", "b", "A.txt"]
+    df = spark.createDataFrame([("p", n, "2" * 64, f"{i:03}", i) for i, n in enumerate(names)], "proposal_id string, file_name_original string, sha256 string, scan_ord string, i int")
+    got = {r.i: r.target_name for r in I.resolve_name_collisions(df).collect()}
+    assert got == {0: "a.txt", 1: "a__22222222_3.txt", 2: "a__22222222_2.txt", 3: "a__22222222_4.txt", 4: "a__22222222.txt", 5: "a__22222222_5.txt", 6: "b", 7: "b__22222222", 8: "A.txt"}
+
+
+def test_hostile_responses_take_no_time(spark):
+    import time
+
+    raw = ['{"a":' * 100_000, "{" * 80_000, '{"' * 80_000, '{"a":' * 20_000 + "}" * 20_000, "x {{ {\"k\": {\"l\": 1}} y"]
+    began = time.time()
+    got = [r.body for r in R.parse_lenient(spark.createDataFrame(list(enumerate(raw)), "i int, raw_text string").repartition(1)).orderBy("i").collect()]
+    assert got[:4] == [None] * 4 and json.loads(got[4]) == {"k": {"l": 1}} and time.time() - began < 60
 
 
 def test_conflicts_need_two_known_values(spark):
@@ -108,4 +136,4 @@ def test_tracker_sheets_are_stacked_under_canonical_names(spark):
 def test_empty_tables(spark):
     schema = ST.StructType([ST.StructField("proposal_id", ST.StringType()), ST.StructField("v", ST.StringType())])
     empty = spark.createDataFrame([], schema)
-    assert S.detect_conflict(empty, "v").count() == 0 and P.branch_signals(empty, "v").count() == 0
+    assert S.detect_conflict(empty, "v").count() == 0 and P.branch_signals(empty, "v", "v").count() == 0
