@@ -110,3 +110,28 @@ def page_text(html: Column) -> Column:
     for tag in ("script", "style"):
         body = F.regexp_replace(body, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"[ \t\r\n\f]+", " "))
+
+
+def size_limit_error(strategy: Column, message: Column) -> Column:
+    """Whether a direct upload failed for its size, so that extracted text may do."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return (strategy == "direct_bedrock") & (low.contains("maximum document size") | low.contains("maximum of 100 pdf pages"))
+
+
+def iso_date(c: Column) -> Column:
+    """The date part of an ISO date or time stamp, other texts as they are; null for blanks."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    day = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1)
+    return F.coalesce(F.nullif(day, F.lit("")), text)
+
+
+def latency_seconds(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """A template with its {{name}} placeholders filled; null values leave nothing."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -122,3 +122,82 @@ def failures(bad: DataFrame, raw: str = "raw_text", preview: int = 500) -> DataF
     return bad.withColumns(
         {"error_type": F.element_at("violations", 1), "details": F.array_join("violations", ","), "preview": F.left(F.col(raw), F.lit(preview))}
     )
+
+
+def as_variants(body: Column, path: str) -> Column:
+    """The list at a path of a JSON text as array<variant>; null if there is none."""
+    return F.try_variant_get(F.try_parse_json(body), path, "array<variant>")
+
+
+def text_at(item: Column, key: str) -> Column:
+    return F.nullif(F.trim(F.try_variant_get(item, f"$.{key}", "string")), F.lit(""))
+
+
+def is_text(item: Column) -> Column:
+    return F.schema_of_variant(item) == "STRING"
+
+
+def first_text(item: Column) -> Column:
+    """The first text among an object's values, in the order of their keys."""
+    values = F.map_values(F.try_variant_get(item, "$", "map<string,variant>"))
+    texts = F.transform(F.filter(values, lambda v: is_text(v)), lambda v: F.trim(F.variant_get(v, "$", "string")))
+    return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+
+
+PARTNER_KEYS = ("name", "organization", "partner_name", "institution", "company")
+ITEM_KEYS = ("milestone", "deliverable", "risk", "name", "title", "description", "date")
+
+
+def partners(body: Column) -> Column:
+    """Names of the partners of a response: texts as they are, objects by the first of PARTNER_KEYS or else any text."""
+    own = lambda v: F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))
+    name = lambda v: F.when(is_text(v), own(v)).otherwise(F.coalesce(*(text_at(v, k) for k in PARTNER_KEYS), first_text(v)))
+    return F.array_compact(F.transform(as_variants(body, "$.proposal_context.partners"), name))
+
+
+def list_items(body: Column, field: str) -> Column:
+    """Risks, milestones or deliverables as texts: texts as they are, objects as their known values joined by dashes."""
+    own = lambda v: F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))
+    known = lambda v: F.nullif(F.array_join(F.array_compact(F.array(*(text_at(v, k) for k in ITEM_KEYS))), " - "), F.lit(""))
+    item = lambda v: F.when(is_text(v), own(v)).otherwise(F.coalesce(known(v), first_text(v)))
+    return F.array_compact(F.transform(as_variants(body, f"$.content.{field}"), item))
+
+
+UNCERTAINTY = "array<struct<field:string,scope:string,current_guess:string,confidence:double,downstream_impact:string,reason_unresolved:string>>"
+
+
+def uncertainties(body: Column) -> Column:
+    """A response's uncertainties, and after them its questions of the older form as such."""
+    given = F.coalesce(F.from_json(F.get_json_object(body, "$.uncertainties"), UNCERTAINTY), F.array().cast(UNCERTAINTY))
+    form = "array<struct<field:string,question:string,notes:string,priority:string,model_guess:string>>"
+    asked = F.coalesce(F.from_json(F.get_json_object(body, "$.questions_for_user"), form), F.array().cast(form))
+    level = lambda q: F.lower(F.trim(F.coalesce(q["priority"], F.lit(""))))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    folded = lambda q: F.struct(
+        F.coalesce(blank(q["field"]), F.lit("unknown")).alias("field"), F.lit("document").alias("scope"), q["model_guess"].alias("current_guess"),
+        F.lit(0.5).alias("confidence"), F.when(level(q).isin("critical", "high", "medium"), level(q)).otherwise("low").alias("downstream_impact"),
+        F.coalesce(F.nullif(F.concat_ws(" ", blank(q["question"]), blank(q["notes"])), F.lit("")), F.lit("A question of the older form.")).alias("reason_unresolved"),
+    )
+    return F.concat(given, F.transform(asked, folded))
+
+
+def system_fields(responses: DataFrame, inventory: DataFrame, owned: tuple[str, ...]) -> DataFrame:
+    """Responses with the pipeline's own fields: whatever a response says of them, the inventory's values count."""
+    side = inventory.select("doc_id", *owned)
+    return responses.drop(*owned).join(side.hint("shuffle_hash"), "doc_id")
+
+
+def inclusion_checks() -> dict[str, Column]:
+    """An included document says why; one left out of both sets says why not."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    kept = F.col("include_in_clean_set") | F.col("include_in_future_rag")
+    return {"include_reason": ~kept | given("include_reason"), "exclude_reason": kept | given("exclude_reason")}
+
+
+def closed_record(body: Column, allowed: tuple[str, ...], required: tuple[str, ...]) -> dict[str, Column]:
+    """Checks of a JSON object that must have some fields and may have no others."""
+    keys = F.json_object_keys(body)
+    return {
+        "required": F.size(F.array_except(F.array(*map(F.lit, required)), keys)) == 0,
+        "closed": F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) == 0,
+    }

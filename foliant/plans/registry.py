@@ -587,7 +587,7 @@ def usage_per_day(spark, sf):
 
 
 def queries() -> dict:
-    import foliant.plans.review  # noqa: F401  (adds its queries)
+    import foliant.plans.records  # noqa: F401  (adds its queries, as does review, which it imports)
 
     return QUERIES
 

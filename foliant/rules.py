@@ -113,3 +113,16 @@ RESPONSE_ALIASES = {
     "proposal_context.status": {"pre_submission": "drafted", "in_progress": "active", "under_review": "pending"},
 }
 PROGRAM_PREFIXES = ("SBIR", "STTR", "FOA", "BAA")
+# What the wordings of a tracker's status stand for.
+STATUS_ALIASES = {
+    "draft": "drafted", "drafted": "drafted", "pre_submission": "drafted", "submitted": "submitted", "selected": "selected",
+    "awarded": "awarded", "rejected": "rejected", "declined": "rejected", "pending": "pending", "active": "active",
+    "completed": "completed",
+}
+# Allowed values of fields that take one of a list.
+AGENCIES = ("DOE", "DoD", "NSF", "NASA", "unknown")
+PROGRAMS = ("SBIR", "STTR", "FOA", "BAA", "unknown")
+STATUSES = ("drafted", "submitted", "selected", "awarded", "rejected", "pending", "active", "completed", "unknown")
+PRIORITIES = ("high", "medium", "low", "exclude")
+TREATMENTS = ("full_document", "summary_only", "metadata_only", "exclude")
+VERSIONS = ("final", "submitted_version", "draft", "working_version", "superseded", "template", "unknown")
