@@ -33,7 +33,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secrets.ORACLE_SQL,
         "op3_exact_topk": exact_topk.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
+        "op8_url_filter": url_filter.ORACLE_SQL,
         "op10_chat_format": chat.ORACLE_SQL,
     }

@@ -47,7 +47,7 @@ WEAK = (
         (b"://", b"endpoint", b"host", b"server", b"region", b"url"),
         re.compile(
             rb"(?:endpoint|host|server|region|url)[\"']?\x20*[:=]\x20*[\"']?((?:[a-z]+://)?[A-Za-z0-9.-]{4,}(?::\d+)?)"
-            rb"|((?:jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?)[a-z+:]*://[^\s\"'<>]{4,})",
+            rb"|((?:jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?)[a-z+:]*://[^ \t\n\r\f\v\"'<>]{4,})",
             re.IGNORECASE,
         ),
     ),
@@ -232,6 +232,42 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def _spans_sql(name: str, kind: int, pattern: str, keep: str = "true") -> str:
+    """Spans of a pattern: between its matches lie the pieces that splitting by it leaves."""
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT r, {kind} AS kind, a, a + length(m) AS b, m FROM (
+        SELECT r, m[i] AS m, list_sum(list_transform(pc[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS pc FROM docs)))
+    WHERE {keep})"""
+
+
+_SOURCES = [x.decode() for x in (ASSIGN.pattern, ACCESS.pattern, HEX.pattern, *(w[3].pattern for w in WEAK))]
+_ASSIGN, _ACCESS, _HEX, _ID, _SECRET, _ENDPOINT = _SOURCES
+#: The same scan in DuckDB's dialect, on the same patterns; two letters that only Unicode folds to ASCII are taken out.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, replace(replace(coalesce(text, ''), 'K', '?'), 'ſ', '?') AS t FROM documents),
+{_spans_sql("k0", 0, _ASSIGN, "length(regexp_extract(m, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8")},
+{_spans_sql("k1", 1, _ACCESS, "length(m) >= 16")},
+{_spans_sql("k2", 2, _HEX)},
+{_spans_sql("k3", 3, "(?i)" + _ID)},
+{_spans_sql("k4", 4, _SECRET, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')")},
+{_spans_sql("k5", 5, "(?i)" + _ENDPOINT)},
+{_spans_sql("blank", 9, SCOPE.pattern.decode())},
+strong AS (FROM k0 UNION ALL FROM k1 UNION ALL FROM k2),
+weak AS (SELECT * FROM (FROM k3 UNION ALL FROM k4 UNION ALL FROM k5) w WHERE NOT EXISTS (SELECT 1 FROM strong s WHERE s.r = w.r AND s.a < w.b AND w.a < s.b)),
+parts AS (SELECT p.r, p.kind, p.a, p.b, ['secret', 'id', 'secret', 'id', 'secret', 'endpoint'][p.kind + 1] AS role, count(blank.a) AS scope
+    FROM (FROM strong UNION ALL FROM weak) p LEFT JOIN blank ON blank.r = p.r AND blank.a < p.a GROUP BY ALL),
+pairs AS (SELECT s.r, s.kind AS sk, s.a AS sa, s.b AS sb, o.kind AS k, o.a, o.b FROM parts s JOIN parts o ON s.r = o.r AND s.scope = o.scope AND s.role = 'secret' AND o.role <> 'secret'
+    AND s.a <= o.b + {REACH} AND o.a <= s.b + {REACH}),
+found AS (SELECT r, kind, a, b FROM strong UNION SELECT r, sk, sa, sb FROM pairs WHERE sk > 2 UNION SELECT r, k, a, b FROM pairs WHERE k > 2),
+named AS (SELECT *, {list(KINDS)}[kind + 1] || ':' || a || ':' || b AS s FROM found),
+joined AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY a, kind, b) FILTER (kind <= 2) AS base, string_agg(s, ',' ORDER BY a, kind, b) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 

@@ -135,7 +135,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(rules)
     urls = with_parts(pages).withColumn("rule", rule).withColumn("verdict", verdict)
     judged = urls.where("verdict is not null").select("host", "path", "verdict")
-    part = F.crc32(F.concat_ws("\n", "host", "path")) % CALIBRATION
+    part = F.conv(F.left(F.md5(F.concat_ws("\n", "host", "path")), F.lit(6)), 16, 10).cast("int") % CALIBRATION
     model = fit(judged.where(part != 0))
     held = judged.where(part == 0).distinct()
     threshold = calibrated_cut(score(held, model, "host", "path", "verdict"))
@@ -149,3 +149,62 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def _rule_sql(at: int) -> str:
+    fits = "".join(
+        f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{(host + path, what)[at]}'"
+        for host, path, what in sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))
+    )
+    return f"CASE{fits} END"
+
+
+def _grams_sql(source: str, columns: str) -> str:
+    text = f"(SELECT {columns}, '{'^' * (ORDER - 1)}' || host || path || '$' AS x FROM {source} WHERE host <> '' OR path <> '')"
+    return f"(SELECT {columns}, substr(x, i, {ORDER}) AS g FROM (SELECT {columns}, x, unnest(range(1, length(x) - {ORDER - 2})) AS i FROM {text}))"
+
+
+def _smooth_sql(n: str, d: str, t: str, p: str) -> str:
+    return f"CASE WHEN {d} > 0 THEN ({n} + {d} * {p}) / ({t} + {d}) ELSE {p} END"
+
+
+def _levels_sql() -> str:
+    one = lambda n, t: f"({n} + {PSEUDO}::DOUBLE) / ({t} + {PSEUDO * ALPHABET}::DOUBLE)"
+    out = [f"p1 AS (SELECT g, {one('a', 'na')} AS pa, {one('b', 'nb')} AS pb FROM seen WHERE k = 1)"]
+    for k in range(2, ORDER + 1):
+        out.append(
+            f"p{k} AS (SELECT s.g, {_smooth_sql('a', 'ta', 'na', 'l.pa')} AS pa, {_smooth_sql('b', 'tb', 'nb', 'l.pb')} AS pb "
+            f"FROM seen s JOIN p{k - 1} l ON l.g = right(s.g, {k - 1}) WHERE k = {k})"
+        )
+    return ", ".join(out)
+
+
+def _score_sql(source: str) -> str:
+    return f"""(SELECT host, path, round(avg(coalesce(llr, 0.0)), 9) AS score FROM (SELECT host, path, g, i, arg_max(llr, k) AS llr
+        FROM (SELECT *, unnest(range(1, {ORDER + 1})) AS z FROM (SELECT host, path, g, row_number() OVER () AS i FROM {_grams_sql(source, "host, path")})) LEFT JOIN model ON model.s = right(g, z) GROUP BY ALL) GROUP BY 1, 2)"""
+
+
+#: The same models and cut in DuckDB's dialect.
+ORACLE_SQL = f"""
+WITH url0 AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+urls AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS verdict, CAST('0x' || left(md5(host || chr(10) || path), 6) AS INTEGER) % {CALIBRATION} AS part FROM url0),
+train AS (SELECT * FROM urls WHERE verdict IS NOT NULL AND part <> 0),
+counted AS (SELECT g, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM {_grams_sql("train", "verdict")} GROUP BY 1),
+ends AS (SELECT right(g, k) AS g, k, sum(a) AS a, sum(b) AS b FROM (SELECT *, unnest(range(1, {ORDER + 1})) AS k FROM counted) GROUP BY 1, 2),
+seen AS (SELECT *, sum(a) OVER h AS na, sum(b) OVER h AS nb, count(*) FILTER (a > 0) OVER h AS ta, count(*) FILTER (b > 0) OVER h AS tb
+    FROM (SELECT g, k, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ends) WINDOW h AS (PARTITION BY k, left(g, k - 1))),
+{_levels_sql()},
+model AS (SELECT g AS s, length(g) AS k, ln(pa / pb) AS llr FROM ({" UNION ALL ".join(f"FROM p{k}" for k in range(1, ORDER + 1))})),
+held AS (SELECT DISTINCT host, path, verdict FROM urls WHERE verdict IS NOT NULL AND part = 0),
+held_scores AS (SELECT verdict, CAST(round(greatest(least(score, 20), -20) / {BIN}) AS INTEGER) AS b FROM held JOIN {_score_sql("held")} USING (host, path)),
+bins AS (SELECT b, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS r FROM held_scores GROUP BY 1),
+totals AS (SELECT sum(a) AS ta, sum(r) AS tr FROM bins),
+rates AS (SELECT b, coalesce(lag(b) OVER (ORDER BY b), b - 1) AS low, (sum(a) OVER (ORDER BY b) - a) / ta + 1 - (sum(r) OVER (ORDER BY b) - r) / tr AS rate FROM bins, totals WHERE ta > 0 AND tr > 0),
+best AS (SELECT *, row_number() OVER (ORDER BY b) - 1 AS i, count(*) OVER () AS n FROM rates WHERE rate <= (SELECT min(rate) FROM rates) + 1e-12),
+cut AS (SELECT coalesce((SELECT round({BIN} * (low + b) / 2, 6) FROM best WHERE i = n // 2), 0.0) AS c),
+open AS (SELECT DISTINCT host, path FROM urls WHERE verdict IS NULL),
+scores AS (FROM {_score_sql("open")})
+SELECT page_id, urls.host, urls.path, rule, coalesce(verdict, CASE WHEN coalesce(score, 0.0) >= c THEN 'allow' ELSE 'block' END) AS verdict
+FROM urls LEFT JOIN scores ON scores.host = urls.host AND scores.path = urls.path, cut
+"""
