@@ -18,15 +18,18 @@ def hot_size(rows: int) -> int:
     return max(LEAST_HOT, rows // MOST_HOT + 1)
 
 
-def join_split(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_split(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, nulls: bool = True) -> DataFrame:
     """Left join of rows with `side`, which has one row per key and says in `count` how many rows have it. Hot keys go to
-    all tasks, so their rows stay where they are; the others are shuffled. `count` is left out."""
+    all tasks, so their rows stay where they are; the others are shuffled, and null keys neither (`nulls`: whether there
+    may be some). `count` is left out."""
     values = [c for c in side.columns if c not in (key, count)]
     value, hot = F.struct(*values), F.col(count) > hot_size(total)
-    met = rows.where(F.col(key).isNotNull()).join(F.broadcast(side.where(hot).select(key, value.alias("_hot"))), key, "left")
+    met = (rows.where(F.col(key).isNotNull()) if nulls else rows).join(F.broadcast(side.where(hot).select(key, value.alias("_hot"))), key, "left")
     far = met.where("_hot is not null").select(*rows.columns, "_hot.*")
     cold = side.where(~hot).select(key, value.alias("_cold"))
     near = met.where("_hot is null").drop("_hot").join(cold.hint("merge"), key, "left").select(*rows.columns, "_cold.*")
+    if not nulls:
+        return far.unionByName(near)
     kinds = {f.name: f.dataType for f in side.schema.fields}
     none = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(kinds[c]).alias(c) for c in values))
     return far.unionByName(near).unionByName(none)
@@ -43,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         large, between = stored(large_star(now, state[0]))
-        small, new = stored(small_star(large, large.count()))
+        small, new = stored(small_star(large, state[0]))  # a star has no more edges than it is made of
         forget(spark, path)
         forget(spark, between)
         now, path, before, state = small, new, state, fingerprint(small)
@@ -64,12 +67,12 @@ def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Joins each larger neighbour of a node to the node's smallest neighbour. Edges are (larger, smaller)."""
     larger = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     least = edges.union(larger).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-    met = join_split(larger, least.where("n > 0"), "a", "n", total)
+    met = join_split(larger, least.where("n > 0"), "a", "n", total, nulls=False)
     return met.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Joins each smaller neighbour of a node, and the node, to its smallest neighbour. Edges are (larger, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = join_split(edges, least, "a", "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_split(edges, least, "a", "n", total, nulls=False).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -247,12 +247,12 @@ def candidate_groups(classes: DataFrame, similarity: float, total: int) -> DataF
     """(node, grp): classes that share bands, directly or through others."""
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = join_split(banded, shared, "band", "n", total).where("node <> b").select(F.col("node").alias("a"), "b")
+    stars = join_split(banded, shared, "band", "n", total, nulls=False).where("node <> b").select(F.col("node").alias("a"), "b")
     groups = cut(components(stars).select("node", F.col("root").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     if not sizes.where(F.col("n") > BLOCK_SETS).limit(1).count():
         return groups
-    sized = cut(join_split(groups, sizes.select("grp", "n", F.col("n").alias("size")), "grp", "n", total))
+    sized = cut(join_split(groups, sizes.select("grp", "n", F.col("n").alias("size")), "grp", "n", total, nulls=False))
     chained = classes.join(sized.where(F.col("size") > BLOCK_SETS).select("node").hint("shuffle_hash"), "node").select("node", "signature", F.explode("bands").alias("band"))
     apart = components(likely_edges(chained, similarity, total)).select("node", F.col("root").alias("grp"))
     return sized.where(F.col("size") <= BLOCK_SETS).select("node", "grp").unionByName(apart)
