@@ -22,12 +22,16 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned models and token ids have no SQL form; tests hold the stages against brute force.
+#: Learned models and token ids have no SQL form; tests hold a whole run against a plain Python one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; between them the rows are written to the shared checkpoint folder."""
+    """All stages over all documents; between them the rows are written to the shared folder as Parquet.
+
+    A null text is empty and stays so to packing, where it is one piece. Rows that share id and text are one document, rows
+    that share an id only are two; rows without an id are documents too. Other columns pass through all stages but the
+    last. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
