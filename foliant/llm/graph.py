@@ -12,6 +12,8 @@ MOST_ROUNDS = 60
 #: A key of more rows than LEAST_HOT is hot, if no more than about MOST_HOT keys are: of n rows fewer than MOST_HOT keys
 #: can have more than n / MOST_HOT each, so what is sent to all tasks is bounded however the rows are dealt.
 LEAST_HOT, MOST_HOT = 256, 200_000
+#: Edges in one file of a round's table.
+ROWS_A_FILE = 100_000
 
 
 def hot_size(rows: int) -> int:
@@ -45,8 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        large, between = stored(large_star(now, state[0]))
-        small, new = stored(small_star(large, state[0]))  # a star has no more edges than it is made of
+        files = state[0] // ROWS_A_FILE + 1  # a round of few edges is few tasks, however many partitions shuffles have
+        large, between = stored(large_star(now, state[0]).coalesce(files))
+        small, new = stored(small_star(large, state[0]).coalesce(files))  # a star has no more edges than it is made of
         forget(spark, path)
         forget(spark, between)
         now, path, before, state = small, new, state, fingerprint(small)
