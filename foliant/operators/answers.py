@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant import rules
 from foliant.functions import text as T
+from foliant.operators.decisions import canonical_field
 
 #: What a field takes: its allowed values, or one of boolean, list, number and text.
 FIELDS: dict[str, tuple[str, ...] | str] = {
@@ -117,3 +119,63 @@ def choose_authoritative(lineage: DataFrame, choices: DataFrame) -> DataFrame:
         "superseded_by_document_id": F.when(leads, F.lit(None)).when(follows, F.col("_chosen")).otherwise(F.col("superseded_by_document_id")),
     }
     return j.select(*(new[c].alias(c) if c in new else F.col(c) for c in lineage.columns))
+
+
+def check_proposal_answers(groups: DataFrame, answers: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Answers of group scope (proposal_id, field, decision_type, affected_document_ids, user_answer, status, seq) with field
+    as its canonical key, value, previous_value, error, and state: applied, invalid or skipped. previous_value is the
+    applied value before it, or the group's own; null for a choice of an authoritative document."""
+    known = groups.select("proposal_id", F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias("_own"))
+    keyed = answers.withColumns({"_given": F.trim(F.coalesce("field", F.lit(""))), "field": canonical_field("field")})
+    read = with_values(keyed, {f: FIELDS[f] for f in fields}).join(known.hint("shuffle_hash"), "proposal_id", "left")
+    skipped, answer = F.col("state") == "skipped", F.trim("user_answer")
+    choice = F.coalesce(F.col("decision_type") == "authoritative_document", F.lit(False))
+    among = F.coalesce(F.array_contains("affected_document_ids", answer), F.lit(False))
+    error = (
+        F.when(skipped, None).when(F.col("_own").isNull(), "metadata for proposal_id was not found")
+        .when(F.col("_given") == "", "field is required for proposal-scoped answers")
+        .when(choice & ~among, F.concat(F.lit("Answer must be one of the affected document IDs: "), F.array_join("affected_document_ids", ", ")))
+        .when(choice, None).when(~F.col("field").isin(*fields), F.concat(F.lit("Proposal field is not allowed: "), "_given")).otherwise(F.col("error"))
+    )
+    judged = read.withColumn("error", error).withColumns(
+        {
+            "value": F.when(choice & ~skipped, answer).otherwise(F.col("value")),
+            "state": F.when(skipped, "skipped").when(F.col("error").isNotNull(), "invalid").otherwise("applied"),
+            "_choice": choice,
+        }
+    )
+    before = F.last(F.when(F.col("state") == "applied", F.col("value")), ignorenulls=True).over(
+        Window.partitionBy("proposal_id", "field", "_choice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    own = F.coalesce(*(F.when(F.col("field") == f, F.col("_own")[f]) for f in fields))
+    previous = F.when((F.col("state") == "applied") & ~F.col("_choice"), F.coalesce(before, own))
+    return judged.withColumn("previous_value", previous).drop("_given", "_own", "_choice")
+
+
+def affected(log: DataFrame) -> DataFrame:
+    """(document_id, field, value, seq) of the documents that applied facts of a checked log touch."""
+    facts = log.where("state = 'applied' and not decision_type <=> 'authoritative_document'")
+    return facts.select(F.explode("affected_document_ids").alias("document_id"), "field", "value", "seq")
+
+
+def apply_proposal_answers(
+    groups: DataFrame, documents: DataFrame, lineage: DataFrame, answers: DataFrame, fields: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups, their affected documents and lineage after answers of group scope, and the log of all answers. Facts go to the
+    group and to the affected documents, choices of an authoritative document to the lineage; the last answer counts."""
+    log = check_proposal_answers(groups, answers, fields)
+    facts = log.where("state = 'applied' and not decision_type <=> 'authoritative_document'")
+    chosen = log.where("state = 'applied' and decision_type <=> 'authoritative_document'")
+    return (
+        apply_values(groups, "proposal_id", facts, "seq", fields),
+        apply_values(documents, "document_id", affected(log), "seq", fields),
+        choose_authoritative(lineage, chosen.select("proposal_id", F.col("value").alias("chosen"), "affected_document_ids", "seq")),
+        log,
+    )
+
+
+def clear_uncertainties(uncertain: DataFrame, log: DataFrame) -> DataFrame:
+    """Uncertainties (document_id, field, ...) but those that an applied fact has settled: same document, same field key."""
+    settled = affected(log).select("document_id", F.col("field").alias("_key")).distinct()
+    keyed = uncertain.withColumn("_key", canonical_field("field"))
+    return keyed.join(settled.hint("shuffle_hash"), ["document_id", "_key"], "left_anti").select(*uncertain.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.operators import aggregates as A
+from foliant.operators.responses import as_variants, is_text, text_at
 
 PRIORITIES = ("low", "medium", "high", "critical")
 #: Review rows in one of these states are settled.
@@ -54,6 +55,25 @@ def export_questions(sources: list[DataFrame], include_low: bool = False) -> Dat
     return first.select("question_id", "r.*").select(*columns)
 
 
+REWORDED = ("question", "suggested_options", "why")
+
+
+def refine_questions(questions: DataFrame, responses: DataFrame) -> DataFrame:
+    """Questions (group_id, question_id, question, suggested_options, why, ...) after a model's word on them. Responses
+    (group_id, body) hold a list `questions` of objects with question_id and new wordings: those of known ids stay, with
+    the texts that aren't blank taken over; questions left out go. A group for which nothing usable is said keeps its own."""
+    item = F.col("_item")
+    said = lambda k: F.when(is_text(F.try_variant_get(item, f"$.{k}", "variant")), text_at(item, k))
+    items = responses.select("group_id", F.explode(as_variants(F.col("body"), "$.questions")).alias("_item")).select(
+        "group_id", said("question_id").alias("question_id"), *(said(k).alias(f"_{k}") for k in REWORDED)
+    )
+    met = questions.join(items.hint("shuffle_hash"), ["group_id", "question_id"])
+    new = {k: F.coalesce(f"_{k}", k) for k in REWORDED}
+    refined = met.select(*(new[c].alias(c) if c in new else F.col(c) for c in questions.columns))
+    silent = questions.join(met.select("group_id").distinct().hint("shuffle_hash"), "group_id", "left_anti")
+    return refined.unionByName(silent.select(*questions.columns))
+
+
 def open_critical(sources: list[DataFrame], review: DataFrame, applied: DataFrame, overridden: DataFrame) -> DataFrame:
     """Critical questions that block a clean set: of documents (all sources but the last), then of the review sheet
     (question_id, priority, status), then arbitrated ones (the last source). Left out are applied ones, documents'

@@ -212,6 +212,95 @@ def choose_authoritative(spark, sf):
     return N.choose_authoritative(C.lineage(docs), choices).select("doc_id", "authority_rank", "superseded_by_document_id")
 
 
+FACTS = ("status", "agency", "canonical_proposal_name")
+_FACT_FIELDS = ("proposal_context.Status", "agency", " canonical_proposal_name", "nickname", "")
+_FACT_VALUES = {"status": ("awarded", "lost", "pending"), "agency": ("NSF", "DOE", "moon"), "canonical_proposal_name": ("First name", "Second name")}
+
+
+def group_answers(docs: DataFrame) -> DataFrame:
+    """Answers of group scope from a fourth of the documents: facts, choices, unknown groups, wrong kinds, skipped ones."""
+    h, h2, choice = F.col("h"), F.col("h2"), F.col("decision_type") == "authoritative_document"
+    text = F.lit("word")
+    for field, given in _FACT_VALUES.items():
+        text = F.when(F.col("field").ilike(f"%{field}"), X.pick(given, h2 % len(given))).otherwise(text)
+    return (
+        docs.where(h % 4 == 0).withColumn("field", X.pick(_FACT_FIELDS, F.floor(h / 4) % 5))
+        .withColumn("decision_type", F.when(h2 % 7 == 0, "authoritative_document").otherwise("proposal_fact"))
+        .select(
+            F.when(h2 % 13 == 1, "p_missing").otherwise(F.col("proposal_id")).alias("proposal_id"), "field", "decision_type",
+            F.array("document_id", F.lit("doc_unknown")).alias("affected_document_ids"),
+            F.when(choice & (h2 % 2 == 0), F.col("document_id")).when(choice, "doc_other").otherwise(text).alias("user_answer"),
+            X.pick(("open", "skipped", "answered", "open"), F.col("doc_id") % 4).alias("status"), F.col("doc_id").alias("seq"),
+        )
+    )
+
+
+_FACT_GIVEN = " ".join(f"WHEN '{f}' THEN {X._list(v)}[h2 % {len(v)} + 1]" for f, v in _FACT_VALUES.items())
+_FACT_ALLOWED = {"status": rules.STATUSES, "agency": rules.AGENCIES}
+GROUP_ANSWERS = f"""{LABELLED}, own AS (SELECT proposal_id, {", ".join(f"min({f}) AS {f}" for f in FACTS)} FROM docs GROUP BY 1),
+ga0 AS (SELECT *, {X._list(_FACT_FIELDS)}[(h // 4) % 5 + 1] AS gf, lower(trim(string_split({X._list(_FACT_FIELDS)}[(h // 4) % 5 + 1], '.')[-1])) AS fk, h2 % 7 = 0 AS choice FROM docs WHERE h % 4 = 0),
+ga1 AS (SELECT CASE WHEN h2 % 13 = 1 THEN 'p_missing' ELSE proposal_id END AS proposal_id, fk, trim(gf) AS gf, choice, document_id, doc_id AS seq, doc_id % 4 = 1 AS skip,
+    CASE WHEN choice THEN CASE WHEN h2 % 2 = 0 THEN document_id ELSE 'doc_other' END ELSE CASE fk {_FACT_GIVEN} ELSE 'word' END END AS a FROM ga0),
+ga2 AS (SELECT *, CASE WHEN skip THEN NULL WHEN proposal_id IS NULL OR proposal_id NOT IN (SELECT proposal_id FROM own WHERE proposal_id IS NOT NULL) THEN 'metadata for proposal_id was not found'
+    WHEN gf = '' THEN 'field is required for proposal-scoped answers'
+    WHEN choice THEN CASE WHEN a = 'doc_other' THEN 'Answer must be one of the affected document IDs: ' || document_id || ', doc_unknown' END
+    WHEN fk = 'nickname' THEN 'Proposal field is not allowed: nickname'
+    {" ".join(f"WHEN fk = '{f}' AND a NOT IN {G._in(v)} THEN 'Invalid {f}: ' || a" for f, v in _FACT_ALLOWED.items())} END AS error FROM ga1),
+ga3 AS (SELECT *, CASE WHEN skip THEN 'skipped' WHEN error IS NULL THEN 'applied' ELSE 'invalid' END AS state FROM ga2),
+facts AS (SELECT *, lag(a) OVER (PARTITION BY proposal_id, fk ORDER BY seq) AS before FROM ga3 WHERE state = 'applied' AND NOT choice)
+"""
+
+
+def group_applied(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    docs = documents(spark, sf)
+    groups = docs.groupBy("proposal_id").agg(*(F.min(f).alias(f) for f in FACTS))
+    return N.apply_proposal_answers(groups, docs, C.lineage(docs), group_answers(docs), FACTS)
+
+
+def _last(key: str) -> str:
+    return f"SELECT {key}, {', '.join(f"arg_max(a, seq) FILTER (fk = '{f}') AS new_{f}" for f in FACTS)} FROM facts GROUP BY 1"
+
+
+@query(
+    "apply_proposal_answers",
+    f"""{GROUP_ANSWERS}, g AS ({_last("proposal_id")})
+        SELECT proposal_id, {", ".join(f"coalesce(new_{f}, {f}) AS {f}" for f in FACTS)} FROM own LEFT JOIN g USING (proposal_id)""",
+)
+def apply_proposal_answers(spark, sf):
+    return group_applied(spark, sf)[0]
+
+
+@query(
+    "affected_documents",
+    f"""{GROUP_ANSWERS}, g AS ({_last("document_id")})
+        SELECT doc_id, {", ".join(f"coalesce(new_{f}, {f}) AS {f}" for f in FACTS)} FROM docs LEFT JOIN g USING (document_id)""",
+)
+def affected_documents(spark, sf):
+    return group_applied(spark, sf)[1].select("doc_id", *FACTS)
+
+
+@query(
+    "proposal_answer_log",
+    f"""{GROUP_ANSWERS} SELECT seq, ga3.fk AS field, ga3.state, ga3.error, CASE WHEN ga3.state = 'applied' THEN ga3.a END AS applied_value,
+            CASE WHEN facts.seq IS NOT NULL THEN coalesce(before, CASE ga3.fk {" ".join(f"WHEN '{f}' THEN own.{f}" for f in FACTS)} END) END AS previous_value
+        FROM ga3 LEFT JOIN facts USING (seq) LEFT JOIN own ON own.proposal_id = ga3.proposal_id""",
+)
+def proposal_answer_log(spark, sf):
+    value = F.when(F.col("state") == "applied", F.col("value")).alias("applied_value")
+    return group_applied(spark, sf)[3].select("seq", "field", "state", "error", value, "previous_value")
+
+
+@query(
+    "clear_uncertainties",
+    f"""{GROUP_ANSWERS}, u AS (SELECT document_id, unnest(['proposal_context.status', 'Agency ', 'partners']) AS field FROM docs WHERE h % 3 <> 1)
+        SELECT document_id, field FROM u WHERE NOT EXISTS (FROM facts WHERE facts.document_id = u.document_id AND fk = lower(trim(string_split(u.field, '.')[-1])))""",
+)
+def clear_uncertainties(spark, sf):
+    docs = documents(spark, sf)
+    named = F.explode(F.array(*map(F.lit, ("proposal_context.status", "Agency ", "partners")))).alias("field")
+    return N.clear_uncertainties(docs.where("h % 3 <> 1").select("document_id", named), group_applied(spark, sf)[3])
+
+
 def _asked(guess: str) -> str:
     return f"trim('For ''Group ' || group_id || ''' (' || group_id || '), what is the correct value for ''' || field || '''?' || coalesce(' Current best guess: ''' || nullif({guess}, '') || '''.', '') || ' ')"
 
@@ -229,6 +318,28 @@ def build_questions(spark, sf):
     return K.build_questions(resolved, {"view": ("b", "a"), "click": "list"})
 
 
+BUILT = G.ORACLES["build_questions"]
+
+
+@query(
+    "refine_questions",
+    f"""WITH q AS ({BUILT}), k AS (SELECT *, group_id % 5 AS g, (g = 3 AND priority IN ('high', 'critical')) OR g = 4 AS hit FROM q)
+        SELECT question_id, group_id, CASE WHEN g = 3 AND hit THEN 'Reworded: ' || question ELSE question END AS question,
+            CASE WHEN g = 4 THEN 'x | y' ELSE suggested_options END AS suggested_options, why
+        FROM k QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY group_id)""",
+)
+def refine_questions(spark, sf):
+    """Of five groups one gets no response, one unknown ids, one no list, one a choice in new words, one new options."""
+    asked, g = build_questions(spark, sf), F.col("group_id") % 5
+    name = F.when(g == 1, F.concat(F.lit("other_"), "question_id")).otherwise(F.col("question_id"))
+    words = F.when(g == 3, F.concat(F.lit(" Reworded: "), "question")).otherwise("  ")
+    item = F.to_json(F.struct(name.alias("question_id"), words.alias("question"), F.when(g == 4, "x | y ").alias("suggested_options")))
+    kept = asked.where((g != 0) & ((g != 3) | F.col("priority").isin("high", "critical"))).select("group_id", item.alias("item"))
+    listed = kept.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list("item")), ", ").alias("items"))
+    body = F.when(g == 2, '{"questions": "none"}').otherwise(F.concat(F.lit('{"questions": ["noise", 7, '), "items", F.lit("]}")))
+    return K.refine_questions(asked, listed.select("group_id", body.alias("body"))).select("question_id", "group_id", "question", "suggested_options", "why")
+
+
 @query(
     "export_questions",
     f"""{DECIDED}, {X.INVENTORY_SQL}, {DECKS},
