@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Mapping
 
@@ -15,41 +16,55 @@ from foliant import rules
 from foliant.functions import text as T
 
 
-#: An object begins with a brace before a key or its end.
-START = re.compile(r'\{(?=[ \t\r\n]*["}])')
-#: Of the starts that no later brace closes, so many are tried.
-OPEN_STARTS = 1000
+#: An object begins with a brace before a key and its colon, or before its end.
+START = re.compile(r'\{(?=[ \t\r\n]*(?:\}|"(?:[^"\\]|\\.)*+"[ \t\r\n]*:))', re.DOTALL)
+#: Strings, the last one perhaps cut off, and brackets.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+\\?(?:"|\Z)|[{}\[\]]', re.DOTALL)
+#: Of a text too deep for the parser, the outermost object of at most so many levels is read.
+MOST_DEEP = 500
 
 
-def closed_braces(text: str) -> set[int]:
-    """Places of the opening braces that a later one closes, by count alone."""
+def unfit(text: str, start: int, end: int) -> set[int]:
+    """Braces between start and end that begin no object: left open, closed by a wrong bracket, or too far above their
+    deepest part."""
     stack, out = [], set()
-    for m in re.finditer(r"[{}]", text):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            out.add(stack.pop())
-    return out
+    for m in TOKEN.finditer(text, start, end):
+        c = m[0]
+        if c in ("{", "["):
+            stack.append([c, m.start(), 1])
+        elif c in ("}", "]"):
+            if not stack or stack[-1][0] + c not in ("{}", "[]"):
+                break
+            kind, at, levels = stack.pop()
+            if kind == "{" and levels > MOST_DEEP:
+                out.add(at)
+            if not stack:
+                break
+            stack[-1][2] = max(stack[-1][2], levels + 1)
+    return out | {at for kind, at, _ in stack if kind == "{"}
 
 
 @F.pandas_udf(ST.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
-    """The first JSON object that starts at any brace of a text; null for a null text or none. Text nested deeper than a
-    parser can follow has no object there."""
+    """The first JSON object that starts at any brace of a text; null for a null text or none. Every start is tried but
+    those that a failed try has shown to fail like it, so long broken texts take little time."""
     decoder = json.JSONDecoder()
 
     def one(text: str | None) -> str | None:
-        closed, tries = None, 0
-        for m in START.finditer(text or ""):
-            closed = closed_braces(text) if closed is None else closed
-            if m.start() not in closed:
-                tries += 1
-                if tries > OPEN_STARTS:
-                    continue
-            try:
-                return json.dumps(decoder.raw_decode(text, m.start())[0])
-            except (ValueError, RecursionError):
+        rest, base, dead = text or "", 0, set()
+        step = 64 * math.isqrt(len(rest))
+        for m in START.finditer(rest):
+            at = m.start()
+            if at in dead:
                 continue
+            if at - base > step:  # an error counts the lines before it, so the text before is left behind now and then
+                rest, base = text[at:], at
+            try:
+                return json.dumps(decoder.raw_decode(rest, at - base)[0])
+            except RecursionError:
+                dead |= unfit(text, at, len(text))
+            except ValueError as e:  # a number too long for Python has no place of the error
+                dead |= unfit(text, at, base + getattr(e, "pos", at - base))
         return None
 
     return texts.map(one)

@@ -74,9 +74,30 @@ def test_hostile_responses_take_no_time(spark):
     import time
 
     raw = ['{"a":' * 100_000, "{" * 80_000, '{"' * 80_000, '{"a":' * 20_000 + "}" * 20_000, "x {{ {\"k\": {\"l\": 1}} y"]
+    raw += ['{"a{"a' * 40_000, '{"a":1 ' * 3000 + '{"b": 2}', '{"a":"{ "' * 20_000]
     began = time.time()
     got = [r.body for r in R.parse_lenient(spark.createDataFrame(list(enumerate(raw)), "i int, raw_text string").repartition(1)).orderBy("i").collect()]
     assert got[:4] == [None] * 4 and json.loads(got[4]) == {"k": {"l": 1}} and time.time() - began < 60
+    assert got[5:] == [None, '{"b": 2}', None]
+
+
+def test_first_object_is_that_of_trying_every_brace():
+    import random
+
+    import pandas as pd
+
+    def plain(text):
+        for at in (i for i, c in enumerate(text) if c == "{"):
+            try:
+                return json.dumps(json.JSONDecoder().raw_decode(text, at)[0])
+            except ValueError:
+                continue
+        return None
+
+    parts = ["{", "}", '"', '"a"', ":", "1", ",", "[", "]", "\\", '{"a":', "{}", " ", "x", "\n"]
+    dice = random.Random(3)
+    texts = ["".join(dice.choices(parts, k=dice.randint(1, 200 if i % 10 == 0 else 24))) for i in range(20_000)]
+    assert R.first_object.func(pd.Series(texts)).tolist() == [plain(t) for t in texts]
 
 
 def test_conflicts_need_two_known_values(spark):
