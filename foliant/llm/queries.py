@@ -13,6 +13,7 @@ from foliant.llm import (
     secrets,
     toxicity,
     url_filter,
+    vector_codes,
 )
 
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.query,
         "op9_toxicity": toxicity.query,
         "op10_chat_format": chat.query,
+        "op11_vector_codes": vector_codes.query,
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op10_chat_format": chat.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
     }
