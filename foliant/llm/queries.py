@@ -8,8 +8,10 @@ from foliant.llm import (
     exact_topk,
     html_extraction,
     language,
+    lexical_search,
     near_duplicates,
     packing,
+    quality,
     secrets,
     toxicity,
     url_filter,
@@ -30,6 +32,8 @@ def queries() -> dict:
         "op9_toxicity": toxicity.query,
         "op10_chat_format": chat.query,
         "op11_vector_codes": vector_codes.query,
+        "op12_lexical_search": lexical_search.query,
+        "op13_quality_rules": quality.query,
     }
 
 
@@ -41,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op10_chat_format": chat.ORACLE_SQL,
         "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
     }
