@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +53,16 @@ def ordered_union(df: DataFrame, key: str, items: str, order: str, cap: int | No
     return lists.select(key, F.transform("l", lambda x: x["item"]).alias(items))
 
 
+def first_seen(df: DataFrame, keys: Sequence[str], item: str, order: Sequence[str], into: str, most: int) -> DataFrame:
+    """Distinct values of a column by key in order of first appearance, the first `most`. Values are made distinct and ranked
+    before any are gathered."""
+    first = df.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.min(F.struct(*order)).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", item))
+    kept = first.withColumn("_n", place).where(F.col("_n") <= most)
+    lists = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", item))).alias("_l"))
+    return lists.select(*keys, F.transform("_l", lambda x: x[item]).alias(into))
+
+
 def counter_map(df: DataFrame, key: str, value: str) -> DataFrame:
     """Counts of each value as a map sorted by value."""
     n = df.groupBy(key, value).agg(F.count("*").alias("n"))

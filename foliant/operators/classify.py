@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 from pyspark.sql.window import Window
 
 from foliant import rules
@@ -55,12 +54,6 @@ def classify_documents(inventory: DataFrame) -> DataFrame:
     return out.withColumns({"rag_priority": priority, "manual_review_required": F.col("contains_personal_info")})
 
 
-def score_documents(inventory: DataFrame, scorer=None, schema: str | ST.StructType | None = None) -> DataFrame:
-    """Documents with the labels of a scorer: None for the rules, else a function over pandas batches (mapInPandas) and
-    its result schema. Filters belong before it, as Spark cannot push them through."""
-    return classify_documents(inventory) if scorer is None else inventory.mapInPandas(scorer, schema)
-
-
 def authority_rank() -> Column:
     """Superseded, then final or submitted, then left out of both sets, then supporting."""
     return (
@@ -116,6 +109,24 @@ def treatments(with_lineage: DataFrame) -> DataFrame:
     )
 
 
+#: What a document holds that lets it be treated otherwise than its policy says, by policy.
+EXCEPTIONS = {
+    "superseded_low_priority": "It was replaced, but holds reasoning that the leading version lacks.",
+    "draft_retained_for_unique_reasoning": "A draft, kept since it holds reasoning that the leading version lacks.",
+    "evaluation_criteria_may_be_useful": "Its role is seldom useful, but this one says how proposals are judged.",
+}
+
+
+def with_exceptions(treated: DataFrame) -> DataFrame:
+    """Adds exception_reason: why a document is an exception from the policy applied to it; null if it is none."""
+    unique = F.coalesce("contains_unique_reasoning", F.lit(False))
+    why = F.lit(None).cast("string")
+    for policy, reason in EXCEPTIONS.items():
+        holds = F.col("policy_applied") == policy
+        why = F.when(holds if policy.startswith("evaluation") else holds & unique, reason).otherwise(why)
+    return treated.withColumn("exception_reason", why)
+
+
 def key_documents(with_lineage: DataFrame, roles: tuple[str, ...], cap: int = 10) -> DataFrame:
     """The best document of each listed role of a group (authoritative ones first, then by id), then other documents of
     high priority, `cap` in all."""

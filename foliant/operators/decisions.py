@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.aggregates import first_seen
+
 
 def canonical_field(field: str):
     return F.lower(F.trim(F.element_at(F.split(field, r"\."), -1)))
@@ -32,6 +34,66 @@ def consolidate(uncertain: DataFrame) -> DataFrame:
     )
 
 
+#: Entries of a decision's lists; n_affected counts all documents.
+MOST_LISTED = 200
+#: Scopes of uncertainties that a whole group has to settle.
+GROUP_SCOPES = ("proposal", "document_family")
+
+
+def conflicts(documents: DataFrame, field: str, matches: DataFrame) -> DataFrame:
+    """Uncertainties (group_id, field, scope, guess, confidence, impact, evidence, reason, document_id) of groups whose
+    documents state two or more known values of a field and that no tracker row settles: a row for each document that
+    states one. The values are made distinct by count before they are listed."""
+    open_groups = documents.join(matches.where("match_status = 'matched'").select("proposal_id").hint("merge"), "proposal_id", "left_anti")
+    stated = open_groups.where(F.col(field).isNotNull() & ~F.col(field).isin("", "unknown"))
+    values = first_seen(stated.withColumn("_v", F.col(field)), ["proposal_id"], "_v", ["_v"], "_values", MOST_LISTED).where("size(_values) > 1")
+    return stated.join(values.hint("merge"), "proposal_id").select(
+        F.col("proposal_id").alias("group_id"), F.lit(f"canonical_identity.{field}").alias("field"), F.lit("proposal").alias("scope"),
+        F.lit(None).cast("string").alias("guess"), F.lit(0.0).alias("confidence"), F.lit(2).alias("impact"),
+        F.array(F.concat(F.lit(f"Values of {field} differ and the tracker has no row for it: "), F.array_join("_values", ", "))).alias("evidence"),
+        F.lit("No tracker row decides between the values that documents state.").alias("reason"), "document_id",
+    )
+
+
+def consolidate_all(uncertain: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One decision per group and canonical field, of its documents' uncertainties (with ord) of group scope, then of
+    conflicts found between documents.
+
+    First raw field; guess of the highest confidence (the earliest of equals); highest impact; evidence and reasons in order
+    of first appearance, each once; documents affected in order of id. The lists hold MOST_LISTED entries, n_affected says
+    how many documents there are."""
+    columns = ("group_id", "field", "guess", "confidence", "impact", "evidence", "reason", "document_id")
+    rows = uncertain.where(F.col("scope").isin(*GROUP_SCOPES)).select(*columns, F.struct(F.lit(0).alias("late"), "ord").alias("at"))
+    if found is not None:
+        last = F.struct(F.lit(1).alias("late"), F.lit(None).cast(uncertain.schema["ord"].dataType).alias("ord"))
+        rows = rows.unionByName(found.select(*columns, last.alias("at")))
+    keys = ["group_id", "field_key"]
+    keyed = rows.withColumn("field_key", canonical_field("field"))
+    guesses = F.min(F.struct((-F.col("confidence")).alias("c"), "at", "guess"))
+    main = keyed.groupBy(*keys).agg(
+        F.min(F.struct("at", "field")).alias("f"), guesses.alias("b"), F.max("impact").alias("impact"), F.count("*").alias("sources"),
+        F.count_distinct("document_id").alias("n_affected"),
+    )
+    items = keyed.select(*keys, "at", F.posexplode("evidence").alias("p", "item"))
+    out = main.select(
+        *keys, F.col("f.field").alias("field"), F.col("b.guess").alias("guess"), (-F.col("b.c")).alias("confidence"), "impact", "sources", "n_affected"
+    )
+    for more in (
+        first_seen(items, keys, "item", ["at", "p"], "evidence", MOST_LISTED), first_seen(keyed, keys, "reason", ["at"], "reasons", MOST_LISTED),
+        first_seen(keyed, keys, "document_id", ["document_id"], "affected_document_ids", MOST_LISTED),
+    ):
+        out = out.join(more.hint("merge"), keys, "left")
+    listed = lambda c, sep: F.coalesce(F.array_join(c, sep), F.lit(""))
+    question = F.sha2(F.concat_ws("|", "group_id", F.lit("proposal"), F.lit("proposal_fact"), "field_key"), 256)
+    return out.withColumns(
+        {
+            "evidence": listed("evidence", "; "), "reasons": listed("reasons", " "),
+            "affected_document_ids": F.coalesce("affected_document_ids", F.array().cast("array<string>")),
+            "question_id": F.concat(F.lit("q_"), F.substring(question, 1, 12)),
+        }
+    )
+
+
 def arbitrate(decisions: DataFrame, per_group: int = 3, per_run: int = 20, include_low: bool = False) -> DataFrame:
     """The most important questions: at most per_group of a group and per_run in all, ordered by impact, group, id. Low
     impact is dropped first. Both caps are the feature: a budget of what people are asked."""
@@ -56,14 +118,32 @@ def latest_override(log: DataFrame, *key: str) -> DataFrame:
     return log.groupBy(*key).agg(F.max_by("applied_value", "seq").alias("applied_value"), F.max("seq").alias("seq"))
 
 
+def answer_items(c: Column) -> Column:
+    """The entries of a list answer in order, each once: a JSON array, or texts parted by bars, commas or semicolons."""
+    given = F.from_json(c, "array<string>")
+    parted = F.when(c.startswith("["), given).otherwise(F.split(c, r"[|,;]"))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parted, lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def same_answer(guess: Column, answer: Column, kind: Column | None = None) -> Column:
+    """Whether a guess and an answer say the same: numbers by value, lists (kind `list`, or an answer that is a JSON array)
+    as sets, other texts as they are but for space around them."""
+    a, b = F.trim(guess), F.trim(answer)
+    number = lambda c: c.try_cast("double")
+    is_list = b.startswith("[") if kind is None else (b.startswith("[") | F.coalesce(kind == "list", F.lit(False)))
+    numbers = F.coalesce(number(a) == number(b), F.lit(False))
+    return (a == b) | numbers | (is_list & F.coalesce(answer_items(a) == answer_items(b), F.lit(False)))
+
+
 def resolve_by_override(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Adds resolution: open without an answer, resolved if the answer agrees with the guess or there is none, else
-    reopened."""
+    """Adds resolution: open without an answer, resolved if the answer says what the guess does or there is no guess, else
+    reopened. A column answer_type of the decisions, if there is one, says which fields take lists."""
     joined = decisions.join(overrides.hint("shuffle_hash"), ["group_id", "field_key"], "left")
+    kind = F.col("answer_type") if "answer_type" in decisions.columns else None
     return joined.withColumn(
         "resolution",
         F.when(F.col("applied_value").isNull(), "open")
-        .when(F.col("guess").isNull() | (F.col("guess") == F.col("applied_value")), "resolved")
+        .when(F.col("guess").isNull() | same_answer(F.col("guess"), F.col("applied_value"), kind), "resolved")
         .otherwise("reopened"),
     )
 

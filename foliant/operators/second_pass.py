@@ -65,6 +65,64 @@ def merge_passes(
     return joined.select(*kept, *(c.alias(n) for n, c in merged.items()), F.array_compact(F.array(*changes)).alias("changes"))
 
 
+#: Values of a record that a second pass may replace, with their confidences.
+MERGED = tuple((v, f"{v}_confidence") for v in (
+    "document_category", "document_role", "origin_type", "version_status", "canonical_proposal_name", "agency", "program", "status",
+    "award_status", "include_in_clean_set", "include_in_future_rag", "rag_priority",
+))
+# Why a row of the log of changes is there, and the note on a merged record.
+ADOPTED, RAISED, REPLACED = "pass2_value_adopted", "confidence_increased_with_same_value", "pass2_uncertainties_replaced"
+NOTE = "pass2_context_review_applied"
+
+
+def merge_records(first: DataFrame, second: DataFrame, key: str, fields: Sequence[tuple[str, str]] = MERGED, threshold: float = 0.75) -> DataFrame:
+    """Records after a second pass, with changes (field_path, old and new value and confidence, reason) and history.
+
+    Both have the values and confidences of `fields`, uncertainties (a list of any kind) and processing_notes (a list of
+    texts); `second` has one row per key. Values go by `adopt`; equal ones keep the higher confidence; a null confidence is
+    0; a second pass that has notes explains itself. Uncertainties are the second pass's. Notes are those of both in order,
+    each once, and one on the merge. `history` holds the first record, the second and the merged one as variants. Records
+    without a second one stay as they are, with an empty history."""
+    names = [*(c for pair in fields for c in pair), "uncertainties", "processing_notes"]
+    side = second.select(key, F.lit(True).alias("_given"), *(F.col(c).alias(f"_{c}") for c in names))
+    joined = first.join(side.hint("merge"), key, "left")
+    given, new, changes = F.coalesce("_given", F.lit(False)), {}, []
+    text = lambda c: c.cast("string")
+    row = lambda when, path, old, now, c1, c2, why: F.when(
+        when,
+        F.struct(
+            F.lit(path).alias("field_path"), text(old).alias("old_value"), text(now).alias("new_value"), c1.alias("old_confidence"),
+            c2.alias("new_confidence"), F.lit(why).alias("reason"),
+        ),
+    )
+    notes = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    explained = F.size(notes("_processing_notes")) > 0
+    for value, confidence in fields:
+        old, now = F.col(value), F.col(f"_{value}")
+        c1, c2 = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (confidence, f"_{confidence}"))
+        same = old.eqNullSafe(now)
+        take = F.coalesce(given & ~same & adopt(text(old), text(now), c1, c2, threshold, explained), F.lit(False))
+        rise = given & same & (c2 > c1)
+        new[value] = F.when(take, now).otherwise(old)
+        new[confidence] = F.when(take | rise, c2).otherwise(F.col(confidence))
+        changes += [row(rise, confidence, c1, c2, c1, c2, RAISED), row(take, value, old, now, c1, c2, ADOPTED)]
+    as_json = lambda c: F.to_json(F.struct(F.coalesce(F.col(c), F.array()).alias("u")))
+    other = given & (as_json("uncertainties") != as_json("_uncertainties"))
+    zero = F.lit(0.0)
+    changes.append(row(other, "uncertainties", as_json("uncertainties"), as_json("_uncertainties"), zero, zero, REPLACED))
+    new["uncertainties"] = F.when(given, F.col("_uncertainties")).otherwise(F.col("uncertainties"))
+    both = F.array_distinct(F.concat(notes("processing_notes"), notes("_processing_notes")))
+    new["processing_notes"] = F.when(given, F.concat(both, F.array(F.lit(NOTE)))).otherwise(F.col("processing_notes"))
+    kept = [c for c in first.columns if c not in new]
+    out = joined.select(
+        *kept, *(c.alias(n) for n, c in new.items()), F.array_compact(F.array(*changes)).alias("changes"), given.alias("_given"),
+        F.struct(*(F.col(c) for c in names)).alias("_first"), F.struct(*(F.col(f"_{c}").alias(c) for c in names)).alias("_second"),
+    )
+    shot = lambda stage, c: F.struct(F.lit(stage).alias("stage"), F.parse_json(F.to_json(c)).alias("record"))
+    shots = F.array(shot("pass1", F.col("_first")), shot("pass2_candidate", F.col("_second")), shot("pass2_merged", F.struct(*(F.col(c) for c in names))))
+    return out.withColumn("history", F.when(F.col("_given"), shots).otherwise(F.slice(shots, 1, 0))).drop("_given", "_first", "_second")
+
+
 def change_log(merged: DataFrame, key: str) -> DataFrame:
     """One row per replaced value."""
     return merged.select(key, F.explode("changes").alias("c")).select(key, "c.*")

@@ -2,48 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import rules
 from foliant.functions.text import name_tokens
+from foliant.operators.aggregates import first_seen
+from foliant.sources.tables import stored
 
+#: A token that more rows have is common: rows that share common tokens only are compared by what they share, not by row.
+COMMON = 1000
+#: Candidates listed of an ambiguous match; n_candidates counts all.
+MOST_CANDIDATES = 20
 
-def match_tracker(groups: DataFrame, tracker: DataFrame, least: float = rules.MATCH_LEAST, delta: float = rules.MATCH_DELTA) -> DataFrame:
-    """(proposal_id, match_status, confidence, n_candidates, row_id) of groups (proposal_id, proposal_branch).
 
-    Similarity is the Jaccard ratio of name tokens. Names are joined on their rarest tokens only, as many as a pair that
-    counts must share one of (prefix filter), and compared in full where they meet; so a token that all names have joins
-    nothing. Below `least`: unmatched, with confidence 0; several rows strictly within `delta` of the best: ambiguous; else
-    matched.
-    """
-    rows = tracker.select(F.col("row_id").alias("id"), name_tokens(F.col("proposal_name")).alias("t")).where("size(t) > 0")
-    hints = groups.select("proposal_id", name_tokens(F.col("proposal_branch")).alias("t"))
-    named = hints.withColumnRenamed("proposal_id", "id").where("size(t) > 0")
-    often = named.unionByName(rows).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def jaccard(a: str, b: str) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def alike(named: DataFrame, rows: DataFrame, often: DataFrame, least: float) -> DataFrame:
+    """(proposal_id, row_id, score) of all pairs of names (id, t) of at least this similarity, and some others. Names are
+    joined on their rarest tokens only, as many as such a pair must share one of (prefix filter), and compared in full where
+    they meet; so a token that all names have joins nothing."""
 
     def rarest(names: DataFrame, name: str) -> DataFrame:
         counted = names.select("id", F.explode("t").alias("token")).join(often.hint("shuffle_hash"), "token")
         sets = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
         # Sets of similarity `share` have at least that share of the larger one in common.
-        length = F.size("s") - F.ceil(F.size("s") * (least - delta) - 1e-9) + 1
+        length = F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1
         tokens = F.transform("s", lambda x: x["token"])
         return sets.select(F.col("id").alias(name), tokens.alias(f"{name}_t"), F.explode(F.slice(tokens, F.lit(1), length.cast("int"))).alias("token"))
 
     met = rarest(named, "proposal_id").join(rarest(rows, "row_id").hint("merge"), "token").select("proposal_id", "row_id", "proposal_id_t", "row_id_t").distinct()
-    both = F.size(F.array_intersect("proposal_id_t", "row_id_t"))
-    scored = met.select("proposal_id", "row_id", (both / (F.size("proposal_id_t") + F.size("row_id_t") - both)).alias("score"))
-    best = scored.groupBy("proposal_id").agg(
-        F.max("score").alias("best"), F.min(F.struct((-F.col("score")).alias("s"), "row_id")).alias("top")
-    )
+    return met.select("proposal_id", "row_id", jaccard("proposal_id_t", "row_id_t").alias("score"))
+
+
+def best_score(named: DataFrame, rows: DataFrame, often: DataFrame, common: int = COMMON) -> DataFrame:
+    """(id, best): the highest similarity of each name with any row, however low; names that share no token with one are left
+    out. Pairs that share a token few rows have are joined on it. For the others only the common tokens matter, so rows are
+    summed up by which of these they have, and the shortest of each kind stands for it."""
+    tokens = lambda names: names.select("id", "t", F.explode("t").alias("token")).join(often.hint("shuffle_hash"), "token")
+    mine, theirs = tokens(named), tokens(rows)
+    rare = F.col("n") <= common
+    near = mine.where(rare).select(F.col("id"), F.col("t"), "token").join(theirs.where(rare).select(F.col("t").alias("r"), "token").hint("merge"), "token")
+    close = near.groupBy("id").agg(F.max(jaccard("t", "r")).alias("best"))
+    kinds = theirs.where(~rare).groupBy("id", F.size("t").alias("m")).agg(F.array_sort(F.collect_set("token")).alias("r")).groupBy("r").agg(F.min("m").alias("m"))
+    own = mine.where(~rare).groupBy("id", F.size("t").alias("k")).agg(F.array_sort(F.collect_set("token")).alias("c"))
+    met = own.withColumn("token", F.explode("c")).join(kinds.withColumn("token", F.explode("r")).hint("merge"), "token")
+    both = F.size(F.array_intersect("c", "r"))
+    far = met.groupBy("id").agg(F.max(both / (F.col("k") + F.col("m") - both)).alias("best"))
+    return close.unionByName(far).groupBy("id").agg(F.max("best").alias("best"))
+
+
+def match_tracker(groups: DataFrame, tracker: DataFrame, least: float = rules.MATCH_LEAST, delta: float = rules.MATCH_DELTA, common: int = COMMON) -> DataFrame:
+    """(proposal_id, match_status, confidence, n_candidates, row_id, candidate_row_ids) of groups (proposal_id,
+    proposal_branch, and canonical_proposal_name if there is such a column).
+
+    Similarity is the Jaccard ratio of the tokens of a group's names and of a row's. Confidence is the highest one. Below
+    `least`: unmatched; several rows strictly within `delta` of the best: ambiguous, with the first MOST_CANDIDATES of them
+    by id; else matched. Groups or rows without tokens match nothing, with confidence 0."""
+    hint = F.concat_ws(" ", *(c for c in ("proposal_branch", "canonical_proposal_name") if c in groups.columns))
+    hints = stored(groups.select("proposal_id", name_tokens(hint).alias("t")))
+    rows = stored(tracker.select(F.col("row_id").alias("id"), name_tokens(F.col("proposal_name")).alias("t")).where("size(t) > 0"))
+    named = hints.withColumnRenamed("proposal_id", "id").where("size(t) > 0")
+    often = named.select("t").unionByName(rows.select("t")).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    scored = stored(alike(named, rows, often, least - delta))
+    best = scored.groupBy("proposal_id").agg(F.max("score").alias("best")).where(F.col("best") >= least)
     near = scored.join(best.hint("shuffle_hash"), "proposal_id").where(F.col("best") - F.col("score") < delta)
-    summary = near.groupBy("proposal_id").agg(
-        F.first("best").alias("best"), F.count("*").alias("k"), F.first("top.row_id").alias("row_id")
-    )
-    score = F.when(F.col("best") >= least, F.col("best")).otherwise(0.0)
-    status = F.when(score < least, "unmatched").when(F.col("k") > 1, "ambiguous").otherwise("matched")
-    return hints.join(summary.hint("shuffle_hash"), "proposal_id", "left").select(
-        "proposal_id", status.alias("match_status"), score.alias("confidence"),
-        F.when(score < least, 0).otherwise(F.col("k")).cast("long").alias("n_candidates"),
-        F.when(status == "matched", F.col("row_id")).alias("row_id"),
+    summary = near.groupBy("proposal_id").agg(F.first("best").alias("best"), F.count("*").alias("k"), F.min("row_id").alias("row_id"))
+    listed = first_seen(near, ["proposal_id"], "row_id", ["row_id"], "candidate_row_ids", MOST_CANDIDATES)
+    low = named.join(best.select(F.col("proposal_id").alias("id")).hint("merge"), "id", "left_anti")
+    under = best_score(low, rows, often, common).select(F.col("id").alias("proposal_id"), F.col("best").alias("_under"))
+    j = hints.join(summary.hint("shuffle_hash"), "proposal_id", "left").join(listed.hint("merge"), "proposal_id", "left").join(under.hint("merge"), "proposal_id", "left")
+    status = F.when(F.col("k").isNull(), "unmatched").when(F.col("k") > 1, "ambiguous").otherwise("matched")
+    return j.select(
+        "proposal_id", status.alias("match_status"), F.coalesce("best", "_under", F.lit(0.0)).alias("confidence"),
+        F.coalesce("k", F.lit(0)).cast("long").alias("n_candidates"), F.when(status == "matched", F.col("row_id")).alias("row_id"),
+        F.coalesce("candidate_row_ids", F.array().cast("array<string>")).alias("candidate_row_ids"),
     )

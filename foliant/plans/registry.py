@@ -445,13 +445,13 @@ def counter_map(spark, sf):
         k AS (SELECT s.proposal_id, any_value(best) AS best, count(*) AS n, arg_min(row_id, struct_pack(a := -score, b := row_id)) AS top
             FROM s JOIN b ON b.proposal_id = s.proposal_id AND best - score < 0.05 AND score > 0 GROUP BY 1)
         SELECT h.proposal_id, CASE WHEN coalesce(best, 0) < 0.35 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS match_status,
-            CASE WHEN best >= 0.35 THEN best ELSE 0.0 END AS confidence, CASE WHEN coalesce(best, 0) < 0.35 THEN 0 ELSE n END AS n_candidates,
+            coalesce(best, 0.0) AS confidence, CASE WHEN coalesce(best, 0) < 0.35 THEN 0 ELSE n END AS n_candidates,
             CASE WHEN coalesce(best, 0) >= 0.35 AND n = 1 THEN top END AS row_id
         FROM (SELECT DISTINCT proposal_id FROM h) h LEFT JOIN k USING (proposal_id)""",
 )
 def match_tracker(spark, sf):
     groups = X.inventory(spark, sf).where("proposal_branch is not null").select("proposal_id", "proposal_branch").distinct()
-    return M.match_tracker(groups, X.tracker(spark, sf))
+    return M.match_tracker(groups, X.tracker(spark, sf)).drop("candidate_row_ids")
 
 
 DECIDED = f"""WITH {X.UNCERTAIN_SQL},
@@ -588,6 +588,8 @@ def usage_per_day(spark, sf):
 
 def queries() -> dict:
     import foliant.plans.records  # noqa: F401  (adds its queries, as does review, which it imports)
+    import foliant.plans.runs  # noqa: F401
+    import foliant.plans.scoring  # noqa: F401
 
     return QUERIES
 

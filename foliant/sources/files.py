@@ -56,20 +56,6 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def append_log(df: DataFrame, path: str, *key: str) -> None:
-    """Appends the rows whose key the log doesn't have yet, so that a repeated call adds nothing."""
-    spark = df.sparkSession
-    new = df.dropDuplicates(list(key))
-    try:
-        log = spark.read.schema(df.schema).parquet(path).select(*key)
-    except Exception as e:  # the log doesn't exist before its first rows
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(log.hint("shuffle_hash"), list(key), "left_anti")
-    new.write.mode("append").parquet(path)
-
-
 def tracker_headers(names: Sequence[str], aliases: dict[str, str]) -> list[str]:
     """Canonical column names: lower-case words joined by underscores, known aliases replaced, repeats numbered, blank
     ones called column."""

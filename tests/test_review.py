@@ -8,6 +8,7 @@ from foliant.operators import clean_set as S
 from foliant.operators import responses as R
 from foliant.operators import second_pass as P
 from foliant.sources import files as X
+from foliant.sources import tables
 
 
 def test_responses_of_every_shape(spark):
@@ -131,7 +132,7 @@ def test_jsonl_and_csv_round_trip(spark, tmp_path):
 def test_a_log_takes_each_key_once(spark, tmp_path):
     df = spark.createDataFrame([("q", 1, "x"), ("q", 2, "y"), ("q", 1, "x")], "question_id string, applied_at int, v string")
     for rows in (df, df, df.withColumn("applied_at", F.col("applied_at") + 1)):
-        X.append_log(rows, str(tmp_path / "log"), "question_id", "applied_at")
+        tables.append_to_log(rows, str(tmp_path / "log"), "question_id", "applied_at")
     assert sorted(r.applied_at for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2, 3]
 
 
