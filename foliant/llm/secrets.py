@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +48,15 @@ WEAK = (
         "endpoint",
         (b"://", b"endpoint", b"host", b"server", b"region", b"url"),
         re.compile(
-            rb"(?:endpoint|host|server|region|url)[\"']?\x20*[:=]\x20*[\"']?((?:[a-z]+://)?[A-Za-z0-9.-]{4,}(?::\d+)?)"
-            rb"|((?:jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?)[a-z+:]*://[^ \t\n\r\f\v\"'<>]{4,})",
+            rb"(?:endpoint|host|server|region|url)[\"']?\x20*[:=]\x20*[\"']?((?:[a-z]+://)?[A-Za-z0-9.-]{4,}(?::\d+)?)",
             re.IGNORECASE,
         ),
     ),
 )
+#: An endpoint is also a scheme of these, letters after it, `://` and four characters or more. It is found from the `://`.
+SCHEME = re.compile(rb"jdbc:|postgres|mysql|mongodb|redis|amqp|s3|https?", re.IGNORECASE)
+AFTER_SCHEME = re.compile(rb"[^ \t\n\r\f\v\"'<>]{4,}")
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+:")
 MIXED = (re.compile(rb"[0-9]"), re.compile(rb"[a-z]"), re.compile(rb"[A-Z]"))
 #: Lower-case strings of which a text with an assignment holds one.
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -81,13 +86,53 @@ def base_spans(text: bytes, lower: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def scheme_ends(text: bytes) -> Iterator[tuple[int, int]]:
+    """Where the letters before each `://` begin, with a scheme that ends in a digit, and where its slashes are."""
+    last = 0
+    for m in re.finditer(b"://", text):
+        start = m.start()
+        while start > last and text[start - 1] in LETTERS:
+            start -= 1
+        if text[max(start - 2, last) : start].lower() == b"s3":
+            start -= 2
+        yield start, m.start() + 1
+        last = m.end()
+
+
+def endpoint_spans(text: bytes, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """Endpoints, leftmost first and not overlapping; of two that begin together the named one. Each stretch of letters is
+    looked at once, so time grows with the text."""
+    out, at, named = [], 0, pattern.search(text)
+    urls = scheme_ends(text)
+    url = next(urls, None)
+    while True:
+        if named and named.start() < at:
+            named = pattern.search(text, at)
+        found = None
+        while url:
+            start, slashes = url
+            scheme = SCHEME.search(text, max(start, at), slashes - 1) if slashes > at else None
+            rest = AFTER_SCHEME.match(text, slashes + 2) if scheme else None
+            if rest:
+                found = scheme.start(), rest.end()
+                break
+            url = next(urls, None)
+        if not named and not found:
+            return out
+        span = named.span() if named and (not found or named.start() <= found[0]) else found
+        out.append(span)
+        at = span[1]
+
+
 def weak_spans(text: bytes, lower: bytes, at: int) -> list[tuple[int, int]]:
     kind, _, words, pattern = WEAK[at]
     if kind == "part_secret":
         if b"1" * 20 not in text.translate(TOKEN_RUN):
             return []
         return [m.span() for m in pattern.finditer(text) if all(x.search(m[0]) for x in MIXED)]
-    return [m.span() for m in pattern.finditer(text)] if any(w in lower for w in words) else []
+    if not any(w in lower for w in words):
+        return []
+    return endpoint_spans(text, pattern) if kind == "part_endpoint" else [m.span() for m in pattern.finditer(text)]
 
 
 def parts_of(text: str) -> list[tuple]:
@@ -97,9 +142,11 @@ def parts_of(text: str) -> list[tuple]:
     lower = data.lower()
     strong = base_spans(data, lower)
     found = [(k, ROLE[KINDS[k]], a, b) for a, k, b in strong]
+    begins, furthest = [x[0] for x in strong], list(accumulate((x[2] for x in strong), max))
     for at, (kind, role, _, _) in enumerate(WEAK):
         for a, b in weak_spans(data, lower, at):
-            if not any(x < b and a < y for x, _, y in strong):
+            before = bisect_left(begins, b)
+            if not before or furthest[before - 1] <= a:
                 found.append((KINDS.index(kind), role, a, b))
     roles = {x[1] for x in found}
     if "secret" not in roles or len(roles) < 2 or not any(x[0] > 2 for x in found):
