@@ -9,6 +9,7 @@ ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 QUOTE_OR_END = re.compile(r"[>\"']")
 SPACE = re.compile(r"\s+")
+NUMBER, LONG_NUMBER = re.compile(r"\d+"), re.compile(r"\d{3,}")
 #: Elements whose content is no text of the page, and which of them swallow the rest of a page that never ends them.
 RAW = {"script", "style", "textarea", "title", "template", "iframe"}
 SWALLOWS = {"script", "style", "textarea", "title"}
@@ -33,7 +34,8 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 
 
 def signature(tag: str, attributes: str) -> str:
-    """Presentation of an element: its tag with class, id and role, digits left out."""
+    """Presentation of an element: its tag with class, id and role. Numbers are left out, as they count things, but for those of
+    one or two digits in a class, which tell columns and levels apart."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return tag
     names: dict[str, str] = {}
@@ -42,7 +44,7 @@ def signature(tag: str, attributes: str) -> str:
     out = tag
     for key, mark in (("class", "."), ("id", "#"), ("role", "@")):
         if names.get(key):
-            out += mark + re.sub(r"\d+", "", " ".join(names[key].split()))
+            out += mark + (LONG_NUMBER if key == "class" else NUMBER).sub("", " ".join(names[key].split()))
     style = names.get("style", "").replace(" ", "")
     if "hidden" in names and names["hidden"] != "false" or names.get("aria-hidden") == "true" or "display:none" in style:
         out += "!hidden"

@@ -5,10 +5,10 @@ Each node with text has three measures over the host's pages. Content: the entro
 least values of some hash functions over all words of the node on a page; pages that say the same share them. Presentation:
 the entropy of the ways in which pages lay out the branch it belongs to, since articles differ in that and templates
 don't. Purpose: what its elements say they are for, and how much of it is links. Importance is content times a sum of the
-others, so none of them decides alone; branches of low importance are removed from every page, and what is left is its
-text.
+others, in which layout counts by purpose: reader comments, whose number and words vary as much as articles do, aren't
+saved by that. Branches of low importance are removed from every page, and what is left is its text.
 
-The tree is counted over distinct pages (of near copies on a host mostly one counts) as sums by node and feature, with
+The tree is counted over distinct pages (of near copies on a host mostly one counts, by signatures of all their text) as sums by node and feature, with
 partial aggregates, so a host with a third of all pages is no hot group; texts are not shuffled. Nodes to remove are few,
 since pages of a host share them; they are sent to all tasks if their number is within a bound, else joined to the pages.
 """
@@ -41,6 +41,8 @@ ARTICLE, PLAIN, CHROME, HIDDEN = 1.0, 0.5, 0.0, -0.5
 NODES_BOUND = 2_000_000
 #: Hash functions whose least values over a branch's words are its features.
 FEATURES = 16
+#: Of these so many, over all shingles of a page, make its signature.
+SIGNS = 8
 #: Elements, and words in class, id or role, of what is no main text.
 CHROME_TAGS = {
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "select", "datalist",
@@ -127,22 +129,29 @@ def _branches(url: str, html: str) -> tuple[str, dict[tuple, list]]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SEEN of each page with text: `content` tells apart, on a host, pages whose largest branches differ: it is the least
-    hash of that branch's five-word shingles, which texts of similarity J share with chance J."""
+    """SEEN of each page with text: `content` tells pages of a host apart: it is made of the least values of some hash functions
+    over the five-word shingles of its branches, which pages of similarity J share with chance J to the power of SIGNS. Branches
+    of fewer than five words, such as page numbers, make no difference where there are others."""
     for batch in sliced(batches, 200):
         pages = [_branches(url, html) for url, html in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True)]
         pages = [page for page in pages if page[1]]
         texts = [binary_words(" ".join(branch[0])) for _, found in pages for branch in found.values()]
         words, counts = word_hashes(texts)
         least = features(words, counts)
-        shingles = least_values(*shingle_hashes(words, counts, 5)).view(np.int64)
+        shingles, n = shingle_hashes(words, counts, 5)
+        page = np.repeat(np.arange(len(pages)), [len(found) for _, found in pages])
+        longest = np.zeros(len(pages), np.int64)
+        np.maximum.at(longest, page, counts)
+        used = (counts >= 5) | (longest[page] < 5)
+        shingles, n = shingles[np.repeat(used, n)], np.where(used, n, 0)
+        signed = features(shingles, np.bincount(page, n, len(pages)).astype(np.int64))[:, :SIGNS]
         rows, at = [], 0
-        for host, found in pages:
+        for (host, found), signature in zip(pages, signed, strict=True):
             size = [branch[1] for branch in found.values()]
-            most = max(range(len(size)), key=lambda i: (size[i], -i))
+            content = int.from_bytes(hashlib.blake2b(signature.tobytes(), digest_size=8).digest(), "little", signed=True)
             rows.append(
                 (
-                    key_of(host), int(shingles[at + most]), [node_key(host, path) for path in found], [b[3] for b in found.values()],
+                    key_of(host), content, [node_key(host, path) for path in found], [b[3] for b in found.values()],
                     [purpose(path) for path in found], size, [b[2] for b in found.values()], least[at : at + len(size)].ravel(),
                 )
             )
@@ -158,7 +167,8 @@ def importance(m: Column, layouts: Column, contents: Column, size: Column, linke
     purpose. Entropies are to the base of the number of pages: 0 if all pages are alike, 1 if all differ."""
     entropy = lambda s, usual: (m * F.when(m > 1, 1 - s / (m * F.log(m))).otherwise(usual) + USUAL_PAGES * usual) / (m + USUAL_PAGES)
     content, layout = entropy(contents / FEATURES, USUAL_CONTENT), entropy(layouts, USUAL_LAYOUT)
-    return content * (BASE + BY_LAYOUT * layout + BY_PURPOSE * purpose + BY_LINKS * linked / size)
+    trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), purpose + 0.5))
+    return content * (BASE + BY_LAYOUT * layout * trust + BY_PURPOSE * purpose + BY_LINKS * linked / size)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
