@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +127,8 @@ POWERS = Powers()
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of codes[start:end] for every span, independent of where the span lies."""
+    """64-bit hash of codes[start:end] for every span, independent of where the span lies. Texts can be made to collide, so
+    whoever groups by it compares what it groups (distinct_spans)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = POWERS.get(len(codes))
@@ -163,13 +166,62 @@ def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal spans: each span's group, and the first span of each group. Hashes find them, then every span is
+    compared with its group's first one, so spans whose hashes collide are told apart."""
+    which, unique = pd.factorize(span_hashes(codes, starts, ends))
+    first = np.empty(len(unique), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    again = np.flatnonzero(first[which] != np.arange(len(which)))
+    model = first[which[again]]
+    same = (ends - starts)[again] == (ends - starts)[model]
+    wrong = [again[~same]]
+    again, model = again[same], model[same]
+    size = (ends - starts)[again]
+    if len(again):
+        edge = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(edge, size)
+        unlike = codes[np.repeat(starts[model], size) + place] != codes[np.repeat(starts[again], size) + place]
+        wrong.append(again[np.add.reduceat(unlike, edge) > 0])
+    apart: dict[bytes, int] = {}
+    for i in np.concatenate(wrong).tolist():
+        key = codes[starts[i] : ends[i]].tobytes()
+        if key not in apart:
+            apart[key] = len(first)
+            first = np.append(first, i)
+        which[i] = apart[key]
+    return which, first
+
+
+#: Hashes of words seen before; forgotten when there are too many.
+KNOWN: dict[bytes, int] = {}
+MOST_KNOWN = 1_000_000
+
+
+def word_hash(word: bytes) -> int:
+    """64 bits of a cryptographic hash, for which no two words can be made to collide with little work."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of space-separated texts, and the number of words of each text."""
     found = [np.zeros(0, np.uint64)]
     counts = np.zeros(len(texts), np.int64)
     for joined, text_starts, at in chunks(texts):
         codes, starts, ends = word_spans(joined)
-        found.append(span_hashes(codes, starts, ends))
+        which, first = distinct_spans(codes, starts, ends)
+        if len(KNOWN) > MOST_KNOWN:
+            KNOWN.clear()
+        hashes = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            word = joined[a:b]
+            h = KNOWN.get(word)
+            if h is None:
+                h = word_hash(word)
+                if len(word) <= 64:
+                    KNOWN[word] = h
+            hashes.append(h)
+        found.append(np.array(hashes, np.uint64)[which])
         counts[at : at + len(text_starts)] += np.diff(np.searchsorted(starts, text_starts), append=len(starts))
     return np.concatenate(found), counts
 

@@ -7,9 +7,8 @@ import unicodedata
 from array import array
 
 import numpy as np
-import pandas as pd
 
-from foliant.llm.common import span_hashes
+from foliant.llm.common import distinct_spans
 
 #: Pre-tokens remembered by a worker before it starts anew.
 REMEMBERED = 600_000
@@ -88,7 +87,7 @@ class ByteBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.begin, self.pool = array("q", [0]), array("I")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -134,17 +133,15 @@ class ByteBpe:
         text_starts = np.cumsum(lengths) - lengths
         starts = pretoken_starts(codes, self.classes[codes], text_starts[lengths > 0])
         ends = np.append(starts[1:], len(codes))
-        inverse, unique = pd.factorize(span_hashes(codes, starts, ends))
-        where = np.empty(len(unique), np.int64)
-        where[inverse[::-1]] = np.arange(len(inverse))[::-1]
-        slots = np.empty(len(unique), np.int64)
+        inverse, where = distinct_spans(codes, starts, ends)
+        slots = np.empty(len(where), np.int64)
         known, pool, begin = self.known, self.pool, self.begin
-        for i, h in enumerate(unique.tolist()):
-            slot = known.get(h)
+        for i, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist(), strict=True)):
+            piece = joined[a:b]
+            slot = known.get(piece)
             if slot is None:
-                w = where[i]
-                pool.extend(self.encode_piece(joined[starts[w] : ends[w]].encode("utf-8", "replace")))
-                slot = known[h] = len(begin) - 1
+                pool.extend(self.encode_piece(piece.encode("utf-8", "replace")))
+                slot = known[piece] = len(begin) - 1
                 begin.append(len(pool))
             slots[i] = slot
         bounds, ids = np.frombuffer(begin, np.int64), np.frombuffer(pool, np.uint32)

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +29,10 @@ from foliant.llm.common import (
     WORD_BYTES,
     chunks,
     cut,
+    distinct_spans,
     fresh,
     segments,
     sliced,
-    span_hashes,
     strings,
     table,
     word_spans,
@@ -111,7 +110,7 @@ class ToxicityModel:
     lam: np.ndarray
     cut: float = MOST
     slope: float = 1.0
-    known: dict[int, float] = field(default_factory=dict)
+    known: dict[bytes, float] = field(default_factory=dict)
 
     def word_ratios(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         marks, place, begin = marked(codes, starts, ends)
@@ -122,17 +121,17 @@ class ToxicityModel:
         value[begin] = 0.0
         return np.add.reduceat(np.nan_to_num(value, nan=0.0), begin) if len(begin) else np.zeros(0)
 
-    def word_values(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """What each word (of this hash) adds to a text's log-likelihood difference; words seen before are remembered."""
+    def word_values(self, joined: bytes, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What each word adds to a text's log-likelihood difference; words seen before are remembered."""
         if len(self.known) > WORDS_AT_ONCE:
             self.known.clear()
-        hashes = keys.tolist()
-        new = np.array([i for i, h in enumerate(hashes) if h not in self.known], np.int64)
+        words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = np.array([i for i, w in enumerate(words) if w not in self.known], np.int64)
         if len(new):
             ratio = np.minimum(self.word_ratios(codes, starts[new], ends[new]), MOST_OF_A_WORD)
             values = np.log1p(TOXIC_SHARE * np.expm1(ratio)).tolist()
-            self.known.update(zip([hashes[i] for i in new.tolist()], values, strict=True))
-        return np.array([self.known[h] for h in hashes])
+            self.known.update(zip([words[i] for i in new.tolist()], values, strict=True))
+        return np.array([self.known[w] for w in words])
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """Length-normalised log-likelihood difference of each text; 0 for a text without words."""
@@ -141,10 +140,8 @@ class ToxicityModel:
             codes, starts, ends = word_spans(joined)
             if not len(starts):
                 continue
-            which, unique = pd.factorize(span_hashes(codes, starts, ends))
-            first = np.empty(len(unique), np.int64)
-            first[which[::-1]] = np.arange(len(which))[::-1]
-            value = self.word_values(unique, codes, starts[first], ends[first])[which]
+            which, first = distinct_spans(codes, starts, ends)
+            value = self.word_values(joined, codes, starts[first], ends[first])[which]
             found = np.diff(np.searchsorted(starts, text_starts), append=len(starts))
             some = np.flatnonzero(found)
             total[at + some] += np.add.reduceat(value, segments(found)[some])
