@@ -44,6 +44,8 @@ def first_non_null(df: DataFrame, key: str, value: str, order: str) -> DataFrame
 def ordered_union(df: DataFrame, key: str, items: str, order: str, cap: int | None = None) -> DataFrame:
     """Distinct non-blank items of a group's arrays, in order of first appearance; at most `cap`. Items are made distinct and
     ranked before they are gathered, so with a cap no more than that many of a group are."""
+    if cap:  # a row's items past its own first `cap` different ones can't be among the group's
+        df = df.withColumn(items, F.slice(F.array_distinct(F.filter(items, lambda x: F.trim(x) != "")), 1, cap))
     exploded = df.select(key, F.col(order).alias("o"), F.posexplode(items).alias("p", "item")).where("trim(item) <> ''")
     first = exploded.groupBy(key, "item").agg(F.min(F.struct("o", "p")).alias("at"))
     if cap:

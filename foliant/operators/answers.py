@@ -51,22 +51,22 @@ def with_values(answers: DataFrame, fields: Mapping[str, tuple[str, ...] | str]
     """Adds value (the answer as text, lists joined by bars, booleans as true and false) and error (null if it may be
     applied) to answers (field, user_answer, status), and state: skipped, invalid or valid."""
     field, answer = F.trim("field"), F.trim(F.coalesce("user_answer", F.lit("")))
-    value, error = F.lit(None).cast("string"), F.concat(F.lit("field is not allowed: "), F.coalesce(field, F.lit("")))
+    value, error = F.lit(None).cast("string"), F.concat(F.lit("no answers are taken for this field: "), F.coalesce(field, F.lit("")))
     for name, takes in fields.items():
         mine = field == name
         if takes == "boolean":
             read = T.parse_bool(answer).cast("string")
-            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), F.concat(F.lit("Invalid boolean answer: "), answer))).otherwise(error)
+            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), F.concat(F.lit("neither yes nor no: "), answer))).otherwise(error)
         elif takes == "list":
             read = F.array_join(T.parse_list(answer), "|")
-            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), "List answers must be a JSON list of strings")).otherwise(error)
+            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), "not a list such as a | b")).otherwise(error)
         elif takes == "number":
             read = answer.try_cast("double").cast("string")
-            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), F.concat(F.lit("Invalid numeric answer: "), answer))).otherwise(error)
+            value, error = F.when(mine, read).otherwise(value), F.when(mine, F.when(read.isNull(), F.concat(F.lit("not a number: "), answer))).otherwise(error)
         elif takes == "text":
             value, error = F.when(mine, answer).otherwise(value), F.when(mine, F.lit(None).cast("string")).otherwise(error)
         else:
-            wrong = F.when(~answer.isin(*takes), F.concat(F.lit(f"Invalid {name}: "), answer))
+            wrong = F.when(~answer.isin(*takes), F.concat(F.lit(f"no value of {name}: "), answer))
             value, error = F.when(mine & answer.isin(*takes), answer).otherwise(value), F.when(mine, wrong).otherwise(error)
     skipped = (answer == "") | F.lower(F.trim(F.coalesce("status", F.lit("open")))).isin(*CLOSED)
     out = answers.withColumn("value", F.when(~skipped, value)).withColumn("error", F.when(~skipped, error))
@@ -88,7 +88,7 @@ def apply_document_answers(documents: DataFrame, answers: DataFrame, fields: Seq
     known = documents.select("document_id").distinct().withColumn("_known", F.lit(True))
     checked = with_values(answers, {f: FIELDS[f] for f in fields}).join(known.hint("shuffle_hash"), "document_id", "left")
     lost = (F.col("state") != "skipped") & F.col("_known").isNull()
-    checked = checked.withColumn("error", F.when(lost, "metadata for document_id was not found").otherwise(F.col("error"))).withColumn(
+    checked = checked.withColumn("error", F.when(lost, "no such document").otherwise(F.col("error"))).withColumn(
         "state", F.when(lost | (F.col("state") == "invalid"), "invalid").when(F.col("state") == "valid", "applied").otherwise("skipped")
     ).drop("_known")
     applied = checked.where("state = 'applied'").withColumn("field", F.trim("field"))
@@ -132,10 +132,10 @@ def check_proposal_answers(groups: DataFrame, answers: DataFrame, fields: Sequen
     choice = F.coalesce(F.col("decision_type") == "authoritative_document", F.lit(False))
     among = F.coalesce(F.array_contains("affected_document_ids", answer), F.lit(False))
     error = (
-        F.when(skipped, None).when(F.col("_own").isNull(), "metadata for proposal_id was not found")
-        .when(F.col("_given") == "", "field is required for proposal-scoped answers")
-        .when(choice & ~among, F.concat(F.lit("Answer must be one of the affected document IDs: "), F.array_join("affected_document_ids", ", ")))
-        .when(choice, None).when(~F.col("field").isin(*fields), F.concat(F.lit("Proposal field is not allowed: "), "_given")).otherwise(F.col("error"))
+        F.when(skipped, None).when(F.col("_own").isNull(), "no such group")
+        .when(F.col("_given") == "", "the answer names no field")
+        .when(choice & ~among, F.concat(F.lit("not among the documents asked about: "), F.array_join("affected_document_ids", ", ")))
+        .when(choice, None).when(~F.col("field").isin(*fields), F.concat(F.lit("groups take no answers for: "), "_given")).otherwise(F.col("error"))
     )
     judged = read.withColumn("error", error).withColumns(
         {

@@ -69,20 +69,20 @@ def lineage(documents: DataFrame) -> DataFrame:
     contains_unique_reasoning (its detail is in none of them). Grouped by group and role, joined back: no document is
     compared with each other one, and details meet by their hash."""
     detail = F.trim("summary_detailed")
-    ranked = documents.withColumn("authority_rank", authority_rank()).withColumn("_detail", F.md5(detail))
+    ranked = documents.withColumns({"authority_rank": authority_rank(), "_detail": F.md5(detail), "_told": detail != ""})
     top = ranked.where("authority_rank = 'authoritative'")
     best = top.groupBy("proposal_id", "document_role").agg(F.min("document_id").alias("_first"))
     said = top.select("proposal_id", "document_role", "_detail").distinct().withColumn("_said", F.lit(True))
     joined = ranked.join(best.hint("shuffle_hash"), ["proposal_id", "document_role"], "left").join(
-        said.hint("shuffle_hash"), ["proposal_id", "document_role", "_detail"], "left"
+        said.hint("merge"), ["proposal_id", "document_role", "_detail"], "left"
     )
     follows = (F.col("authority_rank") != "authoritative") & F.col("_first").isNotNull()
     return joined.withColumns(
         {
             "superseded_by_document_id": F.when(follows, F.col("_first")),
-            "contains_unique_reasoning": follows & (detail != "") & F.col("_said").isNull(),
+            "contains_unique_reasoning": follows & F.col("_told") & F.col("_said").isNull(),
         }
-    ).drop("_first", "_detail", "_said")
+    ).drop("_first", "_detail", "_said", "_told")
 
 
 def treatments(with_lineage: DataFrame) -> DataFrame:

@@ -51,13 +51,13 @@ def select_full_text(documents: DataFrame, excluded_roles: tuple[str, ...], max_
     return ranked.withColumn("excerpt", F.left(F.trim("summary_detailed"), F.lit(max_chars)))
 
 
-def exclusion_reason() -> Column:
-    """Why a document isn't in the clean set: its own reason or a default, or the reasons of its review; null if it is."""
+def exclusion_reason(require_clearance: bool = True) -> Column:
+    """Why a document isn't in the clean set: its own reason or a default, or the reasons of its review if a review has to
+    clear it first; null if it is."""
     own = F.coalesce(F.nullif("exclude_reason", F.lit("")), F.lit("include_in_clean_set_false"))
     review = F.when(F.size("manual_review_reasons") > 0, F.concat(F.lit("manual_review_required: "), F.array_join("manual_review_reasons", "; ")))
-    return F.when(~F.col("include_in_clean_set"), own).when(
-        F.col("manual_review_required"), F.coalesce(review, F.lit("manual_review_required"))
-    )
+    out = F.when(~F.col("include_in_clean_set"), own)
+    return out.when(F.col("manual_review_required"), F.coalesce(review, F.lit("manual_review_required"))) if require_clearance else out
 
 
 def exclusions(documents: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -71,10 +71,42 @@ def exclusions(documents: DataFrame, inventory: DataFrame) -> DataFrame:
     return out.select(*columns).unionByName(bare.select(*columns))
 
 
-def plan_clean_set(documents: DataFrame) -> DataFrame:
-    """Adds clean_path to the documents that stay: their group's folder and a name that no other file there has."""
-    kept = resolve_name_collisions(documents.where(exclusion_reason().isNull()))
-    return kept.withColumn("clean_path", T.recommended_key(F.col("year_folder"), F.col("proposal_branch"), F.lit("documents"), F.col("target_name")))
+def plan_clean_set(documents: DataFrame, sanitize: bool = True, flatten: bool = True, require_clearance: bool = True) -> DataFrame:
+    """Adds clean_path to the documents that stay: their group's folder and a name that no other file there has. Without
+    `sanitize` names stay as they are, without `flatten` the folders of the archive stay, in safe names, and names only have
+    to differ inside one; without `require_clearance` documents that await a review stay too."""
+    kept = documents.where(exclusion_reason(require_clearance).isNull())
+    folders = F.slice(F.split("relative_path", "/"), 1, F.size(F.split("relative_path", "/")) - 1)
+    inside = F.lit("") if flatten else F.array_join(F.transform(folders, lambda x: T.safe_file_name(x)), "/")
+    kept = kept.withColumn("_inside", inside)
+    placed = resolve_name_collisions(kept, "_inside", sanitize)
+    path = T.recommended_key(F.col("year_folder"), F.col("proposal_branch"), F.lit("documents"), F.col("_inside"), F.col("target_name"))
+    return placed.withColumn("clean_path", path).drop("_inside")
+
+
+def manifest_rows(planned: DataFrame, lineage: DataFrame, groups: DataFrame, prefix: str = "archive") -> DataFrame:
+    """The whole manifest: a row for each planned document, with its place, lineage, treatment and labels, and one for each
+    group (proposal_id, year_folder, proposal_branch), its entry point for retrieval."""
+    marks = lineage.select("doc_id", "authority_rank", "superseded_by_document_id", "contains_unique_reasoning", "recommended_treatment")
+    j = planned.join(marks.hint("merge"), "doc_id", "left")
+    key = lambda *parts: T.recommended_key(F.lit(prefix), *parts)
+    place = (F.col("year_folder"), F.col("proposal_branch"))
+    label = lambda c, name: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(name))
+    documents = j.select(
+        F.lit("document").alias("object_type"), "proposal_id", "document_id", "file_name_original", F.col("clean_path").alias("local_clean_path"),
+        key(F.col("clean_path")).alias("recommended_key"), "include_in_future_rag", "rag_priority", "document_role", "version_status", "authority_rank",
+        F.col("recommended_treatment").alias("recommended_rag_treatment"), (F.col("authority_rank") == "authoritative").alias("is_authoritative"),
+        "superseded_by_document_id", "contains_unique_reasoning",
+        F.array_compact(F.array(label("contains_budget_or_rates", "budget_or_rates"), label("contains_personal_info", "personal_info"))).alias("sensitivity_labels"),
+        F.col("proposal_id").alias("parent_proposal_record"),
+    )
+    kinds = {f.name: f.dataType for f in documents.schema.fields}
+    given = {
+        "object_type": F.lit("proposal_record"), "proposal_id": F.col("proposal_id"), "local_clean_path": T.recommended_key(*place, F.lit("metadata"), F.lit("retrieval.json")),
+        "recommended_key": key(*place, F.lit("metadata"), F.lit("proposal.json")), "include_in_future_rag": F.lit(True), "rag_priority": F.lit("high"),
+    }
+    records = groups.select(*(given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in documents.columns))
+    return documents.unionByName(records)
 
 
 def manifest(planned: DataFrame, prefix: str = "archive") -> DataFrame:

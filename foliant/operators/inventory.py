@@ -140,26 +140,27 @@ def resume_status(inventory: DataFrame, done: DataFrame, failed: DataFrame) -> D
     )
 
 
-def resolve_name_collisions(files: DataFrame) -> DataFrame:
-    """Adds target_name: the safe name for the first file of a group that has it; later ones get eight digits of their hash,
-    and a number from 2 on if that is taken too. Numbers skip names that any file of the group has as its own, so no two
-    files get one name."""
+def resolve_name_collisions(files: DataFrame, folder: str | None = None, sanitize: bool = True) -> DataFrame:
+    """Adds target_name: the safe name (or the name as it is) for the first file of a group, or of a folder in it, that has it;
+    later ones get eight digits of their hash, and a number from 2 on if that is taken too. Numbers skip names that any file
+    there has as its own, so no two files get one name."""
     stem = lambda c: F.regexp_extract(c, r"^(.+?)(\.[^.]*)?$", 1)
     ext = lambda c: F.regexp_extract(c, r"^.+?(\.[^.]*)?$", 1)
-    first = Window.partitionBy("proposal_id", "_safe").orderBy("scan_ord")
-    again = Window.partitionBy("proposal_id", "_name").orderBy("scan_ord")
-    named = files.withColumn("_safe", T.safe_file_name(F.col("file_name_original"))).withColumn("_r", F.row_number().over(first))
+    place = ["proposal_id", *([folder] if folder else [])]
+    first = Window.partitionBy(*place, "_safe").orderBy("scan_ord")
+    again = Window.partitionBy(*place, "_name").orderBy("scan_ord")
+    named = files.withColumn("_safe", T.safe_file_name(F.col("file_name_original")) if sanitize else F.col("file_name_original")).withColumn("_r", F.row_number().over(first))
     own = named.where("_r = 1").withColumn("target_name", F.col("_safe"))
     # Own names that are a later file's hashed name with some number: its base, and the number.
     number = F.regexp_extract(stem("_safe"), r"__[0-9a-f]{8}_([1-9][0-9]*)$", 1)
     base = F.concat(F.regexp_replace(stem("_safe"), r"_[1-9][0-9]*$", ""), ext("_safe"))
     taken = (
-        own.select("proposal_id", F.col("_safe").alias("_name"), F.lit(1).cast("long").alias("k"))
-        .unionByName(own.where(number != "").select("proposal_id", base.alias("_name"), number.cast("long").alias("k")).where("k > 1"))
-        .groupBy("proposal_id", "_name").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
+        own.select(*place, F.col("_safe").alias("_name"), F.lit(1).cast("long").alias("k"))
+        .unionByName(own.where(number != "").select(*place, base.alias("_name"), number.cast("long").alias("k")).where("k > 1"))
+        .groupBy(*place, "_name").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
     )
     later = named.where("_r > 1").withColumn("_name", F.concat(stem("_safe"), F.lit("__"), F.substring("sha256", 1, 8), ext("_safe")))
-    later = later.withColumn("_k", F.row_number().over(again).cast("long")).join(taken.hint("shuffle_hash"), ["proposal_id", "_name"], "left")
+    later = later.withColumn("_k", F.row_number().over(again).cast("long")).join(taken.hint("shuffle_hash"), [*place, "_name"], "left")
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     numbered = F.when(free == 1, F.col("_name")).otherwise(F.concat(stem("_name"), F.lit("_"), free.cast("string"), ext("_name")))
     later = later.withColumn("target_name", numbered)

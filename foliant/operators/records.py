@@ -12,14 +12,14 @@ from foliant.operators.responses import as_variants, is_text, text_at
 PRIORITIES = ("low", "medium", "high", "critical")
 #: Review rows in one of these states are settled.
 RESOLVED = ("applied", "suppressed", "skipped", "skip")
-#: Documents that a folder's detailed summary quotes, and its excerpts' length: a budget of a text that people read.
-MOST_QUOTED, EXCERPT = 5, 500
+#: Documents whose short summaries a folder's detailed one quotes whole: a budget of a text that people read.
+MOST_QUOTED = 5
 
 
 def question_text(field: Column, name: Column, group: Column, guess: Column, reason: Column) -> Column:
-    clause = F.coalesce(F.concat(F.lit(" Current best guess: '"), F.nullif(guess, F.lit("")), F.lit("'.")), F.lit(""))
-    asked = F.concat(F.lit("For '"), name, F.lit("' ("), group, F.lit("), what is the correct value for '"), field, F.lit("'?"))
-    return F.trim(F.concat(asked, clause, F.lit(" "), F.coalesce(reason, F.lit(""))))
+    seen = F.coalesce(F.concat(F.lit(" So far it looks like '"), F.nullif(guess, F.lit("")), F.lit("'.")), F.lit(""))
+    asked = F.concat(F.lit("Which "), field, F.lit(" holds for "), name, F.lit(" ("), group, F.lit(")?"))
+    return F.trim(F.concat(asked, seen, F.lit(" "), F.coalesce(reason, F.lit(""))))
 
 
 def build_questions(decisions: DataFrame, options: dict[str, tuple[str, ...] | str]) -> DataFrame:
@@ -32,8 +32,8 @@ def build_questions(decisions: DataFrame, options: dict[str, tuple[str, ...] | s
             choices, kind = F.when(mine, " | ".join(sorted(takes))).otherwise(choices), F.when(mine, "enum").otherwise(kind)
         elif takes == "list":
             kind = F.when(mine, "list").otherwise(kind)
-    why = F.lit("Evidence remains in conflict.")
-    reopened = F.concat(F.lit("Reopened: new evidence conflicts with an answer given before. "), why)
+    why = F.lit("The documents leave it open.")
+    reopened = F.concat(F.lit("Asked again, since documents now say otherwise. "), why)
     group = F.col("group_id").cast("string")
     return decisions.where("resolution <> 'resolved'").select(
         "question_id", "group_id", "field",
@@ -133,15 +133,15 @@ def folder_records(documents: DataFrame, identity: DataFrame, order: str) -> Dat
     )
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))
     quoted = documents.where(kept).withColumn("_n", place).where((F.col("_n") <= MOST_QUOTED) & (short != ""))
-    line = F.concat(F.lit("**"), "file_name_original", F.lit("**: "), F.left(short, F.lit(EXCERPT)))
+    line = F.concat(F.lit("**"), "file_name_original", F.lit("**: "), short)
     details = quoted.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("summary_detailed")
     )
     roles = A.counter_map(documents, key, "document_role").withColumnRenamed("counts", "roles")
     out = identity.drop("document_count").join(counts.hint("shuffle_hash"), key).join(details.hint("shuffle_hash"), key, "left").join(roles.hint("shuffle_hash"), key)
     sentence = F.concat(
-        F.lit("This folder holds "), F.col("n_included").cast("string"), F.lit(" included document(s) of the "), "program", F.lit(" proposal '"),
-        "proposal_name", F.lit("' to "), "agency", F.lit(". Status: "), "status", F.lit("."),
+        "proposal_name", F.lit(": "), "program", F.lit(" application to "), "agency", F.lit(", "), "status", F.lit("; documents kept: "),
+        F.col("n_included").cast("string"),
     )
     return out.withColumn("summary_sentence", sentence).withColumn("summary_detailed", F.coalesce("summary_detailed", F.lit("")))
 
@@ -217,10 +217,8 @@ def run_manifest(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").agg(F.max(F.struct("seq", *rest)).alias("r")).select("run_id", "r.*")
 
 
-def request_packets(documents: DataFrame, identity: DataFrame, order: str, most: int = 20) -> DataFrame:
-    """The request on a group as JSON: its identity and up to `most` documents in order, a budget of one request."""
-    place = F.row_number().over(Window.partitionBy("proposal_id").orderBy(order))
-    some = documents.withColumn("_n", place).where(F.col("_n") <= most)
-    parts = some.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("_n", "document_id", "document_role", "version_status"))).alias("d"))
+def request_packets(documents: DataFrame, identity: DataFrame, order: str) -> DataFrame:
+    """The request on a group as JSON: its identity and all its documents in order."""
+    parts = documents.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_n"), "document_id", "document_role"))).alias("d"))
     body = F.struct("proposal_name", "status", F.transform("d", lambda x: F.struct(x["document_id"].alias("document_id"), x["document_role"].alias("role"))).alias("documents"))
-    return identity.join(parts.hint("shuffle_hash"), "proposal_id").select("proposal_id", F.to_json(body).alias("payload"))
+    return identity.join(parts.hint("merge"), "proposal_id").select("proposal_id", F.to_json(body).alias("payload"))

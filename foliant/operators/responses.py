@@ -159,6 +159,7 @@ def first_text(item: Column) -> Column:
     return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
 
 
+# Keys under which responses name partners and list items, in order of preference.
 PARTNER_KEYS = ("name", "organization", "partner_name", "institution", "company")
 ITEM_KEYS = ("milestone", "deliverable", "risk", "name", "title", "description", "date")
 

@@ -151,9 +151,9 @@ an1 AS (SELECT CASE WHEN h2 % 11 = 0 THEN 'doc_missing' ELSE document_id END AS
     ['open', 'skipped', 'open'][doc_id % 3 + 1] AS st, doc_id AS seq FROM an0),
 an2 AS (SELECT *, a = '' OR st = 'skipped' AS skip, CASE field WHEN 'include_in_clean_set' THEN CASE WHEN lower(a) IN ('true', 'yes', 'y', '1') THEN 'true' WHEN lower(a) IN ('false', 'no', 'n', '0') THEN 'false' END
     {" ".join(f"WHEN '{f}' THEN CASE WHEN a IN {G._in(v)} THEN a END" for f, v in _ALLOWED.items())} WHEN 'canonical_proposal_name' THEN a END AS value FROM an1),
-an3 AS (SELECT *, CASE WHEN skip THEN NULL WHEN document_id NOT IN (SELECT document_id FROM docs) THEN 'metadata for document_id was not found'
-    WHEN field = 'secret_field' THEN 'field is not allowed: secret_field' WHEN value IS NOT NULL THEN NULL
-    WHEN field = 'include_in_clean_set' THEN 'Invalid boolean answer: ' || a ELSE 'Invalid ' || field || ': ' || a END AS error FROM an2),
+an3 AS (SELECT *, CASE WHEN skip THEN NULL WHEN document_id NOT IN (SELECT document_id FROM docs) THEN 'no such document'
+    WHEN field = 'secret_field' THEN 'no answers are taken for this field: secret_field' WHEN value IS NOT NULL THEN NULL
+    WHEN field = 'include_in_clean_set' THEN 'neither yes nor no: ' || a ELSE 'no value of ' || field || ': ' || a END AS error FROM an2),
 an4 AS (SELECT *, CASE WHEN skip THEN 'skipped' WHEN error IS NULL THEN 'applied' ELSE 'invalid' END AS state FROM an3),
 last AS (SELECT document_id, {", ".join(f"arg_max(value, seq) FILTER (field = '{f}') AS new_{f}" for f in ANSWERED)} FROM an4 WHERE state = 'applied' GROUP BY 1)
 """
@@ -241,11 +241,11 @@ GROUP_ANSWERS = f"""{LABELLED}, own AS (SELECT proposal_id, {", ".join(f"min({f}
 ga0 AS (SELECT *, {X._list(_FACT_FIELDS)}[(h // 4) % 5 + 1] AS gf, lower(trim(string_split({X._list(_FACT_FIELDS)}[(h // 4) % 5 + 1], '.')[-1])) AS fk, h2 % 7 = 0 AS choice FROM docs WHERE h % 4 = 0),
 ga1 AS (SELECT CASE WHEN h2 % 13 = 1 THEN 'p_missing' ELSE proposal_id END AS proposal_id, fk, trim(gf) AS gf, choice, document_id, doc_id AS seq, doc_id % 4 = 1 AS skip,
     CASE WHEN choice THEN CASE WHEN h2 % 2 = 0 THEN document_id ELSE 'doc_other' END ELSE CASE fk {_FACT_GIVEN} ELSE 'word' END END AS a FROM ga0),
-ga2 AS (SELECT *, CASE WHEN skip THEN NULL WHEN proposal_id IS NULL OR proposal_id NOT IN (SELECT proposal_id FROM own WHERE proposal_id IS NOT NULL) THEN 'metadata for proposal_id was not found'
-    WHEN gf = '' THEN 'field is required for proposal-scoped answers'
-    WHEN choice THEN CASE WHEN a = 'doc_other' THEN 'Answer must be one of the affected document IDs: ' || document_id || ', doc_unknown' END
-    WHEN fk = 'nickname' THEN 'Proposal field is not allowed: nickname'
-    {" ".join(f"WHEN fk = '{f}' AND a NOT IN {G._in(v)} THEN 'Invalid {f}: ' || a" for f, v in _FACT_ALLOWED.items())} END AS error FROM ga1),
+ga2 AS (SELECT *, CASE WHEN skip THEN NULL WHEN proposal_id IS NULL OR proposal_id NOT IN (SELECT proposal_id FROM own WHERE proposal_id IS NOT NULL) THEN 'no such group'
+    WHEN gf = '' THEN 'the answer names no field'
+    WHEN choice THEN CASE WHEN a = 'doc_other' THEN 'not among the documents asked about: ' || document_id || ', doc_unknown' END
+    WHEN fk = 'nickname' THEN 'groups take no answers for: nickname'
+    {" ".join(f"WHEN fk = '{f}' AND a NOT IN {G._in(v)} THEN 'no value of {f}: ' || a" for f, v in _FACT_ALLOWED.items())} END AS error FROM ga1),
 ga3 AS (SELECT *, CASE WHEN skip THEN 'skipped' WHEN error IS NULL THEN 'applied' ELSE 'invalid' END AS state FROM ga2),
 facts AS (SELECT *, lag(a) OVER (PARTITION BY proposal_id, fk ORDER BY seq) AS before FROM ga3 WHERE state = 'applied' AND NOT choice)
 """
@@ -302,7 +302,7 @@ def clear_uncertainties(spark, sf):
 
 
 def _asked(guess: str) -> str:
-    return f"trim('For ''Group ' || group_id || ''' (' || group_id || '), what is the correct value for ''' || field || '''?' || coalesce(' Current best guess: ''' || nullif({guess}, '') || '''.', '') || ' ')"
+    return f"trim('Which ' || field || ' holds for Group ' || group_id || ' (' || group_id || ')?' || coalesce(' So far it looks like ''' || nullif({guess}, '') || '''.', '') || ' ')"
 
 
 @query(
@@ -310,7 +310,7 @@ def _asked(guess: str) -> str:
     f"""{DECIDED}, {OVERRIDES}, r AS (SELECT dec.*, applied_value FROM dec LEFT JOIN ovr USING (group_id, field_key))
         SELECT question_id, group_id, field, {_asked("guess")} AS question, ['low', 'medium', 'high', 'critical'][impact + 1] AS priority,
             CASE WHEN field_key = 'view' THEN 'a | b' END AS suggested_options, CASE field_key WHEN 'view' THEN 'enum' WHEN 'click' THEN 'list' ELSE 'string' END AS answer_type,
-            CASE WHEN applied_value IS NOT NULL THEN 'Reopened: new evidence conflicts with an answer given before. ' ELSE '' END || 'Evidence remains in conflict.' AS why
+            CASE WHEN applied_value IS NOT NULL THEN 'Asked again, since documents now say otherwise. ' ELSE '' END || 'The documents leave it open.' AS why
         FROM r WHERE applied_value IS NULL OR NOT (guess IS NULL OR guess = applied_value)""",
 )
 def build_questions(spark, sf):
@@ -404,10 +404,10 @@ def document_manifest(spark, sf):
 FOLDERS = f"""{IDENTITY}, dc AS (SELECT proposal_id, count(*) AS n_documents, count(*) FILTER (keep) AS n_included, count(*) FILTER (personal) AS n_review,
     count(*) FILTER (personal OR budget) AS n_sensitive FROM docs GROUP BY 1),
 qd AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY ord) AS n FROM docs WHERE keep),
-ql AS (SELECT proposal_id, string_agg('**' || file_name_original || '**: ' || left(trim(summary_short), 500), chr(10) || chr(10) ORDER BY n) AS summary_detailed
+ql AS (SELECT proposal_id, string_agg('**' || file_name_original || '**: ' || trim(summary_short), chr(10) || chr(10) ORDER BY n) AS summary_detailed
     FROM qd WHERE n <= 5 AND trim(summary_short) <> '' GROUP BY 1),
 ro AS (SELECT proposal_id, string_agg('- ' || document_role || ': ' || n, chr(10) ORDER BY document_role) AS roles FROM (SELECT proposal_id, document_role, count(*) AS n FROM docs GROUP BY ALL) GROUP BY 1),
-folders AS (SELECT *, 'This folder holds ' || n_included || ' included document(s) of the ' || program || ' proposal ''' || proposal_name || ''' to ' || agency || '. Status: ' || status || '.' AS summary_sentence
+folders AS (SELECT *, proposal_name || ': ' || program || ' application to ' || agency || ', ' || status || '; documents kept: ' || n_included AS summary_sentence
     FROM ident JOIN dc USING (proposal_id) LEFT JOIN ql USING (proposal_id) JOIN ro USING (proposal_id))
 """
 
@@ -482,7 +482,7 @@ def stage_counts(spark, sf):
 @query(
     "request_packets",
     f"""{IDENTITY}, n AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY ord) AS n FROM docs),
-        p AS (SELECT proposal_id, '[' || string_agg('{{"document_id":"' || document_id || '","role":"' || document_role || '"}}', ',' ORDER BY n) || ']' AS d FROM n WHERE n <= 20 GROUP BY 1)
+        p AS (SELECT proposal_id, '[' || string_agg('{{"document_id":"' || document_id || '","role":"' || document_role || '"}}', ',' ORDER BY n) || ']' AS d FROM n GROUP BY 1)
         SELECT proposal_id, '{{"proposal_name":"' || proposal_name || '","status":"' || status || '","documents":' || d || '}}' AS payload FROM ident JOIN p USING (proposal_id)""",
 )
 def request_packets(spark, sf):
@@ -534,19 +534,32 @@ def fold_legacy_questions(spark, sf):
     return found.select("doc_id", "u.field", "u.current_guess", "u.confidence", "u.downstream_impact", "u.reason_unresolved")
 
 
-@query("inject_system_fields", f"{INV} SELECT doc_id, document_id, sha256 FROM inventory")
+@query("inject_system_fields", f"{INV} SELECT doc_id, document_id, sha256, proposal_id FROM inventory WHERE sha256[1:1] <> '7'")
 def inject_system_fields(spark, sf):
-    return R.system_fields(forms(spark, sf), X.inventory(spark, sf), ("document_id", "sha256")).select("doc_id", "document_id", "sha256")
+    """Responses that name their document rightly, wrongly or not at all, that are missing, or are about no document."""
+    inv, first = X.inventory(spark, sf), F.substring("sha256", 1, 1)
+    said = F.when(first < "4", F.col("document_id")).when(first < "c", "made up")
+    about = F.when(first == "7", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    responses = inv.select(about.alias("doc_id"), said.alias("document_id"), F.reverse("sha256").alias("sha256"), F.lit("none").alias("proposal_id"))
+    return R.system_fields(responses, inv, ("document_id", "sha256", "proposal_id")).select("doc_id", "document_id", "sha256", "proposal_id")
 
 
 @query(
     "closed_record",
-    "SELECT doc_id, 'required,closed' AS broken FROM documents",
+    """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
+        SELECT doc_id, concat_ws(',', CASE WHEN h[1:1] < '6' OR h[2:2] < '4' THEN 'required' END, CASE WHEN h[3:3] < '5' THEN 'closed' END) AS broken FROM h""",
 )
 def closed_record(spark, sf):
-    body = F.col("body")
-    checks = R.closed_record(body, ("document_id", "proposal_context", "content", "uncertainties"), ("document_id", "schema_version"))
-    return R.with_violations(forms(spark, sf), checks).select("doc_id", F.array_join("violations", ",").alias("broken"))
+    """Records that lack a field they must have, or have one they may not, by the hash of the whole text."""
+    digit = lambda i: F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), i, 1)
+    body = F.to_json(
+        F.struct(
+            F.when(digit(1) >= "6", F.col("doc_id").cast("string")).alias("document_id"), F.when(digit(2) >= "4", "1").alias("schema_version"),
+            F.when(digit(4) < "8", F.col("text")).alias("content"), F.when(digit(3) < "5", F.col("doc_id")).alias("extra"),
+        )
+    )
+    checks = R.closed_record(F.col("body"), ("document_id", "schema_version", "content", "uncertainties"), ("document_id", "schema_version"))
+    return R.with_violations(X.table(spark, sf, "documents").withColumn("body", body), checks).select("doc_id", F.array_join("violations", ",").alias("broken"))
 
 
 @query(

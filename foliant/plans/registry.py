@@ -143,7 +143,7 @@ def duplicate_groups(spark, sf):
         FROM inventory GROUP BY document_id""",
 )
 def dedup_content(spark, sf):
-    return I.dedup_content(X.inventory(spark, sf)).select("document_id", "doc_id", "relative_path")
+    return I.dedup_content(X.inventory(spark, sf).drop("summary_short", "summary_detailed")).select("document_id", "doc_id", "relative_path")
 
 
 DECKS = r"""
@@ -588,6 +588,7 @@ def usage_per_day(spark, sf):
 
 def queries() -> dict:
     import foliant.plans.records  # noqa: F401  (adds its queries, as does review, which it imports)
+    import foliant.plans.folders  # noqa: F401
     import foliant.plans.runs  # noqa: F401
     import foliant.plans.scoring  # noqa: F401
 

@@ -56,6 +56,42 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_policies(spark: SparkSession, path: str) -> DataFrame:
+    """Standing policies (id, statement) of JSON files that hold one, or a list of them under `policies`. Ids are unique."""
+    form = "policies array<struct<id:string,statement:string>>, id string, statement string"
+    rows = spark.read.schema(form).option("multiLine", True).json(path)
+    alone = F.when(F.col("id").isNotNull(), F.array(F.struct("id", "statement")))
+    out = rows.select(F.explode(F.coalesce("policies", alone)).alias("p")).select("p.*")
+    twice = out.groupBy("id").agg(F.count("*").alias("n"), F.count("statement").alias("m")).where("id is null or n > 1 or m = 0").first()
+    if twice:
+        raise ValueError(f"a policy has no id or statement, or its id twice: {twice['id']}")
+    return out
+
+
+EXPECTED = (
+    "proposal_branch string, status string, award_status string, agency string, program string, document_count int, max_question_count int, "
+    "authoritative_document_roles array<string>, excluded_from_rag_document_roles array<string>"
+)
+
+
+def read_expected_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What runs should come to: one JSON object a file. A file that doesn't name its group is an error."""
+    rows = spark.read.schema(EXPECTED).option("multiLine", True).option("mode", "FAILFAST").json(folder)
+    if rows.where("proposal_branch is null").first():
+        raise ValueError("an expected outcome names no proposal_branch")
+    return rows
+
+
+def read_documents_by_id(spark: SparkSession, path: str, ids: DataFrame, key: str = "document_id", bound: int = 100_000) -> DataFrame:
+    """Rows of a Parquet table of documents whose id is asked for. A list that is counted small goes to the scan, where row
+    groups without any of the ids are skipped; a longer one is joined."""
+    rows, wanted = spark.read.parquet(path), ids.select(key).distinct()
+    few = wanted.limit(bound + 1).collect() if bound else []
+    if len(few) <= min(bound, 1000):
+        return rows.where(F.col(key).isin(*(r[0] for r in few)) if few else F.lit(False))
+    return rows.join(F.broadcast(wanted) if len(few) <= bound else wanted.hint("merge"), key, "left_semi")
+
+
 def tracker_headers(names: Sequence[str], aliases: dict[str, str]) -> list[str]:
     """Canonical column names: lower-case words joined by underscores, known aliases replaced, repeats numbered, blank
     ones called column."""
