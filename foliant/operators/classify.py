@@ -54,6 +54,43 @@ def classify_documents(inventory: DataFrame) -> DataFrame:
     return out.withColumns({"rag_priority": priority, "manual_review_required": F.col("contains_personal_info")})
 
 
+# How sure the rules are of what they don't read from a name, and of what follows from it.
+UNSURE, FAIRLY_SURE = 0.30, 0.45
+UNSURE_OF = ("origin_type", "version_status", "agency", "program", "status", "award_status")
+FAIRLY_SURE_OF = ("canonical_proposal_name", "include_in_clean_set", "include_in_future_rag", "rag_priority")
+#: Note on records that rules made, not a model.
+BY_RULES = "generated_by: rules"
+
+
+def version_evidence(stem: Column) -> Column:
+    """The word of a file name that its version follows from: of the first rule that fits its first word."""
+    lower, out = F.lower(stem), F.lit("The file name has no word for a version.")
+    for words, _ in reversed(rules.VERSION_RULES):
+        for word in reversed(words):
+            out = F.when(lower.contains(word), f"The file name has '{word}'.").otherwise(out)
+    return out
+
+
+def with_records(classified: DataFrame) -> DataFrame:
+    """Classified files (with eligible_for_processing) as whole records: the confidences of all values, what the version
+    follows from, inclusion with its reasons, identity as far as paths tell it."""
+    eligible, sensitive = F.col("eligible_for_processing"), F.col("rag_priority") == "exclude"
+    blank = lambda kind: F.lit(None).cast(kind)
+    return classified.withColumns(
+        {f"{c}_confidence": F.lit(UNSURE) for c in UNSURE_OF} | {f"{c}_confidence": F.lit(FAIRLY_SURE) for c in FAIRLY_SURE_OF}
+        | {
+            "document_category_confidence": F.col("category_confidence"), "document_role_confidence": F.col("role_confidence"),
+            "draft_or_final_evidence": version_evidence(F.col("stem")), "canonical_document_title": F.col("stem"), "language": F.lit("unknown"),
+            "canonical_proposal_name": F.col("proposal_branch"), "status": F.lit("unknown"), "award_status": F.lit("unknown"),
+            "submission_date": blank("string"), "lead_organization": blank("string"), "partners": F.array().cast("array<string>"),
+            "include_in_clean_set": eligible, "include_in_future_rag": eligible & ~sensitive,
+            "include_reason": F.when(eligible, "Files of this kind are processed."), "exclude_reason": F.when(~eligible, "Files of this kind are not processed."),
+            "manual_review_reasons": F.array_compact(F.array(F.when(F.col("contains_personal_info"), "personal information"))),
+            "uncertainties": F.array().cast("array<string>"), "processing_notes": F.array(F.lit(BY_RULES)),
+        }
+    )
+
+
 def authority_rank() -> Column:
     """Superseded, then final or submitted, then left out of both sets, then supporting."""
     return (

@@ -15,6 +15,7 @@ from foliant.operators import rule_tables as U
 from foliant.operators import scoring as S
 from foliant.operators import second_pass as Z
 from foliant.operators import tracker as M
+from foliant.plans import run
 from foliant.sources import tables
 from foliant.streaming import jobs
 
@@ -294,3 +295,85 @@ def test_profiles_of_sheets(spark):
     files = spark.createDataFrame([("1",), ("9",)], "w string")
     assert {r.w: (r.sheets, r.cells) for r in profiles.with_workbook_stats(files, profiles.workbook_stats(cells), "w").collect()} == {"1": (2, 4), "9": (-1, -1)}
     assert R.failures  # the dead letters of plain responses stay beside those of the seam
+
+
+def archive(spark, n):
+    rows = []
+    for i in range(n):
+        group, name = f"2024 NASA SBIR Project {i % 3}", ("Technical Volume final", "Budget", "Notes draft", "Biosketch")[i % 4]
+        rows.append((i, f"doc_{i:03}", f"{i:02x}" * 32, f"prop_{i % 3}", "2024", group, f"2024/{group}/{name} {i}.txt", f"{name} {i}.txt", f"{name} {i}", ".txt", 10, f"s{i:03}", f"text {i}", f"text {i}"))
+    rows.append((n, "doc_hidden", "ff" * 32, "prop_0", "2024", "2024 NASA SBIR Project 0", "2024/2024 NASA SBIR Project 0/.x.txt", ".x.txt", ".x", ".txt", 1, "s", "t", "t"))
+    schema = (
+        "doc_id long, document_id string, sha256 string, proposal_id string, year_folder string, proposal_branch string, relative_path string, "
+        "file_name_original string, stem string, extension string, size_bytes long, scan_ord string, summary_short string, summary_detailed string"
+    )
+    fields = "row_id string, proposal_name string, submission_date string, selection_notification_date string, award_date string, status string, award_status string, result string"
+    return spark.createDataFrame(rows, schema), spark.createDataFrame([("r1", "2024 NASA SBIR Project 1", "2024-03-01", None, None, "submitted", "selected", None)], fields)
+
+
+def test_a_run_goes_on_where_the_last_one_ended(spark, tmp_path):
+    inventory, tracker = archive(spark, 24)
+    home, asked = str(tmp_path / "home"), tmp_path / "asked"
+
+    def scorer(pdf):
+        for d in pdf["document_id"]:
+            asked.open("a").write(f"{d}\n")
+        if (pdf["document_id"] == "doc_005").any():
+            raise RuntimeError("down")
+        return pd.DataFrame({"raw_text": [GOOD] * len(pdf), "input_tokens": 1, "output_tokens": 1})
+
+    dry = run.run_archive(inventory, tracker, home, "r0", dry_run=True)
+    assert dry["pending"].count() == 24 and not (tmp_path / "home").exists()
+    first = run.run_archive(inventory, tracker, home, "r1", scorer, limit=10)
+    assert first["documents"].count() == 9 and {r.document_category for r in first["documents"].collect()} == {"budget_financial"}
+    once = asked.read_text().split()
+    second = run.run_archive(inventory, tracker, home, "r2", scorer, scope=F.col("proposal_id") != "prop_2")
+    later = set(asked.read_text().split()[len(once) :])
+    assert later == {f"doc_{i:03}" for i in range(24) if i % 3 != 2 and i >= 10} and second["documents"].count() == 9 + len(later)
+    audit = {r.run_id: (r.status, r.mode, r.counts["documents"]) for r in tables.read_run_manifest(spark, f"{home}/audit").collect()}
+    assert audit == {"r1": ("done", "full", 9), "r2": ("done", "resumed", 9 + len(later))}
+    assert [r.document_id for r in tables.read_run(spark, f"{home}/failures", "r1").collect()] == ["doc_005"]
+    before = spark.read.parquet(f"{home}/manifest").where("run_id = 'r1'").count()
+    run.run_archive(inventory, tracker, home, "r1", scorer, limit=10)  # again: nothing is doubled, other runs stay
+    assert spark.read.parquet(f"{home}/documents").groupBy("run_id", "document_id").count().where("count > 1").count() == 0
+    assert before > 0 and spark.read.parquet(f"{home}/documents").where("run_id = 'r2'").count() == len(later)
+
+
+def test_a_run_by_rules_with_review_answers_and_gate(spark, tmp_path):
+    inventory, tracker = archive(spark, 12)
+    said = spark.createDataFrame([("doc_001", "include_in_clean_set", "no", "open", 1), ("doc_000", "status", "won", "open", 2)], "document_id string, field string, user_answer string, status string, seq long")
+    look = lambda rows: rows.withColumns({"agency": F.lit("NSF"), "agency_confidence": F.lit(0.9), "processing_notes": F.array(F.lit("looked again"))})
+    out = run.run_archive(inventory, tracker, str(tmp_path / "home"), "r1", review=look, answers=said)
+    docs = {r.document_id: r for r in out["documents"].collect()}
+    assert len(docs) == 12 and {d.agency for d in docs.values()} == {"NSF"} and not docs["doc_001"].include_in_clean_set
+    assert docs["doc_000"].draft_or_final_evidence == "The file name has 'final'." and docs["doc_001"].version_status_confidence == 0.3
+    states = {(r.document_id, r.state) for r in tables.read_run(spark, str(tmp_path / "home/answers")).collect()}
+    assert states == {("doc_001", "applied"), ("doc_000", "invalid")}
+    assert {r.field_path for r in tables.read_run(spark, str(tmp_path / "home/changes")).collect()} >= {"agency"}
+    matched = {r.proposal_id: r.match_status for r in out["proposals"].collect()}
+    assert matched["prop_1"] == "matched" and out["manifest"].where("object_type = 'proposal_record'").count() == 3
+    with pytest.raises(RuntimeError):
+        from foliant.operators import records as K
+
+        K.critical_gate(out["questions"].limit(0).unionByName(spark.createDataFrame([("q",)], "question_id string"), allowMissingColumns=True))
+
+
+def test_files_with_policies_and_outcomes(spark, tmp_path):
+    from foliant.sources import files as X
+
+    (tmp_path / "p.json").write_text(json.dumps({"policies": [{"id": "a", "statement": "A"}, {"id": "b", "statement": "B"}]}))
+    assert {r.id: r.statement for r in X.read_policies(spark, str(tmp_path / "p.json")).collect()} == {"a": "A", "b": "B"}
+    (tmp_path / "q.json").write_text(json.dumps({"policies": [{"id": "a", "statement": "A"}, {"id": "a", "statement": "B"}]}))
+    with pytest.raises(ValueError):
+        X.read_policies(spark, str(tmp_path / "q.json"))
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "one.json").write_text(json.dumps({"proposal_branch": "B", "document_count": 3, "authoritative_document_roles": ["x"]}, indent=1))
+    (row,) = X.read_expected_outcomes(spark, str(tmp_path / "e")).collect()
+    assert (row.proposal_branch, row.document_count, row.status, row.authoritative_document_roles) == ("B", 3, None, ["x"])
+    (tmp_path / "e" / "two.json").write_text("{}")
+    with pytest.raises(ValueError):
+        X.read_expected_outcomes(spark, str(tmp_path / "e"))
+    spark.range(5000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("document_id")).write.parquet(str(tmp_path / "docs"))
+    ids = spark.range(4000, 5500).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("document_id"))
+    for some, bound, n in ((ids.limit(3), 100_000, 3), (ids, 100_000, 1000), (ids, 10, 1000), (ids.limit(0), 10, 0)):
+        assert X.read_documents_by_id(spark, str(tmp_path / "docs"), some, bound=bound).count() == n
