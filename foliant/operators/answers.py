@@ -20,6 +20,26 @@ FIELDS: dict[str, tuple[str, ...] | str] = {
     "manual_review_reasons": "list", "partners": "list", "award_amount": "number", "canonical_proposal_name": "text",
     "award_status": "text", "lead_organization": "text", "submission_date": "text",
 }
+# Fields of a document that answers may set, by where its record holds them.
+PATHS = {
+    "proposal_context": (
+        "canonical_proposal_name", "proposal_short_name", "agency", "agency_subunit", "program", "phase", "topic_number", "topic_title",
+        "solicitation_number", "status", "award_status",
+    ),
+    "document_identity": ("document_category", "document_role", "origin_type", "version_status"),
+    "inclusion": ("include_in_clean_set", "include_in_future_rag", "rag_priority"),
+    "opportunity_treatment": ("recommended_rag_treatment",),
+    "sensitivity": ("sensitivity_labels", "manual_review_required", "manual_review_reasons"),
+    "": ("operator_notes",),
+}
+DOCUMENT_PATHS = {f: ".".join(filter(None, (at, f))) for at, fields in PATHS.items() for f in fields}
+#: What each of them takes; the field of an answer about a slide deck, which needs no record.
+DOCUMENT_FIELDS: dict[str, tuple[str, ...] | str] = {f: FIELDS.get(f, "text") for f in DOCUMENT_PATHS} | {
+    "document_role": rules.ROLES, "origin_type": rules.ORIGINS, "recommended_rag_treatment": (*rules.TREATMENTS, "manual_review"), "sensitivity_labels": "list",
+}
+DECK_FIELD = "needs_powerpoint_processing"
+#: Why answers are refused that would leave a record without a reason.
+NO_REASON = "the record would say no reason for its inclusion"
 CLOSED = ("skipped", "applied", "skip")
 
 
@@ -95,6 +115,71 @@ def apply_document_answers(documents: DataFrame, answers: DataFrame, fields: Seq
     return apply_values(documents, "document_id", applied, "seq", fields), checked
 
 
+def settled_inclusion(documents: DataFrame, answers: DataFrame) -> DataFrame:
+    """(document_id, seq) of inclusion answers that can't be taken: one by one in order, an answer must leave the record with a
+    reason for being included or for not being so, else it is passed over. The steps of a document are those people answered
+    about it."""
+    steps = answers.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", (F.col("field") == "include_in_clean_set").alias("clean"), (F.col("value") == "true").alias("yes")))).alias("steps")
+    )
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    own = documents.groupBy("document_id").agg(
+        F.min(F.struct(F.coalesce("include_in_clean_set", F.lit(False)).alias("clean"), F.coalesce("include_in_future_rag", F.lit(False)).alias("rag"),
+                       given("include_reason").alias("why"), given("exclude_reason").alias("why_not"))).alias("r")
+    )
+    j = steps.join(own.hint("merge"), "document_id")
+    seqs = F.array().cast(f"array<{answers.schema['seq'].dataType.simpleString()}>")
+    start = F.struct(F.col("r.clean").alias("clean"), F.col("r.rag").alias("rag"), seqs.alias("bad"))
+
+    def step(state: Column, x: Column) -> Column:
+        clean, rag = F.when(x["clean"], x["yes"]).otherwise(state["clean"]), F.when(x["clean"], state["rag"]).otherwise(x["yes"])
+        fine = F.when(clean | rag, F.col("r.why")).otherwise(F.col("r.why_not"))
+        bad = F.when(fine, state["bad"]).otherwise(F.concat(state["bad"], F.array(x["seq"])))
+        keep = lambda new, old: F.when(fine, new).otherwise(old)
+        return F.struct(keep(clean, state["clean"]).alias("clean"), keep(rag, state["rag"]).alias("rag"), bad.alias("bad"))
+
+    return j.select("document_id", F.explode(F.aggregate("steps", start, step)["bad"]).alias("seq"))
+
+
+def apply_reviewed_answers(documents: DataFrame, answers: DataFrame, fields: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents after people's answers (question_id, document_id, field, user_answer, status, seq), all answers with state
+    and error, and answers about slide decks (question_id, document_id, needs_processing, seq), which need no document.
+
+    Any of DOCUMENT_FIELDS that documents have a column for may be set. An answer that would leave a record invalid is
+    invalid itself, and later ones go by the record without it; labels must be known ones."""
+    takes = {f: DOCUMENT_FIELDS[f] for f in fields or [f for f in DOCUMENT_FIELDS if f in documents.columns]}
+    known = documents.select("document_id").distinct().withColumn("_known", F.lit(True))
+    checked = with_values(answers, takes | {DECK_FIELD: "boolean"}).withColumn("field", F.trim("field")).join(known.hint("merge"), "document_id", "left")
+    deck, there = F.col("field") == DECK_FIELD, F.col("_known").isNotNull()
+    labels = F.col("field") == "sensitivity_labels"
+    strange = F.size(F.array_except(F.split("value", r"\|"), F.array(*map(F.lit, rules.SENSITIVITY_LABELS)))) > 0
+    error = (
+        F.when(F.col("state") == "skipped", None).when(deck & ~there, F.col("error")).when(~there, "no such document")
+        .when(deck, F.concat(F.lit("no answers are taken for this field: "), "field")).when(labels & F.col("error").isNull() & strange, "no known label")
+        .otherwise(F.col("error"))
+    )
+    checked = checked.withColumn("error", error)
+    open_ = (F.col("state") != "skipped") & F.col("error").isNull()
+    inclusion = checked.where(open_ & F.col("field").isin("include_in_clean_set", "include_in_future_rag"))
+    refused = settled_inclusion(documents, inclusion).withColumn("_refused", F.lit(True))
+    judged = checked.join(refused.hint("merge"), ["document_id", "seq"], "left")
+    judged = judged.withColumn("error", F.when(F.col("_refused") & open_ & F.col("field").startswith("include_in_"), NO_REASON).otherwise(F.col("error"))).withColumn(
+        "state", F.when(F.col("state") == "skipped", "skipped").when(F.col("error").isNotNull(), "invalid").otherwise("applied")
+    ).drop("_known", "_refused")
+    applied = judged.where("state = 'applied'")
+    decks = applied.where(F.col("field") == DECK_FIELD).select("question_id", "document_id", (F.col("value") == "true").alias("needs_processing"), "seq")
+    return apply_typed_values(documents, applied.where(F.col("field") != DECK_FIELD), list(takes)), judged, decks
+
+
+def apply_typed_values(documents: DataFrame, applied: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """As apply_values by document, for columns that hold lists too."""
+    lists = [f.name for f in documents.schema.fields if f.name in fields and f.dataType.simpleString().startswith("array")]
+    flat = documents.withColumns({c: F.array_join(c, "|") for c in lists}) if lists else documents
+    out = apply_values(flat, "document_id", applied, "seq", fields)
+    back = {c: F.when(F.length(c) > 0, F.split(c, r"\|")).otherwise(F.array().cast("array<string>")) for c in lists}
+    return out.withColumns(back) if lists else out
+
+
 def replay_overrides(documents: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Documents with a log of overrides (field, decision_type, affected_document_ids, applied_value, seq) replayed; choices
     of an authoritative document are not theirs to take."""

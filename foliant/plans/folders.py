@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant import rules
+from foliant.operators import answers as N
 from foliant.operators import classify as C
 from foliant.operators import clean_set as S
 from foliant.operators import folders as L
-from foliant.plans.registry import KEY_ROLES, LABELLED, NAMES, SAFE, _ORDER, documents, query
+from foliant.operators import inventory as I
+from foliant.plans.registry import DOCS, INV, KEY_ROLES, LABELLED, NAMES, SAFE, _ORDER, documents, query
 from foliant.plans.runs import TREATED, treated
 from foliant.sources import fixtures as X
 from foliant.sources import tables as T
@@ -149,3 +152,82 @@ def manifest_rows(spark, sf):
     groups = docs.select("proposal_id", "year_folder", "proposal_branch").distinct()
     out = S.manifest_rows(S.plan_clean_set(docs, flatten=False, require_clearance=False), treated(spark, sf), groups)
     return out.withColumn("sensitivity_labels", F.coalesce(F.array_join("sensitivity_labels", ","), F.lit("")))
+
+
+_EVIDENCE = " ".join(f"WHEN contains(lower(stem), '{w}') THEN 'The file name has \'\'{w}\'\'.'" for words, _ in rules.VERSION_RULES for w in words).replace("\\'", "'")
+RECORD = (*C.UNSURE_OF, *C.FAIRLY_SURE_OF)
+
+
+@query(
+    "classify_records",
+    f"""{INV}, {DOCS}, e AS (SELECT *, extension IN ('.pdf', '.docx', '.doc', '.csv', '.txt', '.md', '.xlsx', '.xls') AS eligible FROM d4)
+        SELECT doc_id, category_confidence AS document_category_confidence, role_confidence AS document_role_confidence,
+            {", ".join(f"CAST({0.3 if c in C.UNSURE_OF else 0.45} AS DOUBLE) AS {c}_confidence" for c in RECORD)},
+            CASE {_EVIDENCE} ELSE 'The file name has no word for a version.' END AS draft_or_final_evidence, eligible AS include_in_clean_set,
+            eligible AND rag_priority <> 'exclude' AS include_in_future_rag, CASE WHEN eligible THEN 'Files of this kind are processed.' END AS include_reason,
+            CASE WHEN NOT eligible THEN 'Files of this kind are not processed.' END AS exclude_reason FROM e""",
+)
+def classify_records(spark, sf):
+    made = C.with_records(C.classify_documents(I.classify_files(X.inventory(spark, sf))))
+    return made.select(
+        "doc_id", "document_category_confidence", "document_role_confidence", *(f"{c}_confidence" for c in RECORD), "draft_or_final_evidence",
+        "include_in_clean_set", "include_in_future_rag", "include_reason", "exclude_reason",
+    )
+
+
+#: Fields that the answers below are about, with what they say of each.
+SAID = {
+    "include_in_clean_set": ("no", "yes", "perhaps"), "document_role": ("budget", "poem"), "origin_type": ("award", "mars"), "sensitivity_labels": ("internal|public", "secret", '["personal_info"]'),
+    "phase": ("Phase II",), "needs_powerpoint_processing": ("yes", "maybe"), "include_in_future_rag": ("yes", "no"), "recommended_rag_treatment": ("manual_review", "bin"),
+}
+_PICKED = " ".join(f"WHEN '{f}' THEN {X._list(v)}[h2 % {len(v)} + 1]" for f, v in SAID.items())
+REVIEWED = f"""{LABELLED},
+x0 AS (SELECT *, {X._list(tuple(SAID))}[h % 8 + 1] AS field, CASE WHEN h2 % 5 = 4 THEN 'doc_none' ELSE document_id END AS about FROM docs WHERE h % 3 <> 1),
+x1 AS (SELECT doc_id AS seq, about, document_id, field, CASE field {_PICKED} END AS a, h2 % 7 = 6 AS skip, keep, coalesce(include_reason, '') <> '' AS why, coalesce(exclude_reason, '') <> '' AS why_not FROM x0),
+x2 AS (SELECT *, CASE WHEN field IN ('include_in_clean_set', 'include_in_future_rag', 'needs_powerpoint_processing') THEN CASE a WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' END
+    WHEN field = 'document_role' AND a = 'poem' OR field = 'origin_type' AND a = 'mars' OR field = 'recommended_rag_treatment' AND a = 'bin' THEN NULL
+    WHEN a = '["personal_info"]' THEN 'personal_info' ELSE a END AS value FROM x1),
+x3 AS (SELECT *, CASE WHEN skip THEN NULL WHEN field = 'needs_powerpoint_processing' AND about = 'doc_none' THEN CASE WHEN value IS NULL THEN 'neither yes nor no: ' || a END
+    WHEN about = 'doc_none' THEN 'no such document' WHEN field = 'needs_powerpoint_processing' THEN 'no answers are taken for this field: ' || field
+    WHEN value IS NULL THEN CASE WHEN field = 'include_in_clean_set' THEN 'neither yes nor no: ' || a ELSE 'no value of ' || field || ': ' || a END
+    WHEN field = 'sensitivity_labels' AND a = 'secret' THEN 'no known label'
+    WHEN field = 'include_in_clean_set' THEN CASE WHEN NOT CASE WHEN a = 'yes' OR keep THEN why ELSE why_not END THEN '{N.NO_REASON}' END
+    WHEN field = 'include_in_future_rag' THEN CASE WHEN NOT CASE WHEN a = 'yes' OR keep THEN why ELSE why_not END THEN '{N.NO_REASON}' END END AS error FROM x2),
+x4 AS (SELECT *, CASE WHEN skip THEN 'skipped' WHEN error IS NULL THEN 'applied' ELSE 'invalid' END AS state FROM x3)
+"""
+
+
+def reviewed(spark, sf):
+    h, h2 = F.col("h"), F.col("h2")
+    docs = documents(spark, sf).withColumns({"phase": F.lit("Phase I"), "sensitivity_labels": F.array(F.lit("unknown")), "recommended_rag_treatment": F.lit("exclude")})
+    said = F.lit(None).cast("string")
+    for field, given in SAID.items():
+        said = F.when(F.col("field") == field, X.pick(given, h2 % len(given))).otherwise(said)
+    answers = docs.where("h % 3 <> 1").withColumn("field", X.pick(tuple(SAID), h % 8)).select(
+        F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question_id"), F.when(h2 % 5 == 4, "doc_none").otherwise(F.col("document_id")).alias("document_id"), "field",
+        said.alias("user_answer"), F.when(h2 % 7 == 6, "skipped").otherwise("open").alias("status"), F.col("doc_id").alias("seq"),
+    )
+    return N.apply_reviewed_answers(docs, answers)
+
+
+@query("reviewed_answers", f"{REVIEWED} SELECT seq, field, state, error FROM x4")
+def reviewed_answers(spark, sf):
+    return reviewed(spark, sf)[1].select("seq", "field", "state", "error")
+
+
+@query("deck_answers", f"{REVIEWED} SELECT seq, 'q' || seq AS question_id, value = 'true' AS needs_processing FROM x4 WHERE state = 'applied' AND field = 'needs_powerpoint_processing'")
+def deck_answers(spark, sf):
+    return reviewed(spark, sf)[2].select("seq", "question_id", "needs_processing")
+
+
+@query(
+    "reviewed_documents",
+    f"""{REVIEWED}, n AS (SELECT document_id, {", ".join(f"arg_max(value, seq) FILTER (field = '{f}') AS n_{f}" for f in SAID)} FROM x4 WHERE state = 'applied' AND about <> 'doc_none' GROUP BY 1)
+        SELECT doc_id, coalesce(n_include_in_clean_set = 'true', keep) AS include_in_clean_set, coalesce(n_include_in_future_rag = 'true', keep) AS include_in_future_rag,
+            coalesce(n_document_role, document_role) AS document_role, coalesce(n_origin_type, origin_type) AS origin_type, coalesce(n_phase, 'Phase I') AS phase,
+            coalesce(n_sensitivity_labels, 'unknown') AS labels, coalesce(n_recommended_rag_treatment, 'exclude') AS recommended_rag_treatment FROM docs LEFT JOIN n USING (document_id)""",
+)
+def reviewed_documents(spark, sf):
+    return reviewed(spark, sf)[0].select(
+        "doc_id", "include_in_clean_set", "include_in_future_rag", "document_role", "origin_type", "phase", F.array_join("sensitivity_labels", "|").alias("labels"), "recommended_rag_treatment"
+    )

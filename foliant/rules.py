@@ -126,3 +126,9 @@ STATUSES = ("drafted", "submitted", "selected", "awarded", "rejected", "pending"
 PRIORITIES = ("high", "medium", "low", "exclude")
 TREATMENTS = ("full_document", "summary_only", "metadata_only", "exclude")
 VERSIONS = ("final", "submitted_version", "draft", "working_version", "superseded", "template", "unknown")
+# All roles, origins and labels of documents.
+ROLES = tuple(dict.fromkeys([role for _, role in ROLE_RULES] + ["dfars_clauses", "tracker", "unknown"]))
+ORIGINS = ("source_opportunity", "generated_response", "post_submission_feedback", "award", "internal_reference", "unknown")
+SENSITIVITY_LABELS = (
+    "public", "internal", "confidential", "partner_confidential", "financial_sensitive", "export_control_review", "personal_info", "unknown",
+)
