@@ -126,6 +126,51 @@ def response_checks() -> dict[str, Column]:
     }
 
 
+#: Values of a response by path, with what they may be.
+ENUMS = {
+    "document_identity.document_category": rules.CATEGORIES, "document_identity.document_role": rules.ROLES, "document_identity.origin_type": rules.ORIGINS,
+    "document_identity.version_status": rules.VERSIONS, "opportunity_treatment.recommended_rag_treatment": (*rules.TREATMENTS, "manual_review"),
+    "inclusion.rag_priority": rules.PRIORITIES, "proposal_context.status": rules.STATUSES, "proposal_context.program": rules.PROGRAMS,
+}
+#: Values with a confidence each, and the longest title.
+SURE_OF = ("document_category", "document_role", "origin_type", "version_status", "rag_priority")
+LONGEST_TITLE = 500
+
+
+def canonical_fields(parsed: DataFrame) -> DataFrame:
+    """Adds value, a map by path of a response's values in their canonical spelling (absent ones are left out), sure, a map of
+    its confidences, and title."""
+    at = lambda path: F.get_json_object("body", f"$.{path}")
+    spelled = {p: program(at(p)) if p.endswith(".program") else alias(at(p), rules.RESPONSE_ALIASES.get(p, {})) for p in ENUMS}
+    pairs = F.array(*(F.when(c.isNotNull(), F.struct(F.lit(p).alias("k"), c.alias("v"))) for p, c in spelled.items()))
+    sure = F.array(*(F.when(at(f"confidence.{f}").isNotNull(), F.struct(F.lit(f).alias("k"), at(f"confidence.{f}").try_cast("double").alias("v"))) for f in SURE_OF))
+    return parsed.withColumns(
+        {
+            "value": F.map_from_entries(F.array_compact(pairs)), "sure": F.map_from_entries(F.array_compact(sure)),
+            "title": at("document_identity.canonical_document_title"),
+        }
+    )
+
+
+def record_checks() -> dict[str, Column]:
+    """Checks of canonical_fields: an object; every value there is one of its list; category and role are there; every
+    confidence is a number from 0 to 1, and the category has one; the title isn't blank or too long."""
+    given = lambda p: F.try_element_at("value", F.lit(p))
+    needed = ("document_identity.document_category", "document_identity.document_role")
+    out = {"object": F.col("body").isNotNull()}
+    for path, allowed in ENUMS.items():
+        held = given(path).isin(*allowed)
+        out[path] = F.coalesce(held, F.lit(False)) if path in needed else F.coalesce(held, F.lit(True))
+    for field in SURE_OF:
+        number = F.try_element_at("sure", F.lit(field))
+        there = F.coalesce(F.array_contains(F.map_keys("sure"), F.lit(field)), F.lit(False))
+        fine = F.coalesce(number.between(0, 1), F.lit(False))
+        out[f"confidence.{field}"] = fine if field == "document_category" else ~there | fine
+    title = F.trim("title")
+    out["title"] = title.isNull() | ((title != "") & (F.length(title) <= LONGEST_TITLE))
+    return out
+
+
 def validate(rows: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that hold all checks, and the others."""
     checked = with_violations(rows, checks)

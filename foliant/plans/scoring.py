@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant import rules
 from foliant.operators import inventory as I
+from foliant.operators import responses as R
 from foliant.operators import scoring as S
 from foliant.plans.registry import CLASSED, INV, query
 from foliant.sources import fixtures as X
@@ -112,3 +113,79 @@ def score_usage(spark, sf):
 )
 def score_failures(spark, sf):
     return scored(spark, sf).failures
+
+
+#: Spellings that the responses below give, by path; the last of each isn't a known one.
+SPELLED = {
+    "document_identity.document_category": ("budget", "Technical_Data", "technical_data", "poem"), "document_identity.document_role": ("Support Letter", "budget", "foa", "song"),
+    "document_identity.origin_type": ("generated", "award", "federal agency", "mars"), "document_identity.version_status": ("final", "draft", "template", "torn"),
+    "opportunity_treatment.recommended_rag_treatment": ("full text", "summary", "manual_review", "burn"), "inclusion.rag_priority": ("high", "medium", "low", "odd"),
+    "proposal_context.status": ("Pre-Submission", "in_progress", "awarded", "lost"), "proposal_context.program": ("SBIR Phase I", "sttr-2", "BAA", "lottery"),
+}
+#: What they stand for.
+MEANT = {
+    "document_identity.document_category": ("budget_financial", "Technical_Data", "technical_data", "poem"), "document_identity.document_role": ("letter_of_support", "budget", "foa", "song"),
+    "document_identity.origin_type": ("generated_response", "award", "source_opportunity", "mars"), "document_identity.version_status": ("final", "draft", "template", "torn"),
+    "opportunity_treatment.recommended_rag_treatment": ("full_document", "summary_only", "manual_review", "burn"), "inclusion.rag_priority": ("high", "medium", "low", "odd"),
+    "proposal_context.status": ("drafted", "active", "awarded", "lost"), "proposal_context.program": ("SBIR", "STTR", "BAA", "lottery"),
+}
+CONFIDENCES = ("0.5", "1", "1.5", '"much"')
+
+
+def answers_of(spark, sf):
+    """Responses of a model in many spellings, by the digits of the hash of each whole text; the text itself is the title of some."""
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
+    digit = lambda i: F.conv(F.substring(h, i, 1), 16, 10).cast("int")
+    groups: dict[str, list] = {}
+    for i, (path, given) in enumerate(SPELLED.items()):
+        head, field = path.split(".")
+        groups.setdefault(head, []).append(F.when(digit(i + 1) < 14, X.pick(given, digit(i + 1) % 4)).alias(field))
+    title = F.when(digit(20) < 8, F.coalesce("text", F.lit(""))).when(digit(20) < 10, " ")
+    groups["document_identity"].append(title.alias("canonical_document_title"))
+    sure = [F.when(digit(i + 10) < 12, X.pick(CONFIDENCES, digit(i + 10) % 4)).alias(f) for i, f in enumerate(R.SURE_OF)]
+    body = F.to_json(F.struct(*(F.struct(*fields).alias(head) for head, fields in groups.items())))
+    listed = F.concat_ws(", ", *(F.concat(F.lit(f'"{f}": '), c) for f, c in zip(R.SURE_OF, sure, strict=True)))
+    whole = F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(', "confidence": {'), listed, F.lit("}}"))
+    raw = F.when(digit(21) == 0, F.coalesce("text", F.lit(""))).when(digit(21) == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    return R.canonical_fields(R.parse_strict(X.table(spark, sf, "documents").select("doc_id", raw.alias("raw_text"))))
+
+
+def _d(i: int) -> str:
+    return f"CAST('0x' || h[{i}:{i}] AS INTEGER)"
+
+
+_VALUE = {p: f"CASE WHEN fine AND {_d(i + 1)} < 14 THEN {X._list(v)}[{_d(i + 1)} % 4 + 1] END" for i, (p, v) in enumerate(MEANT.items())}
+ANSWERED = f"""WITH a0 AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents), a1 AS (SELECT *, {_d(21)} <> 0 AS fine FROM a0)"""
+_NEEDED = ("document_identity.document_category", "document_identity.document_role")
+
+
+def _broken(path: str) -> str:
+    allowed = ", ".join(f"'{v}'" for v in R.ENUMS[path])
+    wrong = f"coalesce({_VALUE[path]} IN ({allowed}), {'false' if path in _NEEDED else 'true'})"
+    return f"CASE WHEN NOT {wrong} THEN '{path}' END"
+
+
+def _unsure(i: int, field: str) -> str:
+    there, good = f"(fine AND {_d(i + 10)} < 12)", f"(fine AND {_d(i + 10)} < 12 AND {_d(i + 10)} % 4 < 2)"
+    return f"CASE WHEN {f'NOT {good}' if field == 'document_category' else f'{there} AND NOT {good}'} THEN 'confidence.{field}' END"
+
+
+@query(
+    "canonical_fields",
+    f"""{ANSWERED} SELECT doc_id, {", ".join(f"{c} AS {p.split('.')[1]}" for p, c in _VALUE.items())}, {", ".join(
+        f"CASE WHEN fine AND {_d(i + 10)} < 12 AND {_d(i + 10)} % 4 < 3 THEN [0.5, 1.0, 1.5][{_d(i + 10)} % 4 + 1]::DOUBLE END AS {f}_confidence" for i, f in enumerate(R.SURE_OF))} FROM a1""",
+)
+def canonical_fields(spark, sf):
+    out = answers_of(spark, sf)
+    return out.select(
+        "doc_id", *(F.try_element_at("value", F.lit(p)).alias(p.split(".")[1]) for p in SPELLED), *(F.try_element_at("sure", F.lit(f)).alias(f"{f}_confidence") for f in R.SURE_OF)
+    )
+
+
+@query(
+    "record_violations",
+    f"""{ANSWERED} SELECT doc_id, concat_ws(',', CASE WHEN NOT fine THEN 'object' END, {", ".join(_broken(p) for p in R.ENUMS)}, {", ".join(_unsure(i, f) for i, f in enumerate(R.SURE_OF))},
+        CASE WHEN fine AND (({_d(20)} < 8 AND (trim(t, ' ') = '' OR length(trim(t, ' ')) > {R.LONGEST_TITLE})) OR {_d(20)} IN (8, 9)) THEN 'title' END) AS broken FROM a1""",
+)
+def record_violations(spark, sf):
+    return R.with_violations(answers_of(spark, sf), R.record_checks()).select("doc_id", F.array_join("violations", ",").alias("broken"))
