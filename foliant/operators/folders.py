@@ -116,3 +116,27 @@ def compare_outcomes(outcomes: DataFrame, roles: DataFrame, expected: DataFrame)
             fails(c, there & F.col(c).isNotNull() & (want != got), F.array_join(want, " "), F.array_join(got, " "))
     rows = j.select("proposal_branch", F.explode(F.array_compact(F.array(*tests))).alias("m"))
     return rows.select("proposal_branch", "m.check", "m.expected", "m.found")
+
+
+def folder_page(identity: DataFrame, documents: DataFrame, key_documents: DataFrame, ready: DataFrame) -> DataFrame:
+    """(proposal_id, page): a group on one Markdown page: who and what, a table of its documents by what became of them, its
+    key documents (with file_name_original), how it stands with the tracker, and what it is ready for."""
+    key, kept, review = "proposal_id", F.coalesce("include_in_clean_set", F.lit(False)), F.coalesce("manual_review_required", F.lit(False))
+    counts = documents.groupBy(key).agg(
+        F.count_if(kept).alias("_kept"), F.count_if(~kept & ~review).alias("_out"), F.count_if(review).alias("_review"), F.count("*").alias("_all")
+    )
+    line = F.concat(F.lit("- "), "document_role", F.lit(": "), "file_name_original", F.when(F.col("included"), "").otherwise(" (left out)"))
+    keys = key_documents.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key_rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("_keys"))
+    j = identity.join(counts.hint("merge"), key).join(keys.hint("merge"), key, "left").join(ready.hint("merge"), key, "left")
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    yes = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "yes").otherwise("no")
+    differs = F.array_join(F.transform("disagreements", lambda d: d["field"]), ", ")
+    sections = (
+        put("# ", F.col("proposal_name")), put(F.col("agency"), " / ", F.col("program"), " / ", F.col("status"), " / ", F.col("award_status")),
+        put("Led by ", F.col("lead_organization")), put("Sent on ", F.col("submission_date")),
+        put("| kept | left out | under review | all |\n|-|-|-|-|\n| ", F.col("_kept"), " | ", F.col("_out"), " | ", F.col("_review"), " | ", F.col("_all"), " |"),
+        F.when(F.col("_keys").isNotNull(), put("## Key documents\n", F.col("_keys"))),
+        put("## Tracker\n", F.col("match_status"), F.when(differs != "", F.concat(F.lit("; differs in "), differs)).otherwise("")),
+        put("## Ready\nclean set: ", yes("ready_for_clean_set"), "; storage: ", yes("ready_for_future_s3")),
+    )
+    return j.select(key, F.array_join(F.array_compact(F.array(*sections)), "\n\n").alias("page"))

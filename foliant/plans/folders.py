@@ -9,8 +9,10 @@ from foliant.operators import answers as N
 from foliant.operators import classify as C
 from foliant.operators import clean_set as S
 from foliant.operators import folders as L
+from foliant.operators import identity as Y
 from foliant.operators import inventory as I
 from foliant.plans.registry import DOCS, INV, KEY_ROLES, LABELLED, NAMES, SAFE, _ORDER, documents, query
+from foliant.plans.records import IDENTITY, matched
 from foliant.plans.runs import TREATED, treated
 from foliant.sources import fixtures as X
 from foliant.sources import tables as T
@@ -40,6 +42,36 @@ def folder_readiness(spark, sf):
     return L.readiness(docs, open_ones, F.col("contains_personal_info") & (F.col("h") % 2 == 0))
 
 
+@query(
+    "folder_page",
+    f"""{IDENTITY}, c AS (SELECT proposal_id, count(*) AS n FROM docs WHERE h % 32 = 5 GROUP BY 1),
+        rd AS (SELECT docs.proposal_id, count(*) FILTER (keep) > 0 AND coalesce(any_value(n), 0) = 0 AS r1,
+            count(*) FILTER (keep) > 0 AND coalesce(any_value(n), 0) = 0 AND NOT bool_or(personal AND h % 2 = 0) AS r2,
+            count(*) FILTER (keep) AS k, count(*) FILTER (NOT keep AND NOT personal) AS o, count(*) FILTER (personal) AS v, count(*) AS a FROM docs LEFT JOIN c USING (proposal_id) GROUP BY 1),
+        r AS (SELECT *, {_ORDER} AS o, row_number() OVER (PARTITION BY proposal_id, {_ORDER} ORDER BY NOT keep, ord) AS n FROM docs),
+        b AS (SELECT *, CASE WHEN o < {len(KEY_ROLES)} AND n = 1 THEN 0 WHEN rag_priority = 'high' THEN 1 END AS band FROM r),
+        ks AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY band, CASE WHEN band = 0 THEN o END NULLS FIRST, ord) AS key_rank FROM b WHERE band IS NOT NULL),
+        kl AS (SELECT proposal_id, string_agg('- ' || document_role || ': ' || file_name_original || CASE WHEN keep THEN '' ELSE ' (left out)' END, chr(10) ORDER BY key_rank) AS l
+            FROM ks WHERE key_rank <= 6 GROUP BY 1)
+        SELECT proposal_id, concat_ws(chr(10) || chr(10), '# ' || proposal_name, agency || ' / ' || program || ' / ' || status || ' / ' || award_status, 'Led by ' || lead_organization,
+            'Sent on ' || submission_date, '| kept | left out | under review | all |' || chr(10) || '|-|-|-|-|' || chr(10) || '| ' || k || ' | ' || rd.o || ' | ' || v || ' | ' || a || ' |',
+            '## Key documents' || chr(10) || l, '## Tracker' || chr(10) || match_status || CASE WHEN disagreements <> '' THEN '; differs in ' || replace(disagreements, ';', ', ') ELSE '' END,
+            '## Ready' || chr(10) || 'clean set: ' || CASE WHEN r1 THEN 'yes' ELSE 'no' END || '; storage: ' || CASE WHEN r2 THEN 'yes' ELSE 'no' END) AS page
+        FROM ident JOIN rd USING (proposal_id) LEFT JOIN kl USING (proposal_id)""",
+)
+def folder_page(spark, sf):
+    docs = T.stored(documents(spark, sf).drop("summary_short", "summary_detailed"))
+    names = docs.select("proposal_id", "document_id", "document_role", "file_name_original", "ord")
+    keys = L.folder_key_documents(docs, KEY_ROLES, "ord", 6)
+    # A content may be in a group twice; its first file in order is the one shown.
+    first = names.groupBy("proposal_id", "document_id", "document_role").agg(F.min_by("file_name_original", "ord").alias("file_name_original"))
+    named = keys.join(first.hint("merge"), ["proposal_id", "document_id", "document_role"])
+    open_ones = docs.where("h % 32 = 5").groupBy("proposal_id").agg(F.count("*").alias("n_open"))
+    ready = L.readiness(docs, open_ones, F.col("contains_personal_info") & (F.col("h") % 2 == 0))
+    known = T.stored(Y.canonical_identity(docs, T.stored(matched(spark, sf)), "ord"))
+    return L.folder_page(known, docs, named, ready)
+
+
 FIRST = ("phase", "topic_number", "solicitation_number", "submission_date", "lead_organization")
 
 

@@ -92,3 +92,15 @@ def test_new_documents_stream_gives_each_content_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("fresh_documents").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.document_id for r in spark.table("fresh_documents").collect()) == ["d1", "d2"]
+
+
+def test_answers_that_leave_no_reason_are_passed_over_one_by_one(spark):
+    docs = spark.createDataFrame([("a", True, True, "why", None), ("b", False, False, None, "not"), ("c", True, False, "why", "not")],
+        "document_id string, include_in_clean_set boolean, include_in_future_rag boolean, include_reason string, exclude_reason string")
+    rows = [("a", "include_in_clean_set", "no", 1), ("a", "include_in_future_rag", "no", 2), ("a", "include_in_clean_set", "yes", 3), ("b", "include_in_clean_set", "yes", 4),
+            ("b", "include_in_future_rag", "no", 5), ("c", "include_in_clean_set", "no", 6), ("d", "needs_powerpoint_processing", "yes", 7), ("a", "needs_powerpoint_processing", "yes", 8)]
+    answers = spark.createDataFrame([("q", d, f, a, "open", s) for d, f, a, s in rows], "question_id string, document_id string, field string, user_answer string, status string, seq long")
+    out, judged, decks = N.apply_reviewed_answers(docs, answers)
+    assert {r.seq: r.state for r in judged.collect()} == {1: "applied", 2: "invalid", 3: "applied", 4: "invalid", 5: "applied", 6: "applied", 7: "applied", 8: "invalid"}
+    assert {r.document_id: (r.include_in_clean_set, r.include_in_future_rag) for r in out.collect()} == {"a": (True, True), "b": (False, False), "c": (False, False)}
+    assert [(r.document_id, r.needs_processing) for r in decks.collect()] == [("d", True)]
