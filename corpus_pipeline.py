@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontamination, near_duplicates, packing, secrets, toxicity
-from foliant.llm.common import cut, table
+from foliant.llm.common import forget, stored, table
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; between them the rows are written to the shared folder as Parquet.
+    """All stages over all documents; between them the rows are written to the shared folder as Parquet, and only the last such
+    table stays.
 
     A null text is empty and stays so to packing, where it is one piece. Rows that share id and text are one document, rows
     that share an id only are two; rows without an id are documents too. Other columns pass through all stages but the
     last. An empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs)
+            docs, path = stored(docs)
+            if before:
+                forget(spark, before)  # what it led to is written
+            before = path
     return docs
