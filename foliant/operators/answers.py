@@ -99,14 +99,14 @@ def apply_values(rows: DataFrame, key: str, values: DataFrame, order: str, field
     last = values.groupBy(key).agg(*(F.max(F.when(F.col("field") == f, F.struct(order, "value")))["value"].alias(f"_{f}") for f in fields))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     new = {f: F.coalesce(F.col(f"_{f}").cast(kinds[f]), F.col(f)) for f in fields}
-    return rows.join(last.hint("shuffle_hash"), key, "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
+    return rows.join(last.hint("merge"), key, "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
 def apply_document_answers(documents: DataFrame, answers: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The documents with valid answers (document_id, field, user_answer, status, seq) applied, and all answers with what
     became of them: applied, invalid (with the error) or skipped. An answer to an unknown document is invalid."""
     known = documents.select("document_id").distinct().withColumn("_known", F.lit(True))
-    checked = with_values(answers, {f: FIELDS[f] for f in fields}).join(known.hint("shuffle_hash"), "document_id", "left")
+    checked = with_values(answers, {f: FIELDS[f] for f in fields}).join(known.hint("merge"), "document_id", "left")
     lost = (F.col("state") != "skipped") & F.col("_known").isNull()
     checked = checked.withColumn("error", F.when(lost, "no such document").otherwise(F.col("error"))).withColumn(
         "state", F.when(lost | (F.col("state") == "invalid"), "invalid").when(F.col("state") == "valid", "applied").otherwise("skipped")
@@ -196,7 +196,7 @@ def choose_authoritative(lineage: DataFrame, choices: DataFrame) -> DataFrame:
     counts."""
     each = choices.select("proposal_id", "chosen", "seq", F.explode("affected_document_ids").alias("document_id"))
     last = each.groupBy("proposal_id", "document_id").agg(F.max_by("chosen", "seq").alias("_chosen"))
-    j = lineage.join(last.hint("shuffle_hash"), ["proposal_id", "document_id"], "left")
+    j = lineage.join(last.hint("merge"), ["proposal_id", "document_id"], "left")
     leads = F.col("_chosen") == F.col("document_id")
     follows = F.col("_chosen").isNotNull() & ~leads & (F.col("authority_rank") != "excluded")
     new = {
@@ -212,7 +212,7 @@ def check_proposal_answers(groups: DataFrame, answers: DataFrame, fields: Sequen
     applied value before it, or the group's own; null for a choice of an authoritative document."""
     known = groups.select("proposal_id", F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias("_own"))
     keyed = answers.withColumns({"_given": F.trim(F.coalesce("field", F.lit(""))), "field": canonical_field("field")})
-    read = with_values(keyed, {f: FIELDS[f] for f in fields}).join(known.hint("shuffle_hash"), "proposal_id", "left")
+    read = with_values(keyed, {f: FIELDS[f] for f in fields}).join(known.hint("merge"), "proposal_id", "left")
     skipped, answer = F.col("state") == "skipped", F.trim("user_answer")
     choice = F.coalesce(F.col("decision_type") == "authoritative_document", F.lit(False))
     among = F.coalesce(F.array_contains("affected_document_ids", answer), F.lit(False))
@@ -263,4 +263,4 @@ def clear_uncertainties(uncertain: DataFrame, log: DataFrame) -> DataFrame:
     """Uncertainties (document_id, field, ...) but those that an applied fact has settled: same document, same field key."""
     settled = affected(log).select("document_id", F.col("field").alias("_key")).distinct()
     keyed = uncertain.withColumn("_key", canonical_field("field"))
-    return keyed.join(settled.hint("shuffle_hash"), ["document_id", "_key"], "left_anti").select(*uncertain.columns)
+    return keyed.join(settled.hint("merge"), ["document_id", "_key"], "left_anti").select(*uncertain.columns)

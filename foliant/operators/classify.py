@@ -87,6 +87,10 @@ def with_records(classified: DataFrame) -> DataFrame:
             "include_reason": F.when(eligible, "Files of this kind are processed."), "exclude_reason": F.when(~eligible, "Files of this kind are not processed."),
             "manual_review_reasons": F.array_compact(F.array(F.when(F.col("contains_personal_info"), "personal information"))),
             "uncertainties": F.array().cast("array<string>"), "processing_notes": F.array(F.lit(BY_RULES)),
+            # Labels.
+            "sensitivity_labels": F.array_compact(F.array(F.when(F.col("contains_budget_or_rates"), "financial_sensitive"), F.when(F.col("contains_personal_info"), "personal_info"))),
+            "useful_context_summary": F.when(F.col("opportunity_context_useful"), "Its name says that it tells how proposals are judged."),
+            "boilerplate_summary": F.when(F.col("boilerplate_heavy"), "A general text of an opportunity."),
         }
     )
 
@@ -110,7 +114,7 @@ def lineage(documents: DataFrame) -> DataFrame:
     top = ranked.where("authority_rank = 'authoritative'")
     best = top.groupBy("proposal_id", "document_role").agg(F.min("document_id").alias("_first"))
     said = top.select("proposal_id", "document_role", "_detail").distinct().withColumn("_said", F.lit(True))
-    joined = ranked.join(best.hint("shuffle_hash"), ["proposal_id", "document_role"], "left").join(
+    joined = ranked.join(best.hint("merge"), ["proposal_id", "document_role"], "left").join(
         said.hint("merge"), ["proposal_id", "document_role", "_detail"], "left"
     )
     follows = (F.col("authority_rank") != "authoritative") & F.col("_first").isNotNull()

@@ -20,7 +20,7 @@ def folder_counts(documents: DataFrame, open_critical: DataFrame) -> DataFrame:
         F.count_if(~kept & ~review).alias("n_excluded"),
     )
     n = F.coalesce("n_open", F.lit(0))
-    return counted.join(open_critical.hint("shuffle_hash"), "proposal_id", "left").select(
+    return counted.join(open_critical.hint("merge"), "proposal_id", "left").select(
         *counted.columns, n.alias("n_open"), ((F.col("n_included") > 0) & (n == 0)).alias("ready")
     )
 
@@ -63,7 +63,7 @@ def exclusion_reason(require_clearance: bool = True) -> Column:
 def exclusions(documents: DataFrame, inventory: DataFrame) -> DataFrame:
     """Documents left out, and files that have no document, with the reason."""
     out = documents.withColumn("exclusion_reason", exclusion_reason()).where("exclusion_reason is not null")
-    known_ids = documents.select("document_id").hint("shuffle_hash")
+    known_ids = documents.select("document_id").hint("merge")
     bare = inventory.join(known_ids, "document_id", "left_anti").withColumn(
         "exclusion_reason", F.concat(F.lit("no_document_metadata: "), F.coalesce("skip_reason", "processing_status"))
     )

@@ -27,7 +27,7 @@ def consolidate(uncertain: DataFrame) -> DataFrame:
     lists = first.groupBy("group_id", "field_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), "|").alias("evidence")
     )
-    return main.join(lists.hint("shuffle_hash"), ["group_id", "field_key"]).select(
+    return main.join(lists.hint("merge"), ["group_id", "field_key"]).select(
         "group_id", "field_key", "field", F.col("b.guess").alias("guess"), F.col("b.confidence").alias("confidence"),
         "impact", "sources", "evidence",
         F.concat(F.lit("q_"), F.substring(F.sha2(F.concat_ws("|", "group_id", F.lit("proposal"), F.lit("confirm"), "field_key"), 256), 1, 12)).alias("question_id"),
@@ -138,7 +138,7 @@ def same_answer(guess: Column, answer: Column, kind: Column | None = None) -> Co
 def resolve_by_override(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
     """Adds resolution: open without an answer, resolved if the answer says what the guess does or there is no guess, else
     reopened. A column answer_type of the decisions, if there is one, says which fields take lists."""
-    joined = decisions.join(overrides.hint("shuffle_hash"), ["group_id", "field_key"], "left")
+    joined = decisions.join(overrides.hint("merge"), ["group_id", "field_key"], "left")
     kind = F.col("answer_type") if "answer_type" in decisions.columns else None
     return joined.withColumn(
         "resolution",
@@ -187,5 +187,5 @@ def halt_on_quota(usage: DataFrame, run: str = "user_id") -> DataFrame:
     """Calls that were attempted: those of a run up to and with its first quota error. A grouped minimum joined back, no
     running window over a whole run."""
     first = usage.where("is_quota").groupBy(run).agg(F.min(F.struct("ts", "event_id")).alias("_stop"))
-    joined = usage.join(first.hint("shuffle_hash"), run, "left")
+    joined = usage.join(first.hint("merge"), run, "left")
     return joined.where(F.col("_stop").isNull() | (F.struct("ts", "event_id") <= F.col("_stop"))).drop("_stop")

@@ -140,3 +140,16 @@ def folder_page(identity: DataFrame, documents: DataFrame, key_documents: DataFr
         put("## Ready\nclean set: ", yes("ready_for_clean_set"), "; storage: ", yes("ready_for_future_s3")),
     )
     return j.select(key, F.array_join(F.array_compact(F.array(*sections)), "\n\n").alias("page"))
+
+
+def joined_starts(documents: DataFrame, of: dict[str, Column], text: str, order: str, most: int = 500) -> DataFrame:
+    """proposal_id and for each name the texts of the documents that hold its condition, joined by spaces in order, cut after
+    `most` characters, a budget of a summary. No more documents, and no more of each, are gathered than that can take."""
+    key, said = "proposal_id", F.trim(text)
+    named = F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in of.items())))).alias("name")
+    rows = documents.where(said != "").select(key, named, F.col(order).alias("_o"), F.left(said, F.lit(most)).alias("t"))
+    place = F.row_number().over(Window.partitionBy(key, "name").orderBy("_o"))
+    first = rows.withColumn("_n", place).where(F.col("_n") <= most)
+    listed = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("_n", "t")))), lambda x: x["t"]), " ")
+    met = documents.select(key).distinct().join(first.groupBy(key).agg(*(F.left(listed(n), F.lit(most)).alias(n) for n in of)).hint("merge"), key, "left")
+    return met.withColumns({n: F.coalesce(n, F.lit("")) for n in of})

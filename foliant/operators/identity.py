@@ -35,13 +35,13 @@ def matched_rows(matches: DataFrame, tracker: DataFrame) -> DataFrame:
     """(proposal_id, match_status, confidence, row_id) with the tracker's fields as tracker_<field>, null without a match."""
     fields = ("proposal_name", "submission_date", "selection_notification_date", "award_date", "status", "award_status", "result")
     side = tracker.select("row_id", *(F.col(c).alias(f"tracker_{c}") for c in fields))
-    return matches.select("proposal_id", "match_status", "confidence", "row_id").join(side.hint("shuffle_hash"), "row_id", "left")
+    return matches.select("proposal_id", "match_status", "confidence", "row_id").join(side.hint("merge"), "row_id", "left")
 
 
 def override_identity(identity: DataFrame, matched: DataFrame) -> DataFrame:
     """Identity rows (proposal_id, proposal_name, submission_date, status, award_status, ...) under a matching tracker row:
     its values win, dates of notice and award come from it alone, and what it changed is listed."""
-    j = identity.join(matched.hint("shuffle_hash"), "proposal_id", "left")
+    j = identity.join(matched.hint("merge"), "proposal_id", "left")
     name, sent = given("tracker_proposal_name"), given("tracker_submission_date")
     status = normal_status(F.col("tracker_status"))
     award = F.coalesce(given("tracker_award_status"), given("tracker_result"))
@@ -68,7 +68,7 @@ def override_identity(identity: DataFrame, matched: DataFrame) -> DataFrame:
 def override_documents(documents: DataFrame, matched: DataFrame) -> DataFrame:
     """Documents under the tracker row of their group: sending date, status and award status come from it; a name or date
     of notice that differs is only listed. Values that differ in case and punctuation alone agree."""
-    j = documents.join(matched.hint("shuffle_hash"), "proposal_id", "left")
+    j = documents.join(matched.hint("merge"), "proposal_id", "left")
     name, sent, notice = given("tracker_proposal_name"), given("tracker_submission_date"), given("tracker_selection_notification_date")
     status = normal_status(F.col("tracker_status"))
     award = F.coalesce(given("tracker_award_status"), given("tracker_result"))
@@ -101,7 +101,7 @@ def canonical_identity(documents: DataFrame, matched: DataFrame, order: str) ->
     best = top.groupBy(key).agg(*(F.max(F.when(F.col("f") == f, F.struct("n", "ties", "v"))).alias(f"_{f}") for f in fields))
     won = lambda f: F.when((F.col(f"_{f}.ties") == 1) & F.col(f"_{f}.n").isNotNull(), F.col(f"_{f}.v"))
     partners = A.ordered_union(documents, key, "partners", order)
-    out = base.join(best.hint("shuffle_hash"), key).join(partners.hint("shuffle_hash"), key, "left").select(
+    out = base.join(best.hint("merge"), key).join(partners.hint("merge"), key, "left").select(
         *base.columns, *(F.coalesce(won(f), F.lit(fallback)).alias(f) for f, fallback in VOTED.items()),
         F.coalesce(won("canonical_proposal_name"), "proposal_branch").alias("proposal_name"),
         F.coalesce("partners", F.array().cast("array<string>")).alias("partners"),
@@ -125,7 +125,7 @@ def proposal_summary(with_lineage: DataFrame, identity: DataFrame, order: str) -
     )
     outcome = identity.select(key, F.concat("status", F.lit(" ("), "award_status", F.lit(")")).alias("outcome"))
     blank = lambda c: F.coalesce(c, F.lit(""))
-    return firsts.join(told.hint("shuffle_hash"), key, "left").join(outcome.hint("shuffle_hash"), key).select(
+    return firsts.join(told.hint("merge"), key, "left").join(outcome.hint("merge"), key).select(
         key, blank(F.when(F.col("_any"), F.col("_a")).otherwise(F.col("_c"))).alias("technical_objective"),
         blank("commercial_strategy").alias("commercial_strategy"),
         F.coalesce("reviewer_feedback", F.array().cast("array<string>")).alias("reviewer_feedback"), "outcome",

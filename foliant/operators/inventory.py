@@ -103,7 +103,7 @@ def mark_superseded_by_pdf(inventory: DataFrame) -> DataFrame:
     pdfs = keyed.where("extension = '.pdf'").groupBy("_f", "_s").agg(
         F.max_by("document_id", "scan_ord").alias("superseded_by_document_id")
     )
-    decks = keyed.where(F.col("extension").isin(*rules.DECK_EXTENSIONS)).join(pdfs.hint("shuffle_hash"), ["_f", "_s"], "left")
+    decks = keyed.where(F.col("extension").isin(*rules.DECK_EXTENSIONS)).join(pdfs.hint("merge"), ["_f", "_s"], "left")
     others = keyed.where(~F.col("extension").isin(*rules.DECK_EXTENSIONS)).withColumn(
         "superseded_by_document_id", F.lit(None).cast("string")
     )
@@ -122,13 +122,13 @@ def slide_questions(inventory: DataFrame) -> DataFrame:
 
 def pending_documents(inventory: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
     """Eligible files whose document isn't processed yet; at most `limit`, first in scan order."""
-    pending = classify_files(inventory).where("eligible_for_processing").join(done.select("document_id").hint("shuffle_hash"), "document_id", "left_anti")
+    pending = classify_files(inventory).where("eligible_for_processing").join(done.select("document_id").hint("merge"), "document_id", "left_anti")
     return pending.orderBy("scan_ord").limit(limit) if limit else pending
 
 
 def resume_status(inventory: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
     """One row: distinct documents, eligible, processed, pending and failed pending ones."""
-    mark = lambda df, name: df.select("document_id").distinct().withColumn(name, F.lit(True)).hint("shuffle_hash")
+    mark = lambda df, name: df.select("document_id").distinct().withColumn(name, F.lit(True)).hint("merge")
     ids = (
         classify_files(inventory).groupBy("document_id").agg(F.bool_or("eligible_for_processing").alias("eligible"))
         .join(mark(done, "done"), "document_id", "left").join(mark(failed, "failed"), "document_id", "left")
@@ -160,7 +160,7 @@ def resolve_name_collisions(files: DataFrame, folder: str | None = None, sanitiz
         .groupBy(*place, "_name").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
     )
     later = named.where("_r > 1").withColumn("_name", F.concat(stem("_safe"), F.lit("__"), F.substring("sha256", 1, 8), ext("_safe")))
-    later = later.withColumn("_k", F.row_number().over(again).cast("long")).join(taken.hint("shuffle_hash"), [*place, "_name"], "left")
+    later = later.withColumn("_k", F.row_number().over(again).cast("long")).join(taken.hint("merge"), [*place, "_name"], "left")
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     numbered = F.when(free == 1, F.col("_name")).otherwise(F.concat(stem("_name"), F.lit("_"), free.cast("string"), ext("_name")))
     later = later.withColumn("target_name", numbered)

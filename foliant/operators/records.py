@@ -67,10 +67,10 @@ def refine_questions(questions: DataFrame, responses: DataFrame) -> DataFrame:
     items = responses.select("group_id", F.explode(as_variants(F.col("body"), "$.questions")).alias("_item")).select(
         "group_id", said("question_id").alias("question_id"), *(said(k).alias(f"_{k}") for k in REWORDED)
     )
-    met = questions.join(items.hint("shuffle_hash"), ["group_id", "question_id"])
+    met = questions.join(items.hint("merge"), ["group_id", "question_id"])
     new = {k: F.coalesce(f"_{k}", k) for k in REWORDED}
     refined = met.select(*(new[c].alias(c) if c in new else F.col(c) for c in questions.columns))
-    silent = questions.join(met.select("group_id").distinct().hint("shuffle_hash"), "group_id", "left_anti")
+    silent = questions.join(met.select("group_id").distinct().hint("merge"), "group_id", "left_anti")
     return refined.unionByName(silent.select(*questions.columns))
 
 
@@ -78,7 +78,7 @@ def open_critical(sources: list[DataFrame], review: DataFrame, applied: DataFram
     """Critical questions that block a clean set: of documents (all sources but the last), then of the review sheet
     (question_id, priority, status), then arbitrated ones (the last source). Left out are applied ones, documents'
     questions that the sheet settled, and arbitrated ones that the override log answers."""
-    ids = lambda df: df.select("question_id").hint("shuffle_hash")
+    ids = lambda df: df.select("question_id").hint("merge")
     state = F.lower(F.trim(F.coalesce("status", F.lit(""))))
     settled = review.where(state.isin(*RESOLVED))
     columns = ("question_id", "proposal_id", "field")
@@ -104,7 +104,7 @@ def critical_gate(blocked: DataFrame, allow_open: bool = False) -> None:
 
 def missing_sources(planned: DataFrame, listing: DataFrame) -> DataFrame:
     """Planned files that the current listing doesn't have."""
-    return planned.join(listing.select("relative_path").hint("shuffle_hash"), "relative_path", "left_anti").select(
+    return planned.join(listing.select("relative_path").hint("merge"), "relative_path", "left_anti").select(
         "document_id", "relative_path", F.lit("source_file_missing").alias("reason")
     )
 
@@ -113,7 +113,7 @@ def document_manifest(documents: DataFrame, lineage: DataFrame, planned: DataFra
     """Every document with its lineage and treatment, or its own values where a stale lineage lacks it, and where it lies in
     the clean set (null if it was left out)."""
     marks = lineage.select("doc_id", F.lit(True).alias("_in"), "authority_rank", "superseded_by_document_id", "contains_unique_reasoning", "recommended_treatment")
-    j = documents.join(marks.hint("shuffle_hash"), "doc_id", "left").join(planned.select("doc_id", "clean_path").hint("shuffle_hash"), "doc_id", "left")
+    j = documents.join(marks.hint("merge"), "doc_id", "left").join(planned.select("doc_id", "clean_path").hint("merge"), "doc_id", "left")
     other = lambda c, value: F.when(F.col("_in"), F.col(c)).otherwise(value).alias(c)
     return j.select(
         "doc_id", "document_id", "proposal_id", "file_name_original", "document_role", "version_status", "rag_priority",
@@ -138,7 +138,7 @@ def folder_records(documents: DataFrame, identity: DataFrame, order: str) -> Dat
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("summary_detailed")
     )
     roles = A.counter_map(documents, key, "document_role").withColumnRenamed("counts", "roles")
-    out = identity.drop("document_count").join(counts.hint("shuffle_hash"), key).join(details.hint("shuffle_hash"), key, "left").join(roles.hint("shuffle_hash"), key)
+    out = identity.drop("document_count").join(counts.hint("merge"), key).join(details.hint("merge"), key, "left").join(roles.hint("merge"), key)
     sentence = F.concat(
         "proposal_name", F.lit(": "), "program", F.lit(" application to "), "agency", F.lit(", "), "status", F.lit("; documents kept: "),
         F.col("n_included").cast("string"),
@@ -182,10 +182,10 @@ def evaluate_expectations(identity: DataFrame, roles: DataFrame, expected: DataF
     authoritative documents. A branch that nobody synthesised is a mismatch."""
     names = ("status", "award_status", "agency", "program", "document_count")
     listed = roles.distinct().groupBy("proposal_id").agg(F.array_sort(F.collect_list("document_role")).alias("_roles"))
-    got = identity.join(listed.hint("shuffle_hash"), "proposal_id", "left").select(
+    got = identity.join(listed.hint("merge"), "proposal_id", "left").select(
         "proposal_branch", F.lit(True).alias("_found"), F.coalesce("_roles", F.array().cast("array<string>")).alias("_roles"), *(F.col(c).cast("string").alias(f"_{c}") for c in names)
     )
-    j = expected.join(got.hint("shuffle_hash"), "proposal_branch", "left")
+    j = expected.join(got.hint("merge"), "proposal_branch", "left")
     say = lambda c, want, have: F.concat(F.lit(f"{c}: expected "), want, F.lit(", got "), have)
     tests = [F.when(F.col("_found").isNull(), "not synthesised")]
     for c in names:

@@ -245,7 +245,7 @@ def uncertainties(body: Column) -> Column:
 def system_fields(responses: DataFrame, inventory: DataFrame, owned: tuple[str, ...]) -> DataFrame:
     """Responses with the pipeline's own fields: whatever a response says of them, the inventory's values count."""
     side = inventory.select("doc_id", *owned)
-    return responses.drop(*owned).join(side.hint("shuffle_hash"), "doc_id")
+    return responses.drop(*owned).join(side.hint("merge"), "doc_id")
 
 
 def inclusion_checks() -> dict[str, Column]:

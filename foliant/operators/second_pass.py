@@ -43,7 +43,7 @@ def merge_passes(
         key, F.lit(True).alias("_given"), F.col("explained").alias("_explained"), F.col("reason").alias("_reason"),
         *(F.col(c).alias(f"_{c}") for pair in fields for c in pair),
     )
-    joined = first.join(new.hint("shuffle_hash"), key, "left")
+    joined = first.join(new.hint("merge"), key, "left")
     merged, changes = {}, []
     for value, confidence in fields:
         old, now, c1, c2 = F.col(value), F.col(f"_{value}"), F.col(confidence), F.col(f"_{confidence}")
@@ -135,7 +135,7 @@ def branch_signals(documents: DataFrame, field: str, order: str) -> DataFrame:
     seen = documents.where(~is_unknown(F.col(field))).select("proposal_id", F.col(field).alias("v"), F.col(order).alias("o"))
     second = seen.withColumn("_p", F.row_number().over(places)).where("_p = 2").select("proposal_id", "v", F.col("o").alias("o2"))
     counted = seen.groupBy("proposal_id", "v").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    counted = counted.join(second.hint("shuffle_hash"), ["proposal_id", "v"], "left")
+    counted = counted.join(second.hint("merge"), ["proposal_id", "v"], "left")
     # Without its own vote a value falls by one, so the best other value is among the group's two best or its own.
     best_first = Window.partitionBy("proposal_id").orderBy(F.col("n").desc(), "o")
     top = counted.withColumn("r", F.row_number().over(best_first)).where("r <= 2")
@@ -144,7 +144,7 @@ def branch_signals(documents: DataFrame, field: str, order: str) -> DataFrame:
     own, a, b = F.col(field), F.col("_a"), F.col("_b")
     left, since = a["n"] - 1, F.when(a["o"] == F.col(order), a["o2"]).otherwise(a["o"])
     other = b["n"].isNotNull() & ((b["n"] > left) | ((b["n"] == left) & (b["o"] < since)))
-    return documents.join(best.hint("shuffle_hash"), "proposal_id", "left").withColumn(
+    return documents.join(best.hint("merge"), "proposal_id", "left").withColumn(
         "suggested", F.when(~own.eqNullSafe(a["v"]), a["v"]).when(other, b["v"]).when(left > 0, a["v"])
     ).drop("_a", "_b")
 
@@ -161,9 +161,9 @@ def context_neighbours(documents: DataFrame, threshold: float = 0.75, fallback:
     best = Window.partitionBy("proposal_id").orderBy(F.col("score").desc(), "document_id", "scan_ord")
     top = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= fallback + 1)
     shown = top.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("_r", "doc_id", "score"))).alias("_top"))
-    alone = rows.join(number.hint("shuffle_hash"), "proposal_id", "left").where("_n is null or (_n = 1 and _only = doc_id)")
+    alone = rows.join(number.hint("merge"), "proposal_id", "left").where("_n is null or (_n = 1 and _only = doc_id)")
     others = F.slice(F.filter("_top", lambda x: x["doc_id"] != F.col("doc_id")), 1, fallback)
-    own = alone.join(shown.hint("shuffle_hash"), "proposal_id").select("proposal_id", "doc_id", F.explode(others).alias("x"))
+    own = alone.join(shown.hint("merge"), "proposal_id").select("proposal_id", "doc_id", F.explode(others).alias("x"))
     own = own.select("proposal_id", F.col("doc_id").alias("target"), F.col("x.doc_id").alias("neighbour"), F.col("x.score").alias("score"))
     return shared.unionByName(own)
 

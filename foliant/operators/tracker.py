@@ -27,7 +27,7 @@ def alike(named: DataFrame, rows: DataFrame, often: DataFrame, least: float) ->
     they meet; so a token that all names have joins nothing."""
 
     def rarest(names: DataFrame, name: str) -> DataFrame:
-        counted = names.select("id", F.explode("t").alias("token")).join(often.hint("shuffle_hash"), "token")
+        counted = names.select("id", F.explode("t").alias("token")).join(often.hint("merge"), "token")
         sets = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
         # Sets of similarity `share` have at least that share of the larger one in common.
         length = F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1
@@ -42,7 +42,7 @@ def best_score(named: DataFrame, rows: DataFrame, often: DataFrame, common: int
     """(id, best): the highest similarity of each name with any row, however low; names that share no token with one are left
     out. Pairs that share a token few rows have are joined on it. For the others only the common tokens matter, so rows are
     summed up by which of these they have, and the shortest of each kind stands for it."""
-    tokens = lambda names: names.select("id", "t", F.explode("t").alias("token")).join(often.hint("shuffle_hash"), "token")
+    tokens = lambda names: names.select("id", "t", F.explode("t").alias("token")).join(often.hint("merge"), "token")
     mine, theirs = tokens(named), tokens(rows)
     rare = F.col("n") <= common
     near = mine.where(rare).select(F.col("id"), F.col("t"), "token").join(theirs.where(rare).select(F.col("t").alias("r"), "token").hint("merge"), "token")
@@ -69,12 +69,12 @@ def match_tracker(groups: DataFrame, tracker: DataFrame, least: float = rules.MA
     often = named.select("t").unionByName(rows.select("t")).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     scored = stored(alike(named, rows, often, least - delta))
     best = scored.groupBy("proposal_id").agg(F.max("score").alias("best")).where(F.col("best") >= least)
-    near = scored.join(best.hint("shuffle_hash"), "proposal_id").where(F.col("best") - F.col("score") < delta)
+    near = scored.join(best.hint("merge"), "proposal_id").where(F.col("best") - F.col("score") < delta)
     summary = near.groupBy("proposal_id").agg(F.first("best").alias("best"), F.count("*").alias("k"), F.min("row_id").alias("row_id"))
     listed = first_seen(near, ["proposal_id"], "row_id", ["row_id"], "candidate_row_ids", MOST_CANDIDATES)
     low = named.join(best.select(F.col("proposal_id").alias("id")).hint("merge"), "id", "left_anti")
     under = best_score(low, rows, often, common).select(F.col("id").alias("proposal_id"), F.col("best").alias("_under"))
-    j = hints.join(summary.hint("shuffle_hash"), "proposal_id", "left").join(listed.hint("merge"), "proposal_id", "left").join(under.hint("merge"), "proposal_id", "left")
+    j = hints.join(summary.hint("merge"), "proposal_id", "left").join(listed.hint("merge"), "proposal_id", "left").join(under.hint("merge"), "proposal_id", "left")
     status = F.when(F.col("k").isNull(), "unmatched").when(F.col("k") > 1, "ambiguous").otherwise("matched")
     return j.select(
         "proposal_id", status.alias("match_status"), F.coalesce("best", "_under", F.lit(0.0)).alias("confidence"),

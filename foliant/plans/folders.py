@@ -72,6 +72,20 @@ def folder_page(spark, sf):
     return L.folder_page(known, docs, named, ready)
 
 
+@query(
+    "joined_starts",
+    f"""{LABELLED} SELECT proposal_id, coalesce(left(string_agg(trim(summary_short), ' ' ORDER BY ord) FILTER (document_category = 'opportunity_document' AND trim(summary_short) <> ''), 500), '') AS opportunity_context,
+        coalesce(left(string_agg(trim(summary_short), ' ' ORDER BY ord) FILTER (keep AND origin_type = 'generated_response' AND trim(summary_short) <> ''), 500), '') AS generated_response FROM docs GROUP BY 1""",
+)
+def joined_starts(spark, sf):
+    docs = T.stored(documents(spark, sf).select("proposal_id", "ord", "summary_short", "document_category", "origin_type", "include_in_clean_set"))
+    of = {
+        "opportunity_context": F.col("document_category") == "opportunity_document",
+        "generated_response": F.col("include_in_clean_set") & (F.col("origin_type") == "generated_response"),
+    }
+    return L.joined_starts(docs, of, "summary_short", "ord")
+
+
 FIRST = ("phase", "topic_number", "solicitation_number", "submission_date", "lead_organization")
 
 
@@ -197,13 +211,15 @@ RECORD = (*C.UNSURE_OF, *C.FAIRLY_SURE_OF)
             {", ".join(f"CAST({0.3 if c in C.UNSURE_OF else 0.45} AS DOUBLE) AS {c}_confidence" for c in RECORD)},
             CASE {_EVIDENCE} ELSE 'The file name has no word for a version.' END AS draft_or_final_evidence, eligible AS include_in_clean_set,
             eligible AND rag_priority <> 'exclude' AS include_in_future_rag, CASE WHEN eligible THEN 'Files of this kind are processed.' END AS include_reason,
-            CASE WHEN NOT eligible THEN 'Files of this kind are not processed.' END AS exclude_reason FROM e""",
+            CASE WHEN NOT eligible THEN 'Files of this kind are not processed.' END AS exclude_reason,
+            concat_ws('|', CASE WHEN budget THEN 'financial_sensitive' END, CASE WHEN personal THEN 'personal_info' END) AS labels, useful AS useful_context, boilerplate FROM e""",
 )
 def classify_records(spark, sf):
     made = C.with_records(C.classify_documents(I.classify_files(X.inventory(spark, sf))))
     return made.select(
         "doc_id", "document_category_confidence", "document_role_confidence", *(f"{c}_confidence" for c in RECORD), "draft_or_final_evidence",
-        "include_in_clean_set", "include_in_future_rag", "include_reason", "exclude_reason",
+        "include_in_clean_set", "include_in_future_rag", "include_reason", "exclude_reason", F.array_join("sensitivity_labels", "|").alias("labels"),
+        F.col("useful_context_summary").isNotNull().alias("useful_context"), F.col("boilerplate_summary").isNotNull().alias("boilerplate"),
     )
 
 

@@ -287,7 +287,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Classified documents of groups, with labels: low quality is left out of both sets, toxic is personal."""
     labels = X.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     inv = X.inventory(spark, sf).where("proposal_branch is not null")
-    out = C.classify_documents(inv).join(labels.hint("shuffle_hash"), "doc_id", "left")
+    out = C.classify_documents(inv).join(labels.hint("merge"), "doc_id", "left")
     keep = ~F.coalesce(F.col("quality") == 0, F.lit(False))
     digits = lambda at: F.conv(F.substring("sha256", at, 2), 16, 10).cast("int")
     h, h2 = F.col("h"), F.col("h2")

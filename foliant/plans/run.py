@@ -27,7 +27,7 @@ def synthesize(own: DataFrame, model: DataFrame | None, fields: Sequence[str]) -
     if model is None:
         return own.withColumn("synthesis_source", F.lit("deterministic"))
     side = model.where("valid").select("proposal_id", F.lit(True).alias("_given"), *(F.col(c).alias(f"_{c}") for c in fields))
-    j = own.join(side.hint("shuffle_hash"), "proposal_id", "left")
+    j = own.join(side.hint("merge"), "proposal_id", "left")
     new = {c: F.when(F.col("_given"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in fields}
     source = F.when(F.col("_given"), "model").otherwise("deterministic_fallback")
     return j.select(*(new[c].alias(c) if c in new else F.col(c) for c in own.columns), source.alias("synthesis_source"))
@@ -42,7 +42,7 @@ def run_all(inventory: DataFrame, details: DataFrame, tracker: DataFrame, allow_
     found = I.dedup_content(I.drop_temp_office(I.drop_hidden(inventory)))
     labelled = C.classify_documents(found.where("proposal_branch is not null"))
     extra = [c for c in details.columns if c != "doc_id"]
-    documents = labelled.drop(*extra).join(details.hint("shuffle_hash"), "doc_id").withColumn("ord", F.concat_ws("|", "document_id", "scan_ord"))
+    documents = labelled.drop(*extra).join(details.hint("merge"), "doc_id").withColumn("ord", F.concat_ws("|", "document_id", "scan_ord"))
     treated = C.treatments(C.lineage(documents))
     groups = documents.select("proposal_id", "proposal_branch").distinct()
     proposals = Y.canonical_identity(documents, Y.matched_rows(M.match_tracker(groups, tracker), tracker), "ord")

@@ -100,7 +100,7 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracker rows: one per group, some renamed, some doubled by an amendment."""
     o = table(spark, sf_dir, "orders").withColumn("g", F.col("o_orderkey"))
     groups = inventory(spark, sf_dir).where("proposal_branch is not null").groupBy("g").agg(F.min("proposal_branch").alias("branch"))
-    rows = o.where("g % 11 <> 3").join(groups.hint("shuffle_hash"), "g")
+    rows = o.where("g % 11 <> 3").join(groups.hint("merge"), "g")
     name = (
         F.when(F.col("g") % 7 == 0, "Unrelated Survey Vessel")
         .when(F.col("g") % 3 == 0, F.regexp_replace("branch", r" \S+$", ""))
