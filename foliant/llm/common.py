@@ -195,7 +195,7 @@ def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
 #: Hashes of words seen before; forgotten when there are too many.
 KNOWN: dict[bytes, int] = {}
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 200_000
 
 
 def word_hash(word: bytes) -> int:

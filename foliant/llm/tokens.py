@@ -11,7 +11,7 @@ import numpy as np
 from foliant.llm.common import distinct_spans
 
 #: Pre-tokens remembered by a worker before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Code points split at once; a longer text is one piece of work of its own.
 AT_ONCE = 1 << 19
 #: Fixed values of the byte-level pre-token rule: the contractions that are tokens of their own.

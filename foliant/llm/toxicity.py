@@ -52,6 +52,8 @@ PRIOR_LENGTH = 30.0
 LABELS_BOUND = 2_000_000
 #: Distinct words counted, or remembered with their ratios, by a task at once.
 WORDS_AT_ONCE = 400_000
+#: Words whose values a task remembers before it starts anew.
+REMEMBERED = 150_000
 #: Width of the bins in which calibration counts scores, and the largest score that has its own bin.
 BIN, MOST = 0.0005, 2.0
 BEGIN, END = 94, 36  # ^ and $, which no word holds
@@ -123,7 +125,7 @@ class ToxicityModel:
 
     def word_values(self, joined: bytes, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What each word adds to a text's log-likelihood difference; words seen before are remembered."""
-        if len(self.known) > WORDS_AT_ONCE:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         new = np.array([i for i, w in enumerate(words) if w not in self.known], np.int64)
