@@ -22,7 +22,7 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 #: Bytes hashed at once; a single longer word widens its chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

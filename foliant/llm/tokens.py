@@ -13,7 +13,7 @@ from foliant.llm.common import distinct_spans
 #: Pre-tokens remembered by a worker before it starts anew.
 REMEMBERED = 300_000
 #: Code points split at once; a longer text is one piece of work of its own.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 #: Fixed values of the byte-level pre-token rule: the contractions that are tokens of their own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves; the others follow from U+0100 on.
