@@ -247,6 +247,19 @@ def test_best_scores_below_the_bound_are_exact(spark, common):
         assert got[g].confidence == pytest.approx(best) and got[g].candidate_row_ids == near[:20] and got[g].n_candidates == len(near)
 
 
+def test_matching_makes_no_pairs_of_names_that_share_common_tokens_only(spark, monkeypatch):
+    made, keep = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df: made.append(keep(df)) or made[-1])
+    n = 500
+    groups = spark.range(n).selectExpr("cast(id as string) as proposal_id", "concat('2019 navy sttr project ', 1000 + id) as proposal_branch")
+    rows = spark.range(n).selectExpr("lpad(cast(id as string), 4, '0') as row_id", "if(id % 2 = 0, '2019 navy sttr project', concat('2019 navy sttr project ', 1000 + id)) as proposal_name")
+    got = {r.proposal_id: r for r in M.match_tracker(groups, rows).collect()}
+    assert max(df.count() for df in made) <= 4 * n  # pairs of names are 500 x 251
+    assert (got["1"].match_status, got["1"].confidence, got["1"].row_id) == ("matched", 1.0, "0001")
+    assert (got["2"].match_status, got["2"].confidence, got["2"].n_candidates) == ("ambiguous", 0.8, n // 2)
+    assert got["2"].candidate_row_ids == [f"{2 * i:04d}" for i in range(20)]
+
+
 def test_merged_records_keep_their_history(spark):
     schema = "id int, a string, a_confidence double, uncertainties array<string>, processing_notes array<string>"
     first = spark.createDataFrame([(1, "x", 0.4, ["u"], ["n"]), (2, "x", 0.4, [], None), (3, "x", None, ["u"], ["n"])], schema)
