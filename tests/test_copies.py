@@ -26,7 +26,7 @@ def copies(spark, tmp_path_factory):
     return str(home), con
 
 
-@pytest.mark.parametrize("name", ["choose_authoritative", "export_questions"])
+@pytest.mark.parametrize("name", ["choose_authoritative", "export_questions", "reviewed_answers", "deck_answers", "reviewed_documents"])
 def test_copies_match_the_sql(spark, copies, name):
     home, con = copies
     assert differences(spark, con, registry.queries()[name], registry.oracle_sql()[name], home) == []
