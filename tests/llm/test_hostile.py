@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import chat, html_extraction, near_duplicates, packing, secrets, toxicity
 from foliant.llm.common import distinct_spans, word_hashes
@@ -125,3 +126,14 @@ def test_every_example_of_a_long_conversation_has_its_whole_context(spark):
         assert said == [(role, text) for _, _, role, text in rows[: r.turn_no + 1]] and chat.unescape(r.text[r.loss_start : r.loss_end]) == rows[r.turn_no][3]
     formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
     assert {r.block for r in chat.examples(formatted, 10).collect()} == set(range(13)) and {r.block for r in chat.examples(formatted, None).collect()} == {0}
+
+
+def test_a_long_conversation_is_spelled_out_whole(spark):
+    n = 1100
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(n)]
+    made = chat.examples(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    (r,) = made.where(f"turn_no = {n - 1}").collect()
+    assert [chat.unescape(m[2]) for m in chat.TURN.finditer(r.text)] == [text for *_, text in rows]
+    held = made.where("loss_start is not null").agg(F.sum(F.length("text"))).first()[0]
+    (digest,) = chat.read_back(made).collect()
+    assert digest.formatted_chars == held and digest.n_turns == n and digest.n_examples == n // 2
