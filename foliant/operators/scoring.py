@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +24,16 @@ from foliant.sources.tables import stored
 #: Requests of one call of a scorer, and characters in it unless one request has more.
 BATCH, BATCH_CHARS = 64, 4_000_000
 MOST_CHARS = 200_000
+#: Of the batches that Spark sends so many rows and about so many bytes are taken at once.
+SLICE_ROWS, SLICE_BYTES = 16 * BATCH, 1 << 22
 REQUEST = ("document_id", "pass_number", "strategy", "prompt")
 ANSWER = ("raw_text", "input_tokens", "output_tokens")
 CALLS = (
     "document_id string, pass_number int, strategy string, prompt_chars long, raw_text string, input_tokens long, "
     "output_tokens long, success boolean, error_type string, error_message string, started_at timestamp, latency double"
 )
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC"), "double": pa.float64()}
+CALLED = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in CALLS.split(", "))])
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 # Types of failures.
 CALL_FAILED, REPAIR_FAILED, INVALID = "bedrock_call_failed", "repair_bedrock_failed", "validation_failed"
@@ -68,6 +73,14 @@ def isolated(scorer: Scorer, requests: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few megabytes at a time: as pandas objects a whole batch of long texts takes several times its bytes."""
+    for batch in batches:
+        n = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def pieces(batch: pd.DataFrame, rows: int, chars: int) -> Iterator[pd.DataFrame]:
     """The batch in runs of at most `rows` requests and about `chars` characters."""
     size = batch["prompt"].fillna("").str.len().to_numpy()
@@ -84,17 +97,17 @@ def pieces(batch: pd.DataFrame, rows: int, chars: int) -> Iterator[pd.DataFrame]
 def call(requests: DataFrame, scorer: Scorer, batch: int = BATCH) -> DataFrame:
     """A row for each request (document_id, pass_number, strategy, prompt), made by one call each and written out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for some in pieces(whole, batch, BATCH_CHARS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in slices(batches):
+            for some in pieces(whole.to_pandas(), batch, BATCH_CHARS):
                 out = pd.concat([some[["document_id", "pass_number", "strategy"]], isolated(scorer, some)], axis=1)
                 out["prompt_chars"] = some["prompt"].fillna("").str.len()
                 out["success"] = out["error_type"].isna()
                 for c in ("input_tokens", "output_tokens"):
                     out[c] = out[c].astype("Int64")
-                yield out[[x.strip().split(" ")[0] for x in CALLS.split(",")]]
+                yield pa.RecordBatch.from_pandas(out[CALLED.names], CALLED, preserve_index=False)
 
-    return stored(requests.select(*REQUEST).mapInPandas(run, CALLS))
+    return stored(requests.select(*REQUEST).mapInArrow(run, CALLS))
 
 
 def score_documents(

@@ -4,6 +4,7 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,12 @@ def test_matching_makes_no_pairs_of_names_that_share_common_tokens_only(spark, m
     assert got["2"].candidate_row_ids == [f"{2 * i:04d}" for i in range(20)]
 
 
+def test_long_requests_are_taken_a_few_megabytes_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"prompt": ["x" * 1_000_000] * 20 + [None]})
+    taken = [b.num_rows for b in S.slices(iter([batch]))]
+    assert sum(taken) == 21 and max(taken) <= 5 and list(S.slices(iter([batch.slice(0, 0)]))) == []
+
+
 def test_merged_records_keep_their_history(spark):
     schema = "id int, a string, a_confidence double, uncertainties array<string>, processing_notes array<string>"
     first = spark.createDataFrame([(1, "x", 0.4, ["u"], ["n"]), (2, "x", 0.4, [], None), (3, "x", None, ["u"], ["n"])], schema)
