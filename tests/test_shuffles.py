@@ -1,5 +1,9 @@
 """What queries of groups send through shuffles: orders once, texts where they are read, and only those that are chosen."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.operators import records as K
 from foliant.plans import registry
 from foliant.sources import fixtures as X
 
@@ -26,3 +30,34 @@ def test_the_tracker_view_reads_orders_once(spark):
 def test_labels_are_joined_without_texts(spark):
     joins = inputs(registry.documents(spark, SF).select("doc_id", "partners", "h"), {"Join"})
     assert joins and not any({"text", "summary_short", "sha256"} & names for names in joins)
+
+
+DOCUMENTS = "proposal_id string, ord string, authority_rank string, document_role string, include_in_clean_set boolean, summary_short string, file_name_original string, manual_review_required boolean, sensitive boolean"
+ROWS = [
+    ("p", "1", "authoritative", "budget", True, "  ", "a", False, True), ("p", "2", "authoritative", "review_feedback", False, " two ", "b", False, False),
+    ("p", "3", "supporting", "commercialization_plan", True, "three", "c", True, False), ("p", "4", "supporting", "review_feedback", True, "four", "d", False, False),
+    ("q", "1", "supporting", "budget", False, "left out", "e", False, False), ("q", "2", "supporting", "commercialization_plan", True, "kept", "f", False, False),
+    ("r", "1", "authoritative", "budget", True, "", "g", False, False),
+]
+IDENTITY = "proposal_id string, status string, award_status string, proposal_name string, program string, agency string, document_count long"
+
+
+def given(spark):
+    docs = spark.createDataFrame(ROWS, DOCUMENTS)
+    return docs, spark.createDataFrame([(p, "s", "a", "n", "g", "y", 1) for p in "pqr"], IDENTITY)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_folder_quotes_its_first_kept_documents(spark, apart):
+    docs, identity = given(spark)
+    many = spark.range(30).select(
+        F.lit("q").alias("proposal_id"), F.format_string("x%02d", "id").alias("ord"), F.lit("supporting").alias("authority_rank"), F.lit("foa").alias("document_role"),
+        (F.col("id") > 3).alias("include_in_clean_set"), F.concat(F.lit(" t"), "id").alias("summary_short"), F.concat(F.lit("n"), "id").alias("file_name_original"),
+        F.lit(False).alias("manual_review_required"), F.lit(False).alias("sensitive"),
+    )
+    docs = docs.unionByName(many)
+    told = docs.select("proposal_id", "ord", "file_name_original", "summary_short")
+    out = K.folder_records(docs.drop("summary_short", "file_name_original"), identity, "ord", told) if apart else K.folder_records(docs, identity, "ord")
+    got = {r.proposal_id: (r.summary_detailed, r.n_documents) for r in out.collect()}
+    assert got == {"p": ("**c**: three\n\n**d**: four", 4), "q": ("**f**: kept\n\n**n4**: t4\n\n**n5**: t5\n\n**n6**: t6\n\n**n7**: t7", 32), "r": ("", 1)}
+    assert not any({"summary_short", "t"} & names for names in inputs(out, {"Window"}))
