@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.operators import identity as Y
 from foliant.operators import records as K
 from foliant.plans import registry
 from foliant.sources import fixtures as X
@@ -47,6 +48,17 @@ def given(spark):
     return docs, spark.createDataFrame([(p, "s", "a", "n", "g", "y", 1) for p in "pqr"], IDENTITY)
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_summary_is_made_of_chosen_texts(spark, apart):
+    docs, identity = given(spark)
+    told = docs.select("proposal_id", "ord", "summary_short")
+    out = Y.proposal_summary(docs.drop("summary_short"), identity, "ord", told) if apart else Y.proposal_summary(docs, identity, "ord")
+    assert {r.proposal_id: tuple(r)[1:] for r in out.collect()} == {
+        "p": ("two", "three", ["two", "four"], "s (a)"), "q": ("kept", "kept", [], "s (a)"), "r": ("", "", [], "s (a)"),
+    }
+    assert sum("t" in names for names in inputs(out, {"Join"})) == 1
+
+
 @pytest.mark.parametrize("apart", [False, True])
 def test_a_folder_quotes_its_first_kept_documents(spark, apart):
     docs, identity = given(spark)
