@@ -14,19 +14,20 @@ from foliant.operators.aggregates import first_seen, known
 MOST_TOLD = 50
 
 
-def folder_key_documents(documents: DataFrame, roles: Sequence[str], order: str, cap: int = 10) -> DataFrame:
+def folder_key_documents(documents: DataFrame, roles: Sequence[str], order: str, cap: int = 10, also: Sequence[str] = ()) -> DataFrame:
     """(proposal_id, document_id, document_role, included, key_rank): for each listed role its first document of the clean set,
-    or else its first one, then other documents of high priority in order, `cap` in all."""
+    or else its first one, then other documents of high priority in order, `cap` in all; `also` names further columns of theirs."""
     place = F.lit(None).cast("int")
     for i, role in enumerate(roles):
         place = F.when(F.col("document_role") == role, i).otherwise(place)
-    kept = F.coalesce("include_in_clean_set", F.lit(False))
-    rows = documents.select("proposal_id", "document_id", "document_role", kept.alias("included"), "rag_priority", F.col(order).alias("_o"), place.alias("_role"))
+    kept, high = F.coalesce("include_in_clean_set", F.lit(False)), F.col("rag_priority") == "high"
+    told = ("proposal_id", "document_id", "document_role", *also)
+    rows = documents.select(*told, kept.alias("included"), high.alias("_high"), F.col(order).alias("_o"), place.alias("_role")).where("_role is not null or _high")
     mine = Window.partitionBy("proposal_id", "_role").orderBy(F.col("included").desc(), "_o")
-    band = F.when(F.col("_role").isNotNull() & (F.row_number().over(mine) == 1), 0).when(F.col("rag_priority") == "high", 1)
+    band = F.when(F.col("_role").isNotNull() & (F.row_number().over(mine) == 1), 0).when(F.col("_high"), 1)
     inside = Window.partitionBy("proposal_id").orderBy("_band", F.when(F.col("_band") == 0, F.col("_role")), "_o")
     ranked = rows.withColumn("_band", band).where("_band is not null").withColumn("key_rank", F.row_number().over(inside))
-    return ranked.where(F.col("key_rank") <= cap).select("proposal_id", "document_id", "document_role", "included", "key_rank")
+    return ranked.where(F.col("key_rank") <= cap).select("proposal_id", "document_id", "document_role", "included", "key_rank", *also)
 
 
 def readiness(documents: DataFrame, open_critical: DataFrame, export_control: Column) -> DataFrame:

@@ -30,3 +30,17 @@ def copies(spark, tmp_path_factory):
 def test_copies_match_the_sql(spark, copies, name):
     home, con = copies
     assert differences(spark, con, registry.queries()[name], registry.oracle_sql()[name], home) == []
+
+
+def test_a_page_names_the_files_it_lists(spark, tmp_path):
+    """Two files of a group and role have one content, and one of them, not always the first, is kept."""
+    for t in TABLES:
+        if t not in ("documents", "labels"):
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    rows = spark.range(480)
+    rows.selectExpr("id as doc_id", "concat('text ', id div 40, ' ', id % 20) as text", "'en' as lang", "'web' as source", "10L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.selectExpr("id as doc_id", "cast((id div 20 + id % 3) % 2 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    con = connect(SF)
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert differences(spark, con, registry.queries()["folder_page"], registry.oracle_sql()["folder_page"], str(tmp_path)) == []

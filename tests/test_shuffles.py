@@ -1,11 +1,14 @@
 """What queries of groups send through shuffles: orders once, texts where they are read, and only those that are chosen."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import identity as Y
 from foliant.operators import records as K
 from foliant.plans import registry
+from foliant.plans.records import matched
 from foliant.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +76,24 @@ def test_a_folder_quotes_its_first_kept_documents(spark, apart):
     got = {r.proposal_id: (r.summary_detailed, r.n_documents) for r in out.collect()}
     assert got == {"p": ("**c**: three\n\n**d**: four", 4), "q": ("**f**: kept\n\n**n4**: t4\n\n**n5**: t5\n\n**n6**: t6\n\n**n7**: t7", 32), "r": ("", 1)}
     assert not any({"summary_short", "t"} & names for names in inputs(out, {"Window"}))
+
+
+def test_labels_are_joined_without_what_follows_from_ids(spark):
+    joins = inputs(registry.documents(spark, SF).select("ord", "proposal_id", "file_name_original", "document_role", "agency", "h"), {"Join"})
+    assert joins and not any({"scan_ord", "relative_path", "proposal_id", "file_name_original", "stem", "agency"} & names for names in joins)
+
+
+def test_orders_outside_the_range_of_groups_are_not_shuffled(spark):
+    plan = X.tracker(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"o_orderkey#\d+L >= 0\b", plan) and re.search(r"o_orderkey#\d+L <= \d+", plan)
+
+
+def test_a_page_shuffles_places_for_orders_and_no_partners(spark):
+    sent = inputs(registry.queries()["folder_page"](spark, SF), {"Aggregate", "Join", "Window"})
+    assert sent and not any({"ord", "scan_ord", "partners"} & names for names in sent)
+
+
+def test_an_identity_without_partners(spark):
+    docs = registry.documents(spark, SF)
+    found = lambda d: Y.canonical_identity(d, matched(spark, SF), "ord").drop("partners")
+    assert sorted(map(str, found(docs.drop("partners")).collect())) == sorted(map(str, found(docs).collect()))
