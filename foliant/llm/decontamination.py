@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import WORD_BYTES, fresh, sliced, table
+from foliant.llm.common import WORD_BYTES, forget, fresh, sliced, stored, table
 
 WINDOW = 10
 #: Item words in one block of the index; a larger benchmark makes more passes over the documents.
@@ -93,7 +93,7 @@ def with_hits(
 ) -> DataFrame:
     """All columns of documents, and under the three names the number of words, hit spans (starts and ends in turn) and ids
     of occurring items. Items without words take no part; those without an id count as one item of no name. A null text
-    has no words."""
+    has no words. What a block of items adds is written before the next one, so a task holds one block's index."""
     n_words, spans_of, items_of = names
     columns, at = documents.columns, documents.columns.index("text")
     out = documents.withColumns({spans_of: F.array().cast("array<long>"), items_of: F.array().cast("array<string>")})
@@ -105,7 +105,13 @@ def with_hits(
             T.StructField(items_of, T.ArrayType(T.StringType())),
         ]
     )
-    for block in item_blocks(items, block_words):
+    before = None
+    for i, block in enumerate(item_blocks(items, block_words)):
+        if i:
+            out, path = stored(out)
+            if before:
+                forget(documents.sparkSession, before)
+            before = path
         vocabulary = {w for _, words in block for w in words}
         index = documents.sparkSession.sparkContext.broadcast(
             PrefixIndex(block, word_counts(documents, vocabulary) if vocabulary else {}, width)

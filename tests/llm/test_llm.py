@@ -308,6 +308,18 @@ def test_decontamination_of_odd_rows_and_many_blocks(spark, odd):
     assert decontamination.stage(spark, odd, SF).columns == odd.columns and decontamination.stage(spark, odd.limit(0), SF).count() == 0
 
 
+def test_a_task_has_one_python_step(spark, odd):
+    items = table(spark, SF, "benchmark")
+    steps = (
+        lambda rows: secrets.stage(spark, rows, SF),
+        lambda rows: decontamination.with_hits(rows, items, decontamination.NAMES, block_words=500),
+    )
+    for step in steps:
+        out = step(odd.select("doc_id", "text"))
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert out.count() == odd.count()
+
+
 def test_languages_of_held_out_documents(spark, odd):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = language.learn(docs.where(language.fold(4) != 2))
